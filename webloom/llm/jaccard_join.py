@@ -78,11 +78,33 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _few(values: np.ndarray) -> bytes:
+    """Small counts, compressed: a batch tells each range how many shingles each document has there."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(values.astype(np.uint32).tobytes())
+
+
+def _from_few(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint32)
+
+
 def _six(values: np.ndarray) -> bytes:
     """The low 48 bits; the range holds the upper bits."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit values by byte plane: the upper ones are near empty and compress."""
+    return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
+
+
 def _from_six(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
@@ -91,11 +113,13 @@ def _from_six(raw: bytes) -> np.ndarray:
 
 def shared_shingles(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """Distinct texts of which `threshold` percent of the shingles occur in other texts too: their
-    fingerprint, n, the number of other shingles, and those shared, in the order (frequency, hash)."""
+    fingerprint, n, the number of other shingles, and the 48-bit names of the shared ones, by (frequency, name)."""
     spark = docs.sparkSession
     parts = shared.shuffle_partitions(spark)
     bits = max(4, int(np.ceil(np.log2(max(4 * parts, shared.size_in_bytes(docs) / (8 << 20))))))
-    ranges = 1 << min(bits, 16)
+    ranges = 1 << min(bits, 20)
+    # A batch spreads over all ranges: it grows with them, so that a packed row stays worth its overhead.
+    limit = shared.BATCH_BYTES if ranges <= 1 << 14 else 8 * shared.BATCH_BYTES
     shift = np.uint64(64 - int(np.log2(ranges)))
 
     def spread(batches):
@@ -103,7 +127,7 @@ def shared_shingles(docs: DataFrame, width: int, threshold: int) -> DataFrame:
 
         seen: set[bytes] = set()
         base, serial = TaskContext.get().partitionId() << 32, 0
-        for table in shared.gathered(batches):
+        for table in shared.gathered(batches, limit=limit):
             hashes, counts = shared.hashed_words(table["text"])
             marks = _fingerprints(hashes, counts)
             keep, sets = [], []
@@ -123,8 +147,8 @@ def shared_shingles(docs: DataFrame, width: int, threshold: int) -> DataFrame:
             cuts = np.flatnonzero(np.diff(own)) + 1
             out = [(base + serial, int(serial % ranges), 0, marks[keep].tobytes(), sizes.astype(np.uint32).tobytes(), None)]
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)]):
-                per = np.bincount(doc[a:b], minlength=len(sets)).astype(np.uint32)
-                out.append((base + serial, int(own[a]), 1, per.tobytes(), _six(flat[a:b]), None))
+                per = np.bincount(doc[a:b], minlength=len(sets))
+                out.append((base + serial, int(own[a]), 1, _few(per), _six(flat[a:b]), None))
             serial += 1
             yield _rows(out, _PACKED_ARROW)
 
@@ -141,18 +165,20 @@ def shared_shingles(docs: DataFrame, width: int, threshold: int) -> DataFrame:
                 times = np.diff(np.append(heads, len(ordered)))
                 df = np.empty(len(flat), np.int64)
                 df[order] = np.repeat(times, times)
+                # A common shingle is named by its range and its place among the range's common shingles.
+                nth = np.empty(len(flat), np.uint32)
+                nth[order] = np.repeat(np.cumsum(times > 1) - 1, times).astype(np.uint32)
                 mark = np.minimum(255, np.floor(8 * np.log2(df))).astype(np.uint8)
                 at = 0
                 for r, own in zip(packed, values):
-                    m = mark[at : at + len(own)]
+                    m, name = mark[at : at + len(own)], nth[at : at + len(own)]
                     at += len(own)
                     common = m > 0
-                    per = np.frombuffer(r["counts"], np.uint32)
+                    per = _from_few(r["counts"])
                     doc = np.repeat(np.arange(len(per)), per)
                     both = np.stack([np.bincount(doc[~common], minlength=len(per)), np.bincount(doc[common], minlength=len(per))])
-                    full = own[common] | (np.uint64(rng) << shift)
-                    out.append((r["batch"], rng, 1, both.astype(np.uint32).tobytes(), full.tobytes(), m[common].tobytes()))
-                del flat, order, ordered, df, mark
+                    out.append((r["batch"], rng, 1, _few(both), _planes(name[common]), m[common].tobytes()))
+                del flat, order, ordered, df, mark, nth
             for i in range(0, len(out), 64):
                 yield _rows(out[i : i + 64], _PACKED_ARROW)
 
@@ -165,10 +191,10 @@ def shared_shingles(docs: DataFrame, width: int, threshold: int) -> DataFrame:
             docs_of, hashes, classes = [], [], []
             for r in rows:
                 if r["kind"] == 1:
-                    alone, common = np.frombuffer(r["counts"], np.uint32).reshape(2, -1)
+                    alone, common = _from_few(r["counts"]).reshape(2, -1)
                     uniques += alone
                     docs_of.append(np.repeat(np.arange(len(common)), common))
-                    hashes.append(np.frombuffer(r["hashes"], np.uint64))
+                    hashes.append(_from_planes(r["hashes"]) | np.uint64(r["rng"] << 28))
                     classes.append(np.frombuffer(r["marks"], np.uint8))
             doc, flat, cls = np.concatenate(docs_of), np.concatenate(hashes), np.concatenate(classes)
             good = 100 * (sizes - uniques) >= threshold * sizes
@@ -178,7 +204,7 @@ def shared_shingles(docs: DataFrame, width: int, threshold: int) -> DataFrame:
             doc, flat = doc[order], flat[order]
             ends = np.searchsorted(doc, np.arange(len(sizes)), side="right")
             starts = np.searchsorted(doc, np.arange(len(sizes)), side="left")
-            out = [(int(marks[i, 0]), int(marks[i, 1]), int(sizes[i]), int(uniques[i]), flat[starts[i] : ends[i]].tobytes()) for i in np.flatnonzero(good)]
+            out = [(int(marks[i, 0]), int(marks[i, 1]), int(sizes[i]), int(uniques[i]), _six(flat[starts[i] : ends[i]])) for i in np.flatnonzero(good)]
             for i in range(0, len(out), 256):
                 yield _rows(out[i : i + 256], _SETS_ARROW)
 
@@ -261,7 +287,7 @@ def _leaves(members: DataFrame, key: list[str], threshold: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         ids = table["id"].to_pylist()
-        links = leaf_links(ids, table["n"].to_pylist(), [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()], threshold)
+        links = leaf_links(ids, table["n"].to_pylist(), [_from_six(h) for h in table["hashes"].to_pylist()], threshold)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return members.groupBy(*key).applyInArrow(run, "a long, b long")
@@ -276,7 +302,7 @@ def _distances(rows: DataFrame) -> DataFrame:
             n, m = batch["n"].to_pylist(), batch["pn"].to_pylist()
             d = []
             for a, b, i, j in zip(x, y, n, m):
-                common = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+                common = len(np.intersect1d(_from_six(a), _from_six(b), assume_unique=True))
                 d.append(1 - common / (i + j - common))
             yield pa.RecordBatch.from_arrays([batch["region"], batch["id"], batch["pivot"], pa.array(d, pa.float64())], names=["region", "id", "pivot", "d"])
 
@@ -289,7 +315,7 @@ def _split(big: DataFrame, sets: DataFrame, eps: float, pivots: int) -> DataFram
     ``pivots`` documents are taken from each region by hash (one from each of as many hash classes)."""
     slot = F.pmod(F.xxhash64("region", "id"), F.lit(pivots))
     chosen = big.groupBy("region", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("id", "region").alias("h"), "id")).alias("p")).select("region", F.col("p.id").alias("pivot"))
-    own = sets.select("id", "n", "hashes")
+    own = sets
     with_pivot = big.join(own, "id").join(chosen.join(own.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("hashes").alias("phashes")), "pivot"), "region")
     far = shared.materialize(_distances(with_pivot), "distances")
     nearest = far.groupBy("region", "id").agg(F.min("d").alias("least"))
@@ -308,14 +334,14 @@ def _blocks(big: DataFrame, sizes: DataFrame, leaf_shingles: int) -> DataFrame:
 def links(sets: DataFrame, threshold: int = 75, leaf_shingles: int = 4_000_000, pivots: int = 8) -> DataFrame:
     """Links (a, b) whose connected components are those of all pairs within the threshold.
 
-    sets: id, n, uniques, hashes (shared shingles by (frequency, hash)), one row per distinct text."""
+    sets: id, n, uniques, hashes (shared shingles by (frequency, name)); rows of one id are equal."""
     eps = 1 - threshold / 100
 
     def heads(batches):
         for batch in batches:
             out_id, out_s = [], []
             for i, n, u, raw in zip(*(batch[c].to_pylist() for c in ("id", "n", "uniques", "hashes"))):
-                first = np.frombuffer(raw, np.int64)[: max(0, _prefix(n, threshold) - u)]
+                first = _from_six(raw)[: max(0, _prefix(n, threshold) - u)].view(np.int64)
                 out_id.append(np.full(len(first), i, np.int64))
                 out_s.append(first)
             if out_id:
@@ -327,13 +353,14 @@ def links(sets: DataFrame, threshold: int = 75, leaf_shingles: int = 4_000_000,
     members = shared.materialize(postings.join(pivot, "s").select(F.col("pivot").cast("string").alias("region"), "id").distinct(), "regions")
     found = []
     level = 0
-    slim = sets.select("id", F.col("n").alias("w"))
+    slim = sets.select("id", F.col("n").alias("w")).distinct()
+    sets = sets.select("id", "n", "hashes").dropDuplicates(["id"])
     while True:
         weights = members.join(slim, "id").groupBy("region").agg(F.sum("w").alias("weight"), F.count("*").alias("k"))
         big = shared.materialize(weights.filter(F.col("weight") > leaf_shingles).filter("k > 2"), "big")
         heavy = big.agg(F.sum("weight")).first()[0]
         leaves = members.join(big, "region", "left_anti") if heavy else members
-        found.append(_leaves(leaves.join(sets.select("id", "n", "hashes"), "id"), ["region"], threshold))
+        found.append(_leaves(leaves.join(sets, "id"), ["region"], threshold))
         if not heavy:
             break
         rest = members.join(big.select("region"), "region", "left_semi")
@@ -342,7 +369,7 @@ def links(sets: DataFrame, threshold: int = 75, leaf_shingles: int = 4_000_000,
         largest = big.agg(F.max("weight")).first()[0]
         if level >= 3 or (level and largest > last * 2 / 3):
             members = shared.materialize(_blocks(rest, big, leaf_shingles), "blocks")
-            found.append(_leaves(members.join(sets.select("id", "n", "hashes"), "id"), ["region"], threshold))
+            found.append(_leaves(members.join(sets, "id"), ["region"], threshold))
             break
         last = largest
         members = shared.materialize(_split(rest, sets, eps, pivots).distinct(), "cells")
@@ -375,12 +402,18 @@ def jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 75, leaf_shin
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     shared.tune(docs.sparkSession)
     entries = shared.materialize(document_sets(docs, width), "entries")
-    reps = entries.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
-    found = shared_shingles(docs, width, threshold).dropDuplicates(["hi", "lo"])
-    sets = shared.materialize(found.join(reps, ["hi", "lo"]).select("id", "n", "uniques", "hashes"), "sets")
+    # Equal word sequences are one vertex, named by the upper half of their fingerprint; in the odd case that
+    # two sequences share that half, the lower half decides and both keep names of their own.
+    prints = entries.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"))
+    clash = prints.groupBy("hi").agg(F.count("*").alias("k")).filter("k > 1").select("hi")
+    name = F.when(F.col("clash"), F.xxhash64("hi", "lo")).otherwise(F.col("hi"))
+    clashing = clash.select("hi", F.lit(True).alias("clash"))
+    named = lambda df: df.join(F.broadcast(clashing), "hi", "left").withColumn("clash", F.coalesce("clash", F.lit(False))).withColumn("id", name)
+    sets = shared.materialize(named(shared_shingles(docs, width, threshold)).select("id", "n", "uniques", "hashes"), "sets")
     whole = components(links(sets, threshold, leaf_shingles, pivots))
-    # A document with doc_ids given to several texts joins their classes; equal texts share theirs.
-    first = reps.join(whole, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component_id"))
+    classes = named(prints).join(whole, "id", "left").select("hi", "lo", "first", F.coalesce("component", "id").alias("class"))
+    least = classes.groupBy("class").agg(F.min("first").alias("component_id"))
+    first = classes.join(least, "class").select("hi", "lo", "component_id")
     return (
         entries.join(first, ["hi", "lo"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
