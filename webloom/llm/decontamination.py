@@ -18,6 +18,8 @@ never contaminated. Empty tables give no hits. Other columns are ignored, whatev
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +28,37 @@ MASKS = ("1101100111", "1110010111")
 
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Lower-cased runs of letters and digits; one empty word may stand at either end, and matches nothing."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+
 
+def _runs(mask: str) -> list[tuple[int, int]]:
+    """(first, length) of the mask's runs of 1."""
+    return [(m.start(), len(m[0])) for m in re.finditer("1+", mask)]
 
-def _seed(hashes: Column, mask: str, taken: list[int]):
-    return lambda at: F.struct(F.xxhash64(F.lit(mask), *[F.get(hashes, at + F.lit(k)) for k in taken]).alias("h"), at.alias("at"))
 
+def with_windows(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """Adds x: for mask m and word number i, the mask's hash at position m * size(w) + i.
 
-def windows(hashes: Column, masks: tuple[str, ...]) -> Column:
-    """array<struct<h, at>>: the hash of each mask at each position where it fits."""
+    Hashes of runs of words are built once and shared by all masks; those that reach beyond the last word
+    lack values, so they equal no window that fits."""
+    longest = max(n for mask in masks for _, n in _runs(mask))
+    df = df.withColumn("r1", F.col("w"))
+    for n in range(2, longest + 1):
+        df = df.withColumn(f"r{n}", F.transform(f"r{n - 1}", _extend(n)))
     made = []
-    for mask in masks:
-        taken = [i for i, c in enumerate(mask) if c == "1"]
-        last = F.size(hashes) - F.lit(len(mask))
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    for number, mask in enumerate(masks):
+        (_, head), *rest = _runs(mask)
+        made.append(F.transform(f"r{head}", _seed(number, rest)))
+    return df.withColumn("x", F.concat(*made)).drop(*[f"r{n}" for n in range(1, longest + 1)])
+
+
+def _extend(n: int):
+    return lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + (n - 1)))
 
-        made.append(F.transform(starts, _seed(hashes, mask, taken)))
-    return made[0] if len(made) == 1 else F.concat(*made)
+
+def _seed(number: int, rest: list[tuple[int, int]]):
+    return lambda x, i: F.xxhash64(F.lit(number), x, *[F.get(F.col(f"r{n}"), i + at) for at, n in rest])
 
 
 def hashed(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -51,36 +66,48 @@ def hashed(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: int = 5, stretch: int = 13, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Confirmed hits: doc_id, item_id, doc_at, item_at (word numbers from 0), equal, compared."""
+    """Hits and their comparison: doc_id, item_id, equal and compared words of the stretch, confirmed."""
     span = max(map(len, masks))
-    items = hashed(benchmark, "item_id").filter("item_id is not null")
+    real = F.filter(words(F.col("text").cast("string")), lambda w: w != "")
+    items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.transform(real, lambda w: F.xxhash64(w)).alias("w"))
     size = F.size("w")
-    shortest = "1" * least
-    usual = items.filter(size >= span).select("item_id", "w", F.explode(windows(F.col("w"), masks)).alias("x"))
-    short = items.filter((size >= least) & (size < span)).select("item_id", "w", F.explode(windows(F.col("w"), (shortest,))).alias("x"))
-    both = usual.unionByName(short)
-    first = F.greatest(F.lit(0), F.least(F.col("x.at") - 2, size - stretch))
+    used = (*masks, "1" * least)
+    lengths = F.array(*[F.lit(len(m)) for m in used])
+    fits = F.when(size >= span, F.col("mask") < len(masks)).otherwise(F.col("mask") == len(masks)) & (F.col("at") + F.get(lengths, F.col("mask")) <= size)
+    seeds = with_windows(items.filter(size >= least), used).select("item_id", "w", F.posexplode_outer("x").alias("k", "h"))
+    seeds = seeds.select("item_id", "w", "h", F.floor(F.col("k") / size).cast("int").alias("mask"), (F.col("k") % size).alias("at")).filter(fits)
+    first = F.greatest(F.lit(0), F.least(F.col("at") - 2, size - stretch))
     # A benchmark window, the place of the stretch to compare, and its words.
-    seeds = both.select(F.col("x.h").alias("h"), "item_id", F.col("x.at").alias("item_at"), first.alias("from"), F.slice("w", first + 1, F.lit(stretch)).alias("expected")).distinct()
-    rows, some_short = seeds.count(), bool(short.limit(1).count())
-    used = masks + ((shortest,) if some_short else ())
+    seeds = seeds.select("h", "mask", "item_id", F.col("at").alias("item_at"), first.alias("from"), F.slice("w", first + 1, F.lit(stretch)).alias("expected")).distinct()
+    rows, some_short = seeds.agg(F.count("*"), F.max((F.col("mask") == len(masks)).cast("int"))).first()
     if rows <= broadcast_rows:
         seeds = F.broadcast(seeds)
-    own = hashed(docs, "doc_id").filter("doc_id is not null").select("doc_id", "w", F.explode(windows(F.col("w"), used)).alias("x")).select("doc_id", "w", F.col("x.h").alias("h"), F.col("x.at").alias("doc_at"))
-    met = own.join(seeds, "h")
-    shift = F.col("doc_at") - F.col("item_at") + F.col("from")
-    equal = F.size(F.filter(F.transform(F.col("expected"), lambda e, i: F.when((shift + i >= 0) & (F.get(F.col("w"), shift + i) == e), F.lit(1))), lambda v: v.isNotNull()))
-    compared = met.select("doc_id", "item_id", "doc_at", "item_at", equal.alias("equal"), F.size("expected").alias("compared"))
-    return compared.filter(F.col("equal") * 100 >= F.lit(percent) * F.col("compared"))
+    # Documents take the contiguous mask only where short items ask for it.
+    own = with_windows(hashed(docs, "doc_id").filter("doc_id is not null"), used if some_short else masks)
+    # The outer form keeps Catalyst from testing the whole expression for emptiness in a filter beforehand.
+    own = own.select("doc_id", "w", F.posexplode_outer("x").alias("k", "h"))
+    met = own.join(seeds, "h").withColumn("shift", F.col("k") % F.size("w") - F.col("item_at") + F.col("from"))
+    # Only the stretch leaves the join, so that long texts are never copied to their hits.
+    cut = F.slice("w", F.greatest("shift", F.lit(0)) + 1, F.lit(stretch))
+    near = met.select("doc_id", "item_id", "expected", F.greatest(-F.col("shift"), F.lit(0)).alias("lead"), cut.alias("got")).distinct()
+    same = lambda e, i: F.when((i >= F.col("lead")) & (F.get("got", i - F.col("lead")) == e), F.lit(1))
+    equal = F.size(F.filter(F.transform("expected", same), lambda v: v.isNotNull()))
+    return near.select("doc_id", "item_id", equal.alias("equal"), F.size("expected").alias("compared")).withColumn("confirmed", F.col("equal") * 100 >= F.lit(percent) * F.col("compared"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, options: dict) -> DataFrame:
+    """doc_id, n_items of contaminated documents. A filter on single hits would be pushed into the join and
+    keep it from being compiled together with the windows; one on sums is not."""
+    return hits(docs, benchmark, **options).groupBy("doc_id").agg(F.count_distinct(F.when(F.col("confirmed"), F.col("item_id"))).alias("n_items")).filter("n_items > 0")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, contaminated, n_items (benchmark items found) for every row of docs(doc_id, text)."""
-    found = hits(docs, benchmark, **options).select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.count("*").alias("n_items"))
+    found = _found(docs, benchmark, options)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left").select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that no benchmark item was found in, with all their columns."""
-    found = hits(docs, benchmark, **options).select("doc_id").distinct()
+    found = _found(docs, benchmark, options).select("doc_id")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
