@@ -1,4 +1,294 @@
-"""Registered queries and their SQL."""
+"""Registered queries over whole tables, each with the SQL that DuckDB runs for comparison."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import predicates as P
+from ..functions import urls
+from ..operators import bundles, graph, html, logs, site
+from ..sources.derived import table, with_derived
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = with_derived(sql)
+        return f
+
+    return add
+
+
+_MASK = r"""regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script\b[^>]*>).*?(</script\s*>)', '\1\2', 'g')"""
+_ANCHORS = f"""a as (select page_id, unnest(x) as href, unnest(range(len(x))) as pos from (select page_id, regexp_extract_all({_MASK}, '(?i)<a\\s[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1) as x from pages)),
+r as (select page_id, trim(regexp_replace(href, '(?s)#.*$', '')) as route, pos from a where trim(href) <> '' and not regexp_matches(lower(trim(href)), '^(data:|blob:|mailto:|tel:|javascript:|#)') and not regexp_matches(trim(href), '^([a-zA-Z][a-zA-Z0-9+.\\-]*:)?//')),
+routes as (select page_id, route, min(pos)::int as pos from r where route <> '' and route not like '?%' group by 1, 2)"""
+_EXT = "lower(regexp_extract(regexp_replace({0}, '(?s)[?#].*$', ''), '\\.([A-Za-z0-9]+)$', 1))"
+_PATH = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"with {_ANCHORS} select * from routes")
+def link_routes(spark, sf):
+    return html.routes(html.anchors(table(spark, sf, "pages")))
+
+
+@query(f"with {_ANCHORS} select route, count(distinct page_id) as n_pages, count(*) as n_links from r where route <> '' and route not like '?%' group by 1 order by n_links desc, route limit 20")
+def top_link_targets(spark, sf):
+    links = html.anchors(table(spark, sf, "pages")).filter(P.same_origin(F.col("href"))).withColumn("route", F.trim(F.regexp_replace("href", "(?s)#.*$", "")))
+    rows = links.filter((F.col("route") != "") & ~F.col("route").startswith("?"))
+    return rows.groupBy("route").agg(F.count_distinct("page_id").alias("n_pages"), F.count("*").alias("n_links")).orderBy(F.desc("n_links"), "route").limit(20)
+
+
+@query(f"select page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) as authority, {_PATH} as path, regexp_replace(url, '(?s)[?#].*$', '') as bare from pages")
+def url_parts(spark, sf):
+    u = F.col("url")
+    return table(spark, sf, "pages").select("page_id", urls.authority(u).alias("authority"), F.try_parse_url(u, F.lit("PATH")).alias("path"), urls.strip_query(u).alias("bare"))
+
+
+@query(f"select page_id, concat(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1), case when regexp_replace({_PATH}, '/+$', '') = '' then '/' else regexp_replace({_PATH}, '/+$', '') end, regexp_extract(url, '^[^?#]*(\\?[^#]*)?', 1)) as page_url, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) as origin from pages")
+def normalize_url(spark, sf):
+    page, origin = urls.normalize_url(F.regexp_replace("url", "^https://", ""))
+    keep, same = urls.normalize_url(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", F.when(F.col("url").startswith("https://"), page).otherwise(keep).alias("page_url"), F.when(F.col("url").startswith("https://"), origin).otherwise(same).alias("origin"))
+
+
+_LOCAL = f"""with t as (select page_id, {_PATH} as p, regexp_extract(regexp_replace(url, '#.*$', ''), '^[^?]*\\?(.*)$', 1) as q from pages),
+s as (select page_id, q, p = '' or p like '%/' as d, array_to_string(list_transform(list_filter(str_split(p, '/'), lambda x: x <> ''), lambda x: case when regexp_replace(trim(regexp_replace(url_decode(x), '[<>:"\\\\|?*/]', '_', 'g')), '\\.+$', '') = '' then '_' else regexp_replace(trim(regexp_replace(url_decode(x), '[<>:"\\\\|?*/]', '_', 'g')), '\\.+$', '') end), '/') as b from t),
+u as (select *, case when not d then b when b = '' then 'index' else b || '/index' end as stem, d or not contains(regexp_extract(b, '[^/]*$'), '.') as e from s)
+select page_id, case when q <> '' and e then stem || '__' || substr(regexp_replace(url_decode(q), '[<>:"\\\\|?*/\\s]', '_', 'g'), 1, 80) || '.html' when d then stem || '.html' else b end as path from u"""
+
+
+@query(_LOCAL)
+def local_paths(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.local_path(F.col("url")).alias("path"))
+
+
+@query(f"select page_id, case when trim({_PATH}, '/') = '' then 'index.html' else trim({_PATH}, '/') || '.html' end as file, regexp_replace({_PATH}, '/+$', '') <> '' and lower(regexp_extract(regexp_extract(regexp_replace({_PATH}, '/+$', ''), '[^/]*$'), '[^.](\\.[^.]*)$', 1)) in ('', '.html', '.htm') as is_page from pages")
+def route_files(spark, sf):
+    path = F.try_parse_url("url", F.lit("PATH"))
+    return table(spark, sf, "pages").select("page_id", urls.route_file(path).alias("file"), P.page_route(path).alias("is_page"))
+
+
+@query(f"select page_id, length({_MASK}) as kept, length(html) as whole from pages")
+def html_masking(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.length(html.masked(F.col("html"))).cast("long").alias("kept"), F.length("html").cast("long").alias("whole"))
+
+
+@query("select page_id, regexp_matches(lower(regexp_replace(substr(html, 1, 512), '^\\s+', '')), '^(<!doctype|<html)') as impostor from pages")
+def impostor_filter(spark, sf):
+    return table(spark, sf, "pages").select("page_id", P.impostor(F.col("html")).alias("impostor"))
+
+
+_T = " or ".join(f"contains(lower(split_part(ref, '?', 1)), '{t}')" for t in P.TELEMETRY)
+_REFS = "select page_id, case cast(page_id % 5 as int) when 0 then '/gtm.js?id=1' when 1 then concat('/', substr(md5(url), 1, 9), '/script.js') when 2 then 'https://www.google-analytics.com/x' else url end as ref from pages"
+
+
+@query(f"select page_id, ref, {_T} or regexp_matches(lower(split_part(ref, '?', 1)), '^/[0-9a-f]{{8,}}/script\\.js') as telemetry from ({_REFS})")
+def telemetry_filter(spark, sf):
+    rows = spark.sql(_REFS.replace("from pages", "from {pages}"), pages=table(spark, sf, "pages"))
+    return rows.withColumn("telemetry", P.telemetry(F.col("ref")))
+
+
+_FRAMEWORK = """case when trim(html) = '' then 'unknown' when contains(html, '/_next/static/chunks/turbopack-') or contains(html, '__turbopack') then 'next-turbopack'
+ when contains(html, '/_next/static/') or contains(html, '__NEXT_DATA__') or contains(html, 'id="__next"') then 'next-webpack' when contains(html, '/_astro/') then 'astro'
+ when regexp_matches(html, '\\.svelte[-.]') then 'svelte' when regexp_matches(html, '/assets/index-[^"''\\s<>]*\\.js') then 'vite-spa'
+ when regexp_matches(lower(html), 'chunks?/|_app/immutable|__vite|parcel|gatsby|_nuxt|nuxt-|bundle[.-]|app\\.[a-f0-9]{6,}\\.js') then 'unknown' else 'static' end"""
+
+
+@query(f"select f as framework, case f when 'next-webpack' then 'webpack' when 'next-turbopack' then 'turbopack' when 'vite-spa' then 'vite' when 'astro' then 'astro' when 'svelte' then 'svelte' else 'generic' end as hint, count(*) as n from (select {_FRAMEWORK} as f from derived_pages) group by 1, 2")
+def framework(spark, sf):
+    rows = table(spark, sf, "derived_pages").select(html.framework(F.col("html")).alias("framework"))
+    return rows.groupBy("framework", html.parser_hint(F.col("framework")).alias("hint")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with d as (select page_id, unnest(regexp_extract_all({_MASK.replace('html', 'html')}, '(?:src|href|poster|srcset|data-hero)="([^"]+)"', 0)) as m from derived_pages where page_id % 7 <> 6),
+v as (select page_id, split_part(m, '=', 1) as attr, replace(regexp_extract(m, '"(.*)"', 1), '&amp;', '&') as v from d),
+x as (select page_id, attr, unnest(case when attr = 'srcset' then list_transform(str_split(v, ', '), lambda s: split_part(s, ' ', 1)) else [v] end) as ref from v),
+b as (select page_id, ref, case when attr = 'data-hero' then 'data_attrs' when ref like '/p/%' then 'routes' when contains(ref, '/_next/image?url=') then 'images' when {_EXT.format('ref')} = 'css' then 'stylesheets' when attr = 'href' then 'links' when {_EXT.format('ref')} = 'js' then 'scripts' when {_EXT.format('ref')} = 'mp4' then 'videos' else 'images' end as bucket from x)
+select bucket, count(distinct (page_id, ref)) as n_refs, count(distinct page_id) as n_pages from (select * from b union all select page_id, ref, 'next_images' from b where contains(ref, '/_next/image?url=')
+ union all select page_id, url_decode(regexp_extract(ref, 'url=([^&]+)', 1)), 'images' from b where contains(ref, '/_next/image?url=')) group by 1""")
+def asset_buckets(spark, sf):
+    rows = html.assets(table(spark, sf, "derived_pages").filter("page_id % 7 <> 6"))
+    return rows.groupBy("bucket").agg(F.count("*").alias("n_refs"), F.count_distinct("page_id").alias("n_pages"))
+
+
+@query("select page_id, unnest(['/img/a' || page_id || '.avif', '/img/b' || page_id || '.avif']) as url from pages where page_id % 7 = 2")
+def srcset_candidates(spark, sf):
+    value = F.regexp_extract("html", r'srcset="([^"]*)"', 1)
+    return table(spark, sf, "derived_pages").filter(value != "").select("page_id", F.explode(urls.srcset(value)).alias("url"))
+
+
+@query("""with f as (select url, unnest(regexp_extract_all(text, '/frames/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]*?\\d{1,6}\\.[A-Za-z0-9]+')) as r from derived_bundles),
+g as (select url, regexp_extract(r, '/frames/([^/]+)/', 1) as folder, regexp_extract(r, '/(f)\\d+\\.', 1) as prefix, regexp_extract(r, '\\.([a-z]+)$', 1) as ext, regexp_extract(r, '(\\d+)\\.[a-z]+$', 1) as d from f)
+select url, folder, prefix, ext, length(d)::int as width, min(d::bigint) as first, max(d::bigint) as last, count(*) as files, case when length(d) >= 2 and count(*) >= 2 then length(d) else 0 end::int as pad from g group by url, folder, prefix, ext, length(d)""")
+def frame_clusters(spark, sf):
+    return bundles.frame_clusters(table(spark, sf, "derived_bundles"))
+
+
+@query("select page_id, replace(template, '{}', case when pad > 0 then lpad(n::varchar, greatest(pad, length(n::varchar))::int, '0') else n::varchar end) as frame_url from (select *, unnest(range(first, last + 1)) as n from derived_frames where last >= first)")
+def frame_expand(spark, sf):
+    return bundles.expand_frames(table(spark, sf, "derived_frames")).select("page_id", "frame_url")
+
+
+@query("""with l as (select page_id, unnest(list_filter(regexp_extract_all(html, '["''`]([^"''`\\s<>]{1,120})["''`]', 1), lambda s: contains(s, '/') and not contains(s, '://'))) as s, 1 as one from pages),
+m as (select page_id, list(s) as ls from (select page_id, s, row_number() over () as o from l) group by page_id),
+g as (select page_id, segs, unnest(segs) as seg, unnest(range(len(segs))) as pos from (select page_id, flatten(list_transform(list_filter(regexp_extract_all(html, '["''`]([^"''`\\s<>]{1,120})["''`]', 1), lambda s: contains(s, '/') and not contains(s, '://')), lambda s: str_split(s, '/'))) as segs from pages)),
+c as (select page_id, seg as segment, count(*) as uses, min(pos) as p from g where regexp_matches(seg, '^[A-Za-z0-9][A-Za-z0-9_-]{1,23}$') group by 1, 2)
+select page_id, segment, uses, rank from (select page_id, segment, uses, row_number() over (partition by page_id order by uses desc, p)::int as rank from c) where rank <= 15""")
+def top_segments(spark, sf):
+    return bundles.top_segments(table(spark, sf, "pages"), "page_id", "html")
+
+
+@query("with g as (select root, tail, list_sort(list_distinct(list(num))) as nums from derived_lods group by 1, 2) select root, tail, unnest(list_filter(range(nums[1], nums[-1] + 1), lambda x: not list_contains(nums, x))[1:8])::int as n from g")
+def lod_gaps(spark, sf):
+    return bundles.lod_gaps(table(spark, sf, "derived_lods"))
+
+
+_ROUTED = f"with {_ANCHORS}, p as (select page_id, route, regexp_replace(route, '(?s)[?#].*$', '') as path from routes union select page_id, concat('/p/', cast((page_id*2)%50 as varchar), '/'), concat('/p/', cast((page_id*2)%50 as varchar), '/') from pages where page_id % 7 = 4)"
+
+
+def _page_refs(spark, sf):
+    own = html.routes(html.anchors(table(spark, sf, "pages"))).select("page_id", F.col("route").alias("url"))
+    more = table(spark, sf, "pages").filter("page_id % 7 = 4").selectExpr("page_id", "concat('/p/', cast((page_id*2)%50 as string), '/') as url")
+    return own.unionByName(more).distinct().select("page_id", "url", F.lit("a").alias("tag"), F.lit("href").alias("attr"), F.lit("static").alias("framework"), F.lit(1).alias("depth"))
+
+
+@query(_ROUTED + " select page_id, p.route as url, d.target from p join derived_routes d on d.route = rtrim(p.path, '/')")
+def route_lookup(spark, sf):
+    refs = _page_refs(spark, sf).withColumn("path", urls.strip_query(F.col("url")))
+    return site.lookup_routes(refs, table(spark, sf, "derived_routes")).filter("target is not null").select("page_id", "url", "target")
+
+
+@query(_ROUTED + " select path as route, count(distinct page_id) as n_pages from p left join derived_routes d on d.route = rtrim(p.path, '/') where d.target is null and path like '/%' and not (contains(regexp_extract(path, '[^/]*$'), '.') and regexp_extract(path, '[^/]*$') not like '.%') group by 1")
+def missing_routes(spark, sf):
+    rows = site.rewritten(_page_refs(spark, sf), table(spark, sf, "derived_routes")).filter("missing is not null")
+    return rows.groupBy(F.col("missing").alias("route")).agg(F.count_distinct("page_id").alias("n_pages"))
+
+
+_FILE_REFS = "select page_id, unnest(['img/a' || page_id || '.avif', './v/' || page_id || '.mp4', '/left/' || page_id || '.png', 'https://x.example/' || page_id]) as ref from pages"
+
+
+@query(f"with f as (select substr(path, 2) as path from derived_files) select page_id, ref, case when ref like '/%' then 'absolute' else 'missing' end as problem from ({_FILE_REFS}) where ref not like 'https:%' and (ref like '/%' or regexp_replace(ref, '^\\./', '') not in (select path from f))")
+def path_problems(spark, sf):
+    i = F.col("page_id").cast("string")
+    refs = table(spark, sf, "pages").select("page_id", F.explode(F.array(F.concat(F.lit("img/a"), i, F.lit(".avif")), F.concat(F.lit("./v/"), i, F.lit(".mp4")), F.concat(F.lit("/left/"), i, F.lit(".png")), F.concat(F.lit("https://x.example/"), i))).alias("ref"))
+    return site.path_problems(refs, table(spark, sf, "derived_files").select(F.expr("substr(path, 2)").alias("path")))
+
+
+@query("select distinct '/img/a' || page_id || '.avif' as path from pages where page_id % 3 = 0")
+def missing_files(spark, sf):
+    refs = table(spark, sf, "pages").selectExpr("concat('/img/a', cast(page_id as string), '.avif') as ref")
+    return site.missing_files(refs, table(spark, sf, "derived_files"))
+
+
+@query("select distinct url, concat('/assets/b', unnest([(page_id*2)%n, (page_id*2+1)%n])::varchar, '.js') as ref from (select page_id, (select count(*) from pages) as n, '/assets/b' || page_id || '.js' as url from pages)")
+def bundle_refs_vite(spark, sf):
+    return bundles.refs(table(spark, sf, "derived_bundles"), ("vite",)).filter(P.bundle_ref(F.col("ref"))).select("url", "ref")
+
+
+@query("select url, ref from (select distinct url, unnest(regexp_extract_all(text, '\"((?:/frames|/assets)/[^\"]+)\"', 1)) as ref from derived_bundles)")
+def bundle_refs_generic(spark, sf):
+    return bundles.refs(table(spark, sf, "derived_bundles"), ()).select("url", "ref")
+
+
+@query("select '/assets/b' || page_id || '.js' as url, cast(100 + page_id as varchar) as chunk_id, substr(md5(cast(page_id as varchar)), 1, 16) as hash, '/_next/static/chunks/' || cast(100 + page_id as varchar) || '.' || substr(md5(cast(page_id as varchar)), 1, 16) || '.js' as ref from pages")
+def bundle_chunk_map(spark, sf):
+    return bundles.chunk_map(table(spark, sf, "derived_bundles"))
+
+
+@query("select '/assets/b' || page_id || '.js' as url, array_to_string(['hair' || page_id, 'coat' || page_id], ',') as ids from pages")
+def id_pools(spark, sf):
+    return bundles.id_pools(table(spark, sf, "derived_bundles")).select("url", F.array_join("ids", ",").alias("ids"))
+
+
+def _template_specs(spark, sf):
+    return table(spark, sf, "derived_templates").select(F.array("prefix").alias("prefixes"), "suffix", F.array(F.concat(F.lit("id"), F.col("array_id").cast("string"))).alias("ids"), F.array(F.lit("low"), F.lit("${bad}")).alias("fillers"), "alive")
+
+
+_TEMPLATE = "select prefix, prefix || m || suffix as url, alive from (select *, unnest(list_concat(list_transform(range(0, 50), lambda i: i::varchar), ['id' || array_id, 'low'])) as m from derived_templates)"
+
+
+@query(f"select prefix, url from ({_TEMPLATE})")
+def template_expand(spark, sf):
+    return bundles.expand_templates(_template_specs(spark, sf)).select("prefix", "url")
+
+
+@query("select distinct prefix from derived_templates where alive")
+def live_prefixes(spark, sf):
+    made = bundles.expand_templates(_template_specs(spark, sf))
+    return bundles.live_prefixes(made.select("prefix", "url"), made.filter("alive and url like '%_1.drc'").select("url"))
+
+
+@query("select 'k' || page_id as key, (unnest(range(0, 4)))::int as pos, unnest(['/e/x.glb', '/e/x.ktx2', '/e/' || page_id || '.glb', '/e/' || page_id || '.ktx2']) as url from pages where page_id % 5 = 1")
+def enum_expand(spark, sf):
+    i = F.col("page_id").cast("string")
+    specs = table(spark, sf, "pages").filter("page_id % 5 = 1").select(F.concat(F.lit("k"), i).alias("key"), F.array(F.lit("/e")).alias("bases"), F.array(F.lit("x"), i).alias("ids"), F.array(F.lit("glb"), F.lit("ktx2")).alias("exts"))
+    return bundles.expand_enum(specs)
+
+
+_EDGES = "select page_id as s, unnest([(page_id*2)%n, (page_id*2+1)%n]) as d from (select page_id, (select count(*) from pages) as n from pages)"
+
+
+@query(f"with recursive e as (select distinct '/assets/b' || s || '.js' as src, '/assets/b' || d || '.js' as dst from ({_EDGES})), c as (select '/assets/b1.js' as node, 0 as depth union select e.dst, c.depth + 1 from c join e on e.src = c.node where c.depth < 3) select node, min(depth)::int as depth from c group by 1")
+def bundle_closure(spark, sf):
+    edges = bundles.refs(table(spark, sf, "derived_bundles"), ("vite",)).filter(P.bundle_ref(F.col("ref"))).select(F.col("url").alias("src"), F.col("ref").alias("dst"))
+    return graph.closure(edges, spark.createDataFrame([("/assets/b1.js",)], "node string"), 3)
+
+
+@query(f"with recursive e as (select distinct s as src, d as dst from ({_EDGES})), c as (select 1::bigint as node, 0 as depth union select e.dst, c.depth + 1 from c join e on e.src = c.node where c.depth < 5) select node, min(depth)::int as depth from c group by 1 order by 2, 1 limit 40")
+def page_crawl(spark, sf):
+    pages = table(spark, sf, "pages")
+    edges = pages.crossJoin(F.broadcast(pages.agg(F.count("*").alias("n")))).select(F.col("page_id").alias("src"), F.explode(F.expr("array((page_id*2)%n, (page_id*2+1)%n)")).alias("dst"))
+    return graph.crawl(edges, spark.createDataFrame([(1,)], "node bigint"), 40, 5)
+
+
+@query("with t as (select 'color' as kind, unnest(regexp_extract_all(text, '#[0-9a-fA-F]{3,8}\\b|rgba?\\([^)]{1,60}\\)|hsla?\\([^)]{1,60}\\)')) as token from derived_css union all select 'font', unnest(['Font ' || (page_id%9), 'serif']) from pages) select distinct kind, token from t")
+def design_tokens(spark, sf):
+    return bundles.design_tokens(table(spark, sf, "derived_css"))
+
+
+@query("select path, '../img/' || regexp_extract(path, '(\\d+)', 1) || '.png' as ref, '/img/' || regexp_extract(path, '(\\d+)', 1) || '.png' as resolved from derived_css union all select path, '/f/' || regexp_extract(path, '(\\d+)', 1) || '.woff2', '/f/' || regexp_extract(path, '(\\d+)', 1) || '.woff2' from derived_css")
+def css_refs(spark, sf):
+    return bundles.css_refs(table(spark, sf, "derived_css"))
+
+
+@query("select url, 'buffers' as kind, unnest(from_json(text->'$.buffers', '[{\"uri\":\"VARCHAR\"}]')).uri as ref from derived_json union all select url, 'images', unnest(from_json(text->'$.images', '[{\"uri\":\"VARCHAR\"}]')).uri from derived_json")
+def gltf_refs(spark, sf):
+    return bundles.gltf_refs(table(spark, sf, "derived_json"))
+
+
+@query("select page_id, 'three' as name, '/lib/three' || (page_id%5) || '.js' as ref from derived_importmaps")
+def importmap_refs(spark, sf):
+    return bundles.importmap_refs(table(spark, sf, "derived_importmaps"))
+
+
+_LOG = "select user_id || '/' || event_type as url, case when event_id % 2 = 0 then 'GET' else 'POST' end as method, case when event_id % 3 = 0 then null else cast(200 + event_id % 2 as int) end as status, event_id as seq from events"
+
+
+@query(f"select url, min_by(method, seq) as method, max_by(status, seq) filter (where status is not null) as status, count(*) as n from ({_LOG}) group by url")
+def request_log(spark, sf):
+    return logs.request_log(spark.sql(_LOG.replace("from events", "from {events}"), events=table(spark, sf, "events")))
+
+
+@query("with s as (select user_id, event_id as seq, sum(case when event_id % 5 < 3 then 1 else -1 end) over (partition by user_id order by event_id) as s from events) select user_id, seq, (s - least(0, min(s) over (partition by user_id order by seq)))::bigint as open from s")
+def inflight_clamped(spark, sf):
+    rows = table(spark, sf, "events").selectExpr("user_id", "event_id as seq", "case when event_id % 5 < 3 then 1 else -1 end as step")
+    return logs.in_flight(rows, "user_id").select("user_id", "seq", "open")
+
+
+@query()
+def rewrite_pages(spark, sf):
+    rows = table(spark, sf, "derived_pages").withColumn("depth", (F.col("page_id") % 3).cast("int")).withColumn("framework", html.framework(F.col("html")))
+    return site.rewrite_pages(rows, {"/": "index.html", "/de": "de.html", "/p/8": "p/8.html"})
+
+
+@query("select path, regexp_replace(text, '(url\\(\\s*[\"'']?)/([^/])', '\\1../\\2', 'g') as text from derived_css")
+def rewrite_css(spark, sf):
+    return table(spark, sf, "derived_css").select("path", site.rewrite_css(F.col("text"), 1).alias("text"))
