@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INVALID = r'[<>:"\\|?*\x00-\x1f]'
 
@@ -105,7 +106,7 @@ def srcset(value: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda p: p != ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def js_unescape(s: pd.Series) -> pd.Series:
     r"""\/, \u0026 and any other \uXXXX, then &amp;: Spark has no expression for the general escape."""
     import re
@@ -128,7 +129,7 @@ def normalize_ref(ref: Column) -> Column:
     return F.when(r.startswith("static/chunks/"), F.concat(F.lit("/_next/"), r)).when(r.startswith("_next/"), F.concat(F.lit("/"), r)).otherwise(r)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve(base: pd.Series, ref: pd.Series) -> pd.Series:
     """RFC 3986 resolution; used after deduplication."""
     from urllib.parse import urljoin

@@ -113,12 +113,10 @@ def rewrite_pages(pages: DataFrame, routes: dict[str, str]) -> DataFrame:
         import re
         from urllib.parse import parse_qs, unquote
 
-        token = re.compile(r"<!--.*?-->|(?<=>)[^<]*(?=</script)|<[a-zA-Z][^>]*>", re.S)
         script = re.compile(r"(<script\b[^>]*>)(.*?)(</script\s*>)|(<!--.*?-->)", re.S | re.I)
         attribute = re.compile(r"""(\s)([a-zA-Z][\w:-]*)(\s*=\s*)(["'])(.*?)\4""", re.S)
         css = re.compile(r"""url\((\s*["']?)(/(?!/)[^)"'\s<>]*)""", re.I)
         takes = {"src", "href", "poster", "srcset", "data", "xlink:href", "imagesrcset"}
-        del token
 
         def one(text, depth, framework):
             prefix, lost = "../" * int(depth or 0) or "./", set()

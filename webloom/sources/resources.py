@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -16,7 +17,7 @@ def decoded(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gunzipped(content: pd.Series) -> pd.Series:
     """Bodies that start with the gzip mark, unpacked; others as they are."""
     import gzip
