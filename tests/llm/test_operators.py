@@ -1,0 +1,372 @@
+"""Every operator against a brute-force version, with null, empty, long and repeated rows and clashing columns."""
+
+import base64
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from webloom.llm import compression_bands, cotraining, decontamination, hpylm, jaccard_join, language_id, license_scan, packing, secret_scan, shared, warc
+from webloom.llm.queries import QUERIES, tokenizer
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, n long, count long"
+
+
+def docs(spark, texts, first=0):
+    rows = [(None if i < 0 else i, t, ("en", "de", None)[k % 3], None if k % 4 == 0 else f"s{k % 3}", None if t is None else len(t), 1, 2, 3) for k, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def prose(seed, n=120):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n))
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, prose(1)), (6, prose(1)), (6, prose(1)), (7, prose(1, 119) + " Xyz"), (8, "é " * 3000), (9, "a b c d e"), (10, "A B c D e"), (-1, prose(1))]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return docs(spark, ODD)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_empty_tables(spark, odd):
+    none = odd.limit(0)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert language_id.identify(none, F.lit(False)).count() == 0
+    assert cotraining.quality(none, labels).count() == 0
+    assert compression_bands.compression_rules(none).count() == 0
+    assert packing.pack(none, *tokenizer()).count() == 0
+    assert decontamination.decontaminate(none, bench).count() == 0
+    assert license_scan.scan(none).count() == 0
+    assert jaccard_join.jaccard_join(none).count() == 0
+    assert hpylm.score(none, F.lit(False)).count() == 0
+    assert secret_scan.scan(none).count() == 0
+    assert warc.records(warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+    assert decontamination.decontaminate(odd, bench).filter("contaminated").count() == 0
+
+
+def words(t):
+    return WORD.findall((t or "").translate(LOWER))
+
+
+def test_words_and_shingles():
+    import pyarrow as pa
+
+    texts = [None, "", "a", "A b c\x0bd e f", "x " * 4, "\x1c\x1d y"]
+    hashes, counts = shared.hashed_words(pa.array(texts))
+    assert counts.tolist() == [len(words(t)) for t in texts]
+    sizes = [len(s) for s in shared.shingle_sets(hashes, counts)]
+    assert sizes == [len(shingles(t)) for t in texts]
+
+
+def shingles(t):
+    w = words(t)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def classes(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in sets:
+        for b in sets:
+            common = len(sets[a] & sets[b])
+            if a < b and common and 100 * common >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("leaf", [4_000_000, 1500])
+def test_jaccard_join(corpus, leaf):
+    rows = corpus.select("doc_id", "text").collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(corpus, leaf_shingles=leaf, pivots=3).collect()}
+    assert got == classes([tuple(r) for r in rows])
+
+
+def test_jaccard_join_recursion(spark):
+    base = prose(5, 60).split()
+    near = [(i, " ".join(base[:30] + [f"w{i}", f"v{i}"] * (i % 4) + base[30:])) for i in range(40)]
+    far = [(100 + i, " ".join(base[:14] + prose(i, 5).split())) for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs(spark, near + far), leaf_shingles=200, pivots=3).collect()}
+    assert got == classes(near + far)
+
+
+def test_jaccard_join_odd(odd):
+    got = jaccard_join.jaccard_join(odd).collect()
+    assert len(got) == len(ODD)
+    by = {r.doc_id: r.component_id for r in got}
+    assert (by[1], by[2], by[3], by[4]) == (1, 2, 3, 4)
+    assert by[5] == by[6] == by[7] == 5 and by[9] == by[10] == 9
+
+
+def test_language_id(corpus, odd):
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    got = language_id.identify(corpus, held).join(corpus.select("doc_id", "lang"), "doc_id").collect()
+    own = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert sum(r.lang == r.lang_pred for r in own) >= 0.97 * len(own)
+    assert all(0 <= r.score <= 1 for r in got)
+    strange = language_id.identify(odd, held).collect()
+    assert {r.doc_id for r in strange if r.lang_pred == "und"} >= {1, 2, 3} and len(strange) == len(ODD)
+
+
+def test_cotraining(spark, corpus, odd):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rng = np.random.default_rng(0)
+    y = np.arange(400) % 2
+    a, b = (rng.normal(size=(400, 6)).astype(np.float32) for _ in range(2))
+    a[:, 0] += 2 * y
+    b[:, 1] += 2 * y
+    model = cotraining.fit(a[:60], b[:60], y[:60].astype(float), a[60:200], b[60:200], cotraining.Settings(confident=0.8))
+    assert np.mean((model.probability(a[200:], b[200:]) > 0.5) == y[200:]) > 0.85
+    got = cotraining.quality(corpus, labels).join(labels, "doc_id").collect()
+    assert sum(r.kept == (r.quality == 1) for r in got) >= 0.9 * len(got)
+    assert cotraining.quality(odd, labels.limit(0)).filter("kept").count() == len(ODD)
+    assert cotraining.quality(odd, labels).count() == len(ODD)
+
+
+def test_compression_bands(corpus, odd):
+    bands = compression_bands.Bands()
+    import zstandard
+
+    for table in (corpus, odd):
+        texts = defaultdict(list)
+        for r in table.select("doc_id", "text").collect():
+            texts[r.doc_id].append(r.text)
+        for r in compression_bands.compression_rules(table).collect():
+            t = texts[r.doc_id][0] or ""
+            w = WORD.findall(t)
+            grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+            repeated = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+            lines, seen = 0, set()
+            for line in t.split("\n"):
+                if WORD.search(line):
+                    lines += line in seen
+                    seen.add(line)
+            failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
+            verdict = compression_bands.compression(t.encode(), bands, zstandard.ZstdCompressor(level=bands.level))[3]
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), lines, len(repeated), failed, not failed and verdict)
+    codec = zstandard.ZstdCompressor(level=3)
+    assert not compression_bands.compression(b"ab cd ef " * 2000, bands, codec)[3]
+    assert not compression_bands.compression(np.random.default_rng(0).bytes(20000), bands, codec)[3]
+
+
+def test_warc(spark):
+    rows = [(1, "http://a/ b\r\nc", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 5000), (5, "u", "é" * 5000), (6, "u", "é" * 5000), (None, "u", "same"), (7, "u", "WARC/1.1\r\n\r\n")]
+    pages = spark.createDataFrame([(*r, 9) for r in rows], "page_id long, url string, html string, digest int")
+    chunks = warc.round_trip(pages, chunk_bytes=1000).collect()
+    first = {}
+    for page, _, body in sorted((r for r in rows if r[0]), key=lambda r: r[0]):
+        first.setdefault(body or "", page)
+    done = [c for c in chunks if c.is_last]
+    assert len(done) == len(rows) and max(len(c.data) for c in chunks) == 1000
+    bodies = {r[0]: (r[2] or "").encode() for r in rows}
+    for c in done:
+        raw = bodies[c.page_id]
+        assert (c.payload_bytes, c.payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode()) and c.payload_digest == c.declared_digest
+        want = first[raw.decode()] if c.page_id is not None else None
+        assert (c.record_type, c.refers_to) == (("response", None) if want in (c.page_id, None) else ("revisit", want))
+    record = [c for c in chunks if c.page_id == 5][0]
+    own = sorted((c for c in chunks if (c.archive, c.record) == (record.archive, record.record)), key=lambda c: c.chunk)
+    assert b"".join(bytes(c.data) for c in own) == bodies[5]
+    so_far = b""
+    for c in own:
+        so_far += bytes(c.data)
+        assert c.payload_digest == base64.b32encode(hashlib.sha1(so_far).digest()).decode()
+
+
+def test_encoder_agrees():
+    encode = packing.Encoder(*tokenizer())
+    for cp in [c for c in range(0x3100) if packing.agreed.fullmatch(chr(c))]:
+        c = chr(cp)
+        text = f"a {c} b{c}{c}c 1{c}  {c}!"
+        assert encode.slow.encode(text, add_special_tokens=False).ids == encode.fast.encode_ordinary(text), hex(cp)
+    assert encode("a<|endoftext|>b").tolist() == encode.slow.encode("a<|endoftext|>b", add_special_tokens=False).ids
+
+
+def test_packing(spark, corpus, odd):
+    encode = packing.Encoder(*tokenizer())
+    for table in (corpus, odd.filter("doc_id <> 6")):
+        ids = {r.doc_id: [*encode.slow.encode(r.text or "", add_special_tokens=False).ids, 0] for r in table.select("doc_id", "text").collect()}
+        rows = packing.pack(table, *tokenizer(), shard_tokens=20_000).collect()
+        covered, sequences = defaultdict(list), defaultdict(list)
+        for r in rows:
+            own = ids[r.doc_id]
+            assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(np.array(own[r.start : r.start + r.length], "<u4").tobytes())
+            covered[r.doc_id].append((r.start, r.length))
+            sequences[r.sequence_id].append((r.offset, r.length))
+        for doc, own in ids.items():
+            at = 0
+            for start, length in sorted(covered[doc]):
+                assert start == at
+                at += length
+            assert at == len(own)
+        padding = 0
+        for own in sequences.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 1024
+            padding += 0 if at & (at - 1) == 0 else 1024 - at
+        assert padding == 0
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=200))
+def test_pack_lengths(lengths):
+    out = packing.pack_lengths(np.array(lengths, int), 64)
+    used = defaultdict(list)
+    for sequence in out:
+        assert sum(n for _, _, n in sequence) <= 64
+        for i, first, n in sequence:
+            used[i].append((first, n))
+    for i, n in enumerate(lengths):
+        at = 0
+        for first, k in sorted(used[i]):
+            assert first == at
+            at += k
+        assert at == n
+
+
+def test_nnls_uses_exact_fills():
+    counts = np.zeros(65, int)
+    counts[[40, 24]] = 100
+    combos = packing.combinations(np.array([24, 40]), 64)
+    assert packing.solve_counts(combos, counts).tolist() == [100]
+
+
+def test_decontamination(spark, odd):
+    item = "The quick brown fox jumps over the lazy dog near the old river bank today"
+    bench = spark.createDataFrame([(1, item, 0), (1, item, 0), (2, None, 0), (3, "four words are few", 0), (4, "six short words stand right here", 0), (None, item, 0)], "item_id long, text string, w int")
+    w = item.split()
+    texts = [
+        (1, f"{prose(1)} {item}. {prose(2)}"), (2, prose(3)), (3, prose(1, 5) + " " + " ".join(w[:4] + ["cat"] + w[5:11] + ["an"] + w[12:]) + "!"), (4, "x Six short, words stand right HERE y"),
+        (5, "four words are few"), (6, " ".join(w[:6])), (7, item.upper()), (8, None), (9, (item + "\n") * 300), (10, " ".join(x if i % 2 else "zz" for i, x in enumerate(w))), (-1, item),
+    ]
+    got = {r.doc_id: (r.contaminated, r.n_items) for r in decontamination.decontaminate(docs(spark, texts), bench).collect()}
+    assert {i for i, (c, _) in got.items() if c} == {1, 3, 4, 7, 9} and got[1] == (True, 1)
+    wide = {r.doc_id for r in decontamination.decontaminate(docs(spark, texts), bench, broadcast_rows=0).filter("contaminated").collect()}
+    assert wide == {1, 3, 4, 7, 9}
+    kept = decontamination.clean(docs(spark, texts), bench)
+    assert {r.doc_id for r in kept.collect()} == {2, 5, 6, 8, 10, None} and kept.columns == docs(spark, texts).columns
+
+
+def test_license_scan(spark, odd):
+    texts = [
+        (1, "text\nReleased under the MIT License."), (2, "x\n\nLicensed under the Apache License, Version 2.0.\nmore"), (3, "This work is licensed under the GNU General Public License, version 3."),
+        (4, "Licensed under CC BY-NC 4.0."), (5, "The license plate was gone, and the public laughed."), (6, prose(4)), (7, None), (8, ""), (9, "All rights reserved."), (10, "Released under the MIT License.\n" * 400),
+    ]
+    got = {r.doc_id: r.license for r in license_scan.scan(docs(spark, texts)).collect()}
+    assert got == {1: "mit", 2: "apache", 3: "gpl", 4: "cc-by-nc", 5: "unknown", 6: "none", 7: "none", 8: "none", 9: "proprietary", 10: "mit"}
+    assert license_scan.scan(odd).count() == len(ODD)
+
+
+def base_spans(t):
+    t = t or ""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return [f"{('assign', 'access', 'hex')[k]}:{a}:{e}" for a, k, e in sorted(out)]
+
+
+SECRETS = [
+    (1, "token:secret:abcdefghij password = 'abcdefgh' API_KEY:\"x.y=z/+-_1\" tokenx=12345678"), (2, "é AKIA" + "A" * 12 + " AKIAB AKIA" + "B" * 11), (3, "f" * 31 + " " + "0a" * 16 + "G" + "b" * 40), (4, None), (5, ""),
+    (6, "AKIA" + "Z" * 16 + " then " + "aB3/" * 10 + " user_id=joe"), (7, "x " + "aB3/" * 10 + " alone"), (8, "AKIA" + "Z" * 16 + " " * 900 + "aB3/" * 10), (9, "see https://a.io/x only"), (-1, "passwd=12345678"), (6, "AKIA" + "Z" * 16 + " then " + "aB3/" * 10 + " user_id=joe"), (10, "secret=" + "q" * 100_000),
+]
+
+
+def test_secret_scan(spark, corpus):
+    for table in (docs(spark, SECRETS), corpus):
+        texts = {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
+        got = secret_scan.scan(table).collect()
+        assert len(got) == table.count()
+        for r in got:
+            want = base_spans(texts[r.doc_id])
+            assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+            assert [r.n_assign, r.n_access, r.n_hex] == [sum(s.startswith(k) for s in want) for k in ("assign", "access", "hex")]
+            assert set(want) <= set(r.spans.split(",")) | ({""} if want else set())
+    by = {r.doc_id: r.spans for r in secret_scan.scan(docs(spark, SECRETS)).collect()}
+    assert "secret:" in by[6] and "identifier:" in by[6] and "secret" not in by[7] and "secret:" not in by[8] and by[9] == "" and by[5] == ""
+
+
+def test_redaction(spark):
+    got = {r.doc_id: r for r in secret_scan.redact(docs(spark, SECRETS)).collect()}
+    assert got[-1 if -1 in got else None].text == "[SECRET]" and got[4].text is None and got[9].text == SECRETS[8][1]
+    assert got[6].text == "[SECRET] then [SECRET] [SECRET]" and got[6].n_chars == len(got[6].text)
+    assert got[3].text == "f" * 31 + " [SECRET]G[SECRET]"
+
+
+def test_hpylm(corpus, odd):
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0
+    for table in (corpus, odd):
+        rows = table.select("doc_id", "text").collect()
+        tokens = [[*words(r.text), None] for r in rows]
+        train = [i for i, r in enumerate(rows) if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10]
+        c = Counter(w for i in train for w in tokens[i])
+        n, v = sum(c.values()), len(c)
+        want = sorted((r.doc_id or -1, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6)) for r, t in zip(rows, tokens))
+        got = hpylm.score(table, held).collect()
+        assert sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+        assert all(r.score <= 0 for r in got)
+    both = {r.held_out: r for r in hpylm.perplexity(hpylm.score(corpus, held)).collect()}
+    assert both[True].perplexity < both[True].base_perplexity
+
+
+def test_seating():
+    rng = np.random.default_rng(0)
+    t = hpylm.seat(np.array([0, 1, 2, 1000]), np.array([1.0, 1.0, 0.0, 1.0]), 0.5, rng)
+    assert t[0] == 0 and t[1] == 1 and t[2] == 1 and 1 <= t[3] <= 1000
+    exact = np.mean([hpylm.seat(np.full(50, 400), np.full(50, 2.0), 0.5, rng, exact=1 << 30).mean() for _ in range(4)])
+    quick = np.mean([hpylm.seat(np.full(50, 400), np.full(50, 2.0), 0.5, rng).mean() for _ in range(4)])
+    assert abs(exact - quick) < 0.1 * exact
+
+
+def test_hpylm_without_training(odd):
+    got = hpylm.score(odd, F.lit(True)).collect()
+    assert all(r.base_score == pytest.approx(0, abs=1e-9) and r.score == pytest.approx(0, abs=1e-9) and r.train_tokens == 0 for r in got)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5
+    docs_in = spark.read.parquet(f"{SF}/documents.parquet")
+    current = docs_in
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = shared.materialize(stage(spark, current, SF), name)
+        assert out.columns == docs_in.columns and 0 < out.count() <= current.count()
+        if name == "ngram_jaccard_join":
+            left = classes([tuple(r) for r in current.select("doc_id", "text").collect()])
+            assert {r.doc_id for r in out.collect()} == {c for _, c in left.values()}
+        if name == "secret_scans":
+            assert not any(base_spans(r.text) for r in out.collect())
+        current = out
+    assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == current.count()
+
+
+def test_queries_are_registered():
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")) == list(range(1, 11)) and "pipeline" in QUERIES
