@@ -156,3 +156,30 @@ def test_rewrite_is_idempotent(spark, parts):
     page = "".join(f'<a {attr}="{ref}">' for ref, attr in parts)
     once = rewrite(spark, page).html
     assert rewrite(spark, once).html == once
+
+
+def test_bundle_literals(spark):
+    text = "sequence:{folder:'v',prefix:'a',startIndex:1,endIndex:1e1,padLength:3} l(`/m/${i}.glb`) l(`/m/${a?'hi':\"lo\"}/p_${n}.drc`)"
+    one = spark.createDataFrame([("u", text)], "url string, text string")
+    assert [tuple(r)[1:] for r in bundles.frame_sequences(one).collect()] == [("/frames/v/a{}.webp", 1, 10, 3)]
+    assert {(r.prefix, r.variable, r.suffix) for r in bundles.template_specs(one).collect()} == {("/m/", "i", ".glb"), ("/m/hi/p_", "n", ".drc"), ("/m/lo/p_", "n", ".drc")}
+    ids = value(spark, bundles.probe_ids(F.array(*[F.lit(f"i{k}") for k in range(60)])))
+    assert ids[:2] == ["i0", "i1"] and ids[-1] == "i59" and len(ids) == 27
+    lottie = spark.createDataFrame([("u", '{"assets":[{"u":"i/","p":"a.png"},{"p":"data:x"}]}')], "url string, text string")
+    assert [r.ref for r in bundles.lottie_refs(lottie).collect()] == ["i/a.png"]
+    assert [r.ref for r in bundles.embedded_urls(spark.createDataFrame([("u", '"https://a.io/assets/q.png" x')], "url string, text string")).collect()] == ["https://a.io/assets/q.png"]
+    assert bundles.deep_files(spark.createDataFrame([("a.GLB", 9), ("b.json", 3_000_000), ("c.json", 5)], "path string, size long")).count() == 2
+    assert [r.ref for r in bundles.api_hints(spark.createDataFrame([("u", '{"a":"/m/x.glb","b":"no"}')], "url string, text string")).collect()] == ["/m/x.glb"]
+
+
+def test_text_refs_and_payloads(spark):
+    page = spark.createDataFrame([(1, 'x="\\/a\\/b.js" y=\'./c.png\' z="//cdn/d.js"')], "page_id long, html string")
+    assert {r.ref for r in html.text_refs(page).collect()} == {"/a/b.js", "./c.png"}
+    made = site.api_payloads(spark.createDataFrame([("api/x?q", '{"a":1}'), ("/bad", "{")], "path string, body string"))
+    asked = spark.createDataFrame([("/api/x",), ("/api/x/",), ("/none",)], "path string")
+    assert {r.path: r.body for r in site.api_answers(asked, made).collect()} == {"/api/x": '{"a":1}', "/api/x/": '{"a":1}', "/none": "{}"}
+    assert value(spark, urls.optimizer_target(F.lit("./_next/image?w=1&amp;url=https%3A%2F%2Fo.io%2Fp%2Fq.png"))) == "q.png"
+    assert value(spark, urls.route_slug(F.lit("/a/b%20c"))) == "a_b_c" and value(spark, urls.clone_name(F.lit("https://a.io:80"))) == "a.io-80-clone"
+    assert value(spark, P.noise(F.lit("data:x"))) and value(spark, P.noise(F.lit("/sw.js"), "serve")) and not value(spark, P.noise(F.lit("/a.js")))
+    assert value(spark, P.numeric_variable(F.lit("idx"))) and not value(spark, P.numeric_variable(F.lit("url")))
+    assert value(spark, site.dns_failure(F.lit("getaddrinfo failed")))

@@ -83,3 +83,23 @@ def impostor(text: Column) -> Column:
     """HTML where an asset was expected: its first 512 characters start with markup, after white space."""
     head = F.lower(F.regexp_replace(F.substring(text, 1, 512), r"^\s+", ""))
     return head.startswith("<!doctype") | head.startswith("<html")
+
+
+#: By context, what is left out of a verification report or answered with a stub.
+NOISE = {
+    "verify": ("googletagmanager", "google-analytics", "gtag", "doubleclick", "hotjar", "mixpanel", "segment", "fullstory", "facebook", "fbevents", "insights", "analytics", "favicon", "beacon"),
+    "serve": ("googletagmanager", "google-analytics", "gtag/js", "doubleclick", "hotjar", "mixpanel", "fullstory", "_vercel/insights", "insights/script.js", "cdn-cgi", "sw.js", "gtm.js"),
+}
+
+
+def noise(url: Column, context: str = "verify") -> Column:
+    """Requests a report or a server leaves aside."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    return (low == "") | low.startswith("data:") | low.startswith("blob:") | any_part(low, NOISE[context])
+
+
+def numeric_variable(name: Column) -> Column:
+    """A template variable that counts: a usual index name, or a short name that does not stand for a thing."""
+    v = F.trim(name)
+    usual = v.rlike("^(?:_|i|j|k|n|x|y|o|h|idx|num|index|count)$")
+    return usual | (v.rlike("^[A-Za-z_][A-Za-z0-9_]{0,2}$") & ~v.rlike("(?i)terrain|scene|name|path|url|level|mode|type|key|label|title|atlas"))

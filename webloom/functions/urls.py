@@ -141,3 +141,21 @@ def resolve(base: pd.Series, ref: pd.Series) -> pd.Series:
             return None
 
     return pd.Series([one(b, r) for b, r in zip(base, ref)])
+
+
+def route_slug(route: Column) -> Column:
+    """A route as a file-name part: decoded, other characters as underscores, `home` for /."""
+    s = F.regexp_replace(F.regexp_replace(unquote(route), r"[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")
+    return F.when(s == "", "home").otherwise(s)
+
+
+def clone_name(origin: Column) -> Column:
+    """A folder name for an origin's copy."""
+    return F.concat(F.regexp_replace(F.regexp_replace(origin, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"[^A-Za-z0-9.-]+", "-"), F.lit("-clone"))
+
+
+def optimizer_target(ref: Column) -> Column:
+    """Local path of an image-optimizer reference, '' for others: remote originals are stored by their name."""
+    source = unquote(unquote(F.replace(F.regexp_extract(ref, r"(?s)_next/image\?(?:[^#]*?&(?:amp;)?)?url=([^&#]+)", 1), F.lit("+"), F.lit(" "))))
+    remote = source.rlike("^(?:https?:)?//")
+    return F.when(remote, F.element_at(F.split(strip_query(source), "/"), -1)).otherwise(F.regexp_replace(source, "^/+", ""))

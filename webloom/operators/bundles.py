@@ -169,3 +169,60 @@ def importmap_refs(pages: DataFrame) -> DataFrame:
     """page_id, name, ref of import maps in pages(page_id, html)."""
     body = F.regexp_extract("html", r"(?is)<script[^>]+type\s*=\s*[\"']importmap[\"'][^>]*>(.*?)</script>", 1)
     return pages.select("page_id", F.explode(F.from_json(body, "imports map<string,string>")["imports"]).alias("name", "ref"))
+
+
+def frame_sequences(bundles: DataFrame) -> DataFrame:
+    """url, template, first, last, pad of `sequence:{folder, prefix, startIndex, endIndex, extension, padLength}`."""
+    bodies = F.regexp_extract_all("text", F.lit(r"sequence\s*:\s*\{([^}]{1,600})\}"), F.lit(1))
+    rows = bundles.select("url", F.explode(bodies).alias("b"))
+    text = lambda k: F.regexp_extract("b", rf"{k}\s*:\s*[\"'`]([^\"'`]*)", 1)
+    number = lambda k: F.expr(f"try_cast(try_cast(regexp_extract(b, '{k}\\\\s*:\\\\s*([0-9.]+(?:e[0-9]+)?)', 1) as double) as bigint)")
+    ext = F.when(text("extension") == "", "webp").otherwise(F.regexp_replace(text("extension"), r"^\.", ""))
+    template = F.concat(F.regexp_replace(F.concat(F.lit("/frames/"), text("folder"), F.lit("/")), "(?<!:)//+", "/"), text("prefix"), F.lit("{}."), ext)
+    return rows.select("url", template.alias("template"), number("startIndex").alias("first"), number("endIndex").alias("last"), F.coalesce(number("padLength"), F.lit(0)).cast("int").alias("pad")).filter("first is not null and last is not null")
+
+
+def template_specs(bundles: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """url, prefix, variable, suffix, alternatives of backtick literals with one or two variables that end in an
+    asset extension; of two, the first is replaced by each of its quoted alternatives (or left out)."""
+    exts = r"\.(?:" + ASSET_EXTS + ")"
+    two = r"`([^`$]{0,120}(?:\$\{[^}`]{1,80}\}[^`$]{1,120})?\$\{[^}`]{1,80}\}[^`$]{0,80}" + exts + r")`"
+    rows = bundles.select("url", F.posexplode(F.regexp_extract_all("text", F.lit(two), F.lit(1))).alias("pos", "lit"))
+    quoted = lambda c: F.slice(F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(r"[\"']([^\"']*)[\"']"), F.lit(1)), lambda a: ~a.rlike(r"[${]"))), 1, 8)
+    pair = F.col("lit").rlike(r"\$\{[^}]*\}.*\$\{")
+    first = F.regexp_extract("lit", r"^[^$]*\$\{([^}]*)\}", 1)
+    fills = F.when(pair & (F.size(quoted(first)) > 0), quoted(first)).when(pair, F.array(F.lit(""))).otherwise(F.array(F.lit(None).cast("string")))
+    rows = rows.select("url", "pos", "lit", F.explode(fills).alias("fill"))
+    one = F.when(F.col("fill").isNull(), F.col("lit")).otherwise(F.concat(F.regexp_extract("lit", r"^([^$]*)\$\{", 1), F.col("fill"), F.regexp_extract("lit", r"^[^$]*\$\{[^}]*\}(.*)$", 1)))
+    part = lambda i: F.regexp_extract("one", r"(?s)^([^$]*)\$\{([^}]*)\}(.*)$", i)
+    return rows.select("url", "pos", one.alias("one")).select("url", "pos", part(1).alias("prefix"), part(2).alias("variable"), part(3).alias("suffix"), quoted(part(2)).alias("alternatives"))
+
+
+def probe_ids(ids: Column, tries: int = 25) -> Column:
+    """A systematic sample of an id array: the first two, evenly spaced ones, the last."""
+    n = F.size(ids)
+    spaced = F.transform(F.sequence(F.lit(1), F.lit(tries - 1)), lambda i: F.bround(n * i / tries).cast("int"))
+    places = F.array_distinct(F.filter(F.concat(F.array(F.lit(0), F.lit(1)), spaced, F.array(n - 1)), lambda p: (p >= 0) & (p < n)))
+    return F.transform(places, lambda p: F.get(ids, p))
+
+
+def lottie_refs(files: DataFrame) -> DataFrame:
+    """url, ref of animation files(url, text): asset folder and name, no data URIs."""
+    rows = files.select("url", F.explode(F.from_json("text", "assets array<struct<u:string,p:string>>")["assets"]).alias("a"))
+    return rows.select("url", F.concat(F.coalesce("a.u", F.lit("")), F.col("a.p")).alias("ref")).filter("ref is not null and ref not like 'data:%'")
+
+
+def embedded_urls(files: DataFrame) -> DataFrame:
+    """url, ref: distinct absolute URLs anywhere in a file's text, up to white space or a quote."""
+    return files.select("url", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"""(https?://[^"'\s<>\\]+)"""), F.lit(1)))).alias("ref"))
+
+
+def deep_files(files: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """Files that can name further files: scenes, and JSON below a size."""
+    low = F.lower("path")
+    return files.filter(low.rlike(r"\.(gltf|glb|splinecode)$") | (low.endswith(".json") & (F.col("size") < limit)))
+
+
+def api_hints(responses: DataFrame) -> DataFrame:
+    """url, ref: asset references in JSON response bodies."""
+    return responses.select("url", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf'(?i)"((?:https?:/)?/[^"\s]{{1,300}}\.(?:{ASSET_EXTS}))"'), F.lit(1)))).alias("ref"))

@@ -131,3 +131,12 @@ def framework(html: Column) -> Column:
 
 def parser_hint(label: Column) -> Column:
     return F.when(label == "next-webpack", "webpack").when(label == "next-turbopack", "turbopack").when(label == "vite-spa", "vite").when(label.isin("astro", "svelte"), label).otherwise("generic")
+
+
+def text_refs(pages: DataFrame) -> DataFrame:
+    """page_id, pos, ref: optimizer references and quoted root or relative ones anywhere in the source."""
+    raw = F.replace("html", F.lit("\\/"), F.lit("/"))
+    optimizer = F.regexp_extract_all(raw, F.lit(r"""(/_next/image\?url=[^"'`\s<>\\]+)"""), F.lit(1))
+    quoted = F.regexp_extract_all(raw, F.lit(r"""["'`]((?:/|\./|\.\./)[^"'`\s<>\\]{1,300})["'`]"""), F.lit(1))
+    rows = pages.select("page_id", F.posexplode(F.concat(optimizer, quoted)).alias("pos", "ref")).filter(P.same_origin(F.col("ref")))
+    return first_seen(rows, ["page_id", "ref"], ["pos"])

@@ -194,3 +194,23 @@ def problem_summary(events: DataFrame) -> DataFrame:
     """One row over events(url, status): failures that count, and whether the run was clean."""
     counts = events.filter(~P.telemetry(F.col("url")) & ~F.col("url").rlike("^(?:data:|blob:)")).agg(F.count_if(F.col("status") >= 400).alias("failed"))
     return counts.withColumn("clean", F.col("failed") == 0)
+
+
+def dns_failure(error: Column) -> Column:
+    """Whether a fetch log's error says that a host name was not found."""
+    return F.lower(error).rlike("name or service not known|getaddrinfo|nodename nor servname|name resolution|nxdomain")
+
+
+def api_payloads(payloads: DataFrame) -> DataFrame:
+    """payloads(path, body) by bare path with a leading slash; bodies that are no JSON are left out."""
+    bare = urls.strip_query(F.col("path"))
+    rows = payloads.select(F.when(bare.startswith("/"), bare).otherwise(F.concat(F.lit("/"), bare)).alias("path"), F.col("body").cast("string").alias("body"))
+    return rows.filter(F.try_parse_json("body").isNotNull()).groupBy("path").agg(F.max("body").alias("body"))
+
+
+def api_answers(requests: DataFrame, payloads: DataFrame) -> DataFrame:
+    """requests(path) with body: the payload of the path, else of the path without its slash, else {}."""
+    exact = payloads.select("path", F.col("body").alias("b1"))
+    bare = payloads.select(F.col("path").alias("bare"), F.col("body").alias("b2"))
+    rows = requests.join(exact, "path", "left").withColumn("bare", F.regexp_replace("path", "/+$", "")).join(bare, "bare", "left")
+    return rows.select("path", F.coalesce("b1", "b2", F.lit("{}")).alias("body"))
