@@ -5,7 +5,8 @@ the session's shared folder and reads them again as the next stage's input. All
 the columns of ``documents``. Decisions: rejected documents go; of each class of near duplicates the
 document with the smallest doc_id stays; contaminated documents go; secrets are masked in place.
 
-A row with a null doc_id stays only if it is of good quality: it has no identity to link or to match.
+Rows that share a doc_id stay or go together. A row with a null doc_id stays only if it is of good quality:
+it has no identity to link or to match.
 """
 
 from __future__ import annotations
