@@ -35,7 +35,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -407,6 +406,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 75, leaf_shin
     prints = entries.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"))
     clash = prints.groupBy("hi").agg(F.count("*").alias("k")).filter("k > 1").select("hi")
     name = F.when(F.col("clash"), F.xxhash64("hi", "lo")).otherwise(F.col("hi"))
+    # Broadcast by a bound on its size: among n texts about n * n / 2^64 halves are shared, a few dozen for 10^10.
     clashing = clash.select("hi", F.lit(True).alias("clash"))
     named = lambda df: df.join(F.broadcast(clashing), "hi", "left").withColumn("clash", F.coalesce("clash", F.lit(False))).withColumn("id", name)
     sets = shared.materialize(named(shared_shingles(docs, width, threshold)).select("id", "n", "uniques", "hashes"), "sets")
