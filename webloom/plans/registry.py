@@ -244,9 +244,7 @@ def bundle_closure(spark, sf):
 
 @query(f"with recursive e as (select distinct s as src, d as dst from ({_EDGES})), c as (select 1::bigint as node, 0 as depth union select e.dst, c.depth + 1 from c join e on e.src = c.node where c.depth < 5) select node, min(depth)::int as depth from c group by 1 order by 2, 1 limit 40")
 def page_crawl(spark, sf):
-    pages = table(spark, sf, "pages")
-    edges = pages.crossJoin(F.broadcast(pages.agg(F.count("*").alias("n")))).select(F.col("page_id").alias("src"), F.explode(F.expr("array((page_id*2)%n, (page_id*2+1)%n)")).alias("dst"))
-    return graph.crawl(edges, spark.createDataFrame([(1,)], "node bigint"), 40, 5)
+    return graph.crawl(table(spark, sf, "derived_edges"), spark.createDataFrame([(1,)], "node bigint"), 40, 5)
 
 
 @query("with t as (select 'color' as kind, unnest(regexp_extract_all(text, '#[0-9a-fA-F]{3,8}\\b|rgba?\\([^)]{1,60}\\)|hsla?\\([^)]{1,60}\\)')) as token from derived_css union all select 'font', unnest(['Font ' || (page_id%9), 'serif']) from pages) select distinct kind, token from t")

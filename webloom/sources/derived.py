@@ -20,6 +20,7 @@ SQL = {
  'f("/frames/v',cast(page_id%3 as string),'/f',lpad(id,4,'0'),'.webp");f("/frames/v',cast(page_id%3 as string),'/f',lpad(cast(page_id+3 as string),4,'0'),'.webp");',
  'x.load(`/models/m',id,'/lod_',concat('$','{i}'),'.glb`);var m={',cast(100+page_id as string),':"',substr(h,1,16),'"};ids=["hair',id,'","coat',id,'"];') as text
  from (select page_id, cast(page_id as string) as id, md5(cast(page_id as string)) as h, (select count(*) from pages) as n from pages) t""",
+    "derived_edges": "select page_id as src, (page_id*2)%n as dst from (select page_id, (select count(*) from pages) as n from pages) t union all select page_id, (page_id*2+1)%n from (select page_id, (select count(*) from pages) as n from pages) t",
     "derived_files": "select concat('/img/a',cast(page_id as string),'.avif') as path from pages where page_id % 3 <> 0 union all select concat('/v/',cast(page_id as string),'.mp4') from pages where page_id % 3 <> 0",
     "derived_css": f"""select concat('/css/',id,'.css') as path, concat('@font-face{{src:url(/f/',id,'.woff2)}} a{{color:#',substr(h,1,6),';background:rgb(',cast(page_id%256 as string),',0,0) url("../img/',id,'.png");font-family:"Font ',cast(page_id%9 as string),'", serif}} b{{background:url(https://cdn.example.org/x.png);color:hsl(',cast(page_id%360 as string),',50%,50%)}}') as text from ({_BASE}) t""",
     "derived_json": f"""select concat('/m/',id,'.gltf') as url, concat('{{"buffers":[{{"uri":"b',id,'.bin"}}],"images":[{{"uri":"t',id,'.png"}},{{"uri":"u',substr(h,1,4),'.jpg"}}]}}') as text from ({_BASE}) t""",
