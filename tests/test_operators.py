@@ -183,3 +183,8 @@ def test_text_refs_and_payloads(spark):
     assert value(spark, P.noise(F.lit("data:x"))) and value(spark, P.noise(F.lit("/sw.js"), "serve")) and not value(spark, P.noise(F.lit("/a.js")))
     assert value(spark, P.numeric_variable(F.lit("idx"))) and not value(spark, P.numeric_variable(F.lit("url")))
     assert value(spark, site.dns_failure(F.lit("getaddrinfo failed")))
+
+
+def test_problem_summary(spark):
+    events = spark.createDataFrame([("/a.js", 404), ("/favicon.ico", 404), ("data:x", 500), ("/b.js", 200)], "url string, status int")
+    assert tuple(site.problem_summary(events).first()) == (1, False)

@@ -87,14 +87,23 @@ def impostor(text: Column) -> Column:
 
 #: By context, what is left out of a verification report or answered with a stub.
 NOISE = {
-    "verify": ("googletagmanager", "google-analytics", "gtag", "doubleclick", "hotjar", "mixpanel", "segment", "fullstory", "facebook", "fbevents", "insights", "analytics", "favicon", "beacon"),
-    "serve": ("googletagmanager", "google-analytics", "gtag/js", "doubleclick", "hotjar", "mixpanel", "fullstory", "_vercel/insights", "insights/script.js", "cdn-cgi", "sw.js", "gtm.js"),
-}
+    "verify": (
+        "googletagmanager", "googletagservices", "gtag/js", "google-analytics", "googleadservices", "doubleclick", "googlesyndication", "pagead/",
+        "analytics", "fbevents", "hotjar", "mixpanel", "segment.io", "fullstory", "favicon", "_rsc=", "cdn-cgi",
+    ),
+    "serve": (
+        "googletagmanager", "googletagservices", "gtag/js", "google-analytics", "googleadservices", "doubleclick", "fbevents.js", "hotjar",
+        "mixpanel", "segment.io", "fullstory", "analytics.js", "_vercel/insights", "cdn-cgi", "sw.js",
+    ),
+}
 
 
 def noise(url: Column, context: str = "verify") -> Column:
-    """Requests a report or a server leaves aside."""
+    """Requests that a report leaves aside (empty and inline ones too), or that a server answers with a stub
+    (hashed beacon scripts too)."""
     low = F.lower(F.coalesce(url, F.lit("")))
+    if context == "serve":
+        return any_part(low, NOISE[context]) | F.regexp_replace(low, r"(?s)\?.*$", "").rlike(r"^/[0-9a-f]{8,}/script\.js$")
     return (low == "") | low.startswith("data:") | low.startswith("blob:") | any_part(low, NOISE[context])
 
 

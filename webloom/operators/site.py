@@ -192,7 +192,7 @@ def strip_origin(text: Column, origin: str) -> tuple[Column, Column]:
 
 def problem_summary(events: DataFrame) -> DataFrame:
     """One row over events(url, status): failures that count, and whether the run was clean."""
-    counts = events.filter(~P.telemetry(F.col("url")) & ~F.col("url").rlike("^(?:data:|blob:)")).agg(F.count_if(F.col("status") >= 400).alias("failed"))
+    counts = events.filter(~P.noise(F.col("url"))).agg(F.count_if(F.col("status") >= 400).alias("failed"))
     return counts.withColumn("clean", F.col("failed") == 0)
 
 

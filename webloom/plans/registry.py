@@ -290,3 +290,13 @@ def rewrite_pages(spark, sf):
 @query("select path, regexp_replace(text, '(url\\(\\s*[\"'']?)/([^/])', '\\1../\\2', 'g') as text from derived_css")
 def rewrite_css(spark, sf):
     return table(spark, sf, "derived_css").select("path", site.rewrite_css(F.col("text"), 1).alias("text"))
+
+
+_N = {c: " or ".join(f"contains(lower(url), '{t}')" for t in terms) for c, terms in P.NOISE.items()}
+_REQUESTS = "select page_id, case cast(page_id % 4 as int) when 0 then concat('/favicon.ico?', cast(page_id as string)) when 1 then concat('/', substr(md5(url), 1, 10), '/script.js') when 2 then '/sw.js' else url end as url from pages"
+
+
+@query(f"select page_id, url, {_N['verify']} as ignored, {_N['serve']} or regexp_matches(lower(split_part(url, '?', 1)), '^/[0-9a-f]{{8,}}/script\\.js$') as stubbed from ({_REQUESTS})")
+def noise_filters(spark, sf):
+    rows = spark.sql(_REQUESTS.replace("from pages", "from {pages}"), pages=table(spark, sf, "pages"))
+    return rows.select("page_id", "url", P.noise(F.col("url")).alias("ignored"), P.noise(F.col("url"), "serve").alias("stubbed"))
