@@ -109,8 +109,10 @@ def test_closure_on_cycles(spark):
 
 def test_serving(spark):
     files = spark.createDataFrame([("index.html",), ("a.html",), ("b/index.html",), ("i/J.PNG",)], "path string")
-    asked = spark.createDataFrame([("/",), ("/a",), ("/b/",), ("/none",)], "path string")
-    assert {r.path: r.file for r in site.serve(asked, files).collect()} == {"/": "index.html", "/a": "a.html", "/b/": "b/index.html", "/none": None}
+    asked = spark.createDataFrame([("/",), ("/a",), ("/b/",), ("/none",), ("/i/J.PNG?v",), ("/i",)], "path string")
+    assert {r.path: r.file for r in site.serve(asked, files).collect()} == {"/": "index.html", "/a": "a.html", "/b/": "b/index.html", "/none": None, "/i/J.PNG?v": "i/J.PNG", "/i": None}
+    both = spark.createDataFrame([("c/c.html",), ("c.html",)], "path string")
+    assert site.serve(spark.createDataFrame([("/c",)], "path string"), both).first().file == "c/c.html"
     refs = spark.createDataFrame([("/_next/image?url=%2Fx%2Fj.png&w=1",)], "ref string")
     assert site.optimizer_files(refs, files).first().file == "i/J.PNG"
 
@@ -188,3 +190,45 @@ def test_text_refs_and_payloads(spark):
 def test_problem_summary(spark):
     events = spark.createDataFrame([("/a.js", 404), ("/favicon.ico", 404), ("data:x", 500), ("/b.js", 200)], "url string, status int")
     assert tuple(site.problem_summary(events).first()) == (1, False)
+
+
+def found(spark, text, *parsers):
+    rows = bundles.refs(spark.createDataFrame([("u", text), ("v", None), ("w", "")], "url string, text string"), parsers)
+    return {(r.parser, r.ref) for r in rows.collect()}
+
+
+def test_parsers(spark):
+    got = found(spark, """setDecoderPath('/d') x={"url":"/sw.json"} i("\\/_next\\/image?url=%2Fo.png&w=1") k("https://c.io/a.wasm.") k("https://c.io/page")""")
+    assert {("loaders", "/d/draco_decoder.wasm"), ("loaders", "/d/meshopt_decoder.js"), ("loaders", "/sw.json"), ("generic", "/o.png"), ("absolute", "https://c.io/a.wasm")} <= got
+    assert not any("c.io/page" in ref for _, ref in got)
+    got = found(spark, 'n({12:"aaaabbbb",34:"ccccdddd"});n({12:"eeeeffff"});m={12:"0123456789abcdef",34:"01234567",56:"0123456789ab"};miniCssF{78:"00ff00ff"}', "webpack")
+    assert {r for p, r in got if p == "webpack"} == {"/_next/static/chunks/aaaabbbb.0123456789abcdef.js", "/_next/static/chunks/56.0123456789ab.js", "/_next/static/chunks/78.00ff00ff.css"}
+    assert ("turbopack", "/a/t.js") in found(spark, 'parseChunk(x,"/a/t.js")', "turbopack")
+    assert ("vite", "m/x.glb") in found(spark, 'l("m/x.glb")', "vite")
+    assert ("loaders", "/lib/t.js") in found(spark, """<script type="importmap">{"imports":{"t":"/lib/t.js"}}</script><script type="importmap">{bad</script>""")
+
+
+def test_relative_refs(spark):
+    text = "setPath('/m');setPath(`${b}/n/`);setPath('rel/');l('p/x.drc');l('../y.glb');l('/abs.glb');u('set/1/part')"
+    one = spark.createDataFrame([("u", text), ("v", "l('p/x.drc')"), ("w", None)], "url string, text string")
+    assert {r.ref for r in bundles.relative_refs(one).collect()} == {"/m/p/x.drc", "/n/p/x.drc", "/m/y.glb", "/n/y.glb"}
+    assert bundles.relative_refs(one, bundles.Limits(relative=3)).count() == 3
+    assert [r.id for r in bundles.path_ids(one).filter("url = 'u'").collect()] == ["${b}/n/", "rel/", "set/1/part"]
+
+
+def test_summary_and_failures(spark):
+    files = spark.createDataFrame([("a.HTML", 3), ("shots/b.html", 4), ("c.png", 5)], "path string, size long")
+    tokens = spark.createDataFrame([("color", "#fff"), ("font", "x"), ("font", "y")], "kind string, token string")
+    assert tuple(logs.clone_summary(files, tokens).first()) == (3, 12, 1, 1, 2)
+    assert tuple(logs.clone_summary(files.limit(0), tokens.limit(0)).first()) == (0, 0, 0, 0, 0)
+    asked = spark.createDataFrame([("https://a.io/c.png",), ("/gone%20x.js",), ("/v.mp4",), ("/favicon.ico",), ("/p?_rsc=1",)], "url string")
+    assert [r.url for r in site.failed_requests(asked, files).collect()] == ["/gone%20x.js"]
+    assert value(spark, urls.site_path(F.lit("https://A.io/x//y?q=1"), F.lit("https://a.io"))) == "/x/y?q=1"
+    assert value(spark, urls.site_path(F.lit("https://a.io"), F.lit("https://a.io"))) == "/"
+    assert value(spark, urls.site_path(F.lit("https://b.io/x"), F.lit("https://a.io"))) == "https://b.io/x"
+
+
+def test_route_map_bound(spark):
+    pages = spark.createDataFrame([(1, "", 0, "static")], "page_id long, html string, depth int, framework string")
+    with pytest.raises(ValueError):
+        site.rewrite_pages(pages, {f"/{i}": "x" for i in range(site.MOST_ROUTES + 1)})

@@ -126,7 +126,8 @@ def normalize_ref(ref: Column) -> Column:
     r = F.replace(r, F.lit(" "), F.lit("%20"))
     r = F.regexp_replace(r, r"(?<!:)/{2,}", "/")
     r = F.regexp_replace(r, r"^[^A-Za-z0-9_~/]+", "")
-    return F.when(r.startswith("static/chunks/"), F.concat(F.lit("/_next/"), r)).when(r.startswith("_next/"), F.concat(F.lit("/"), r)).otherwise(r)
+    # Nested, not as a choice between values: each would repeat all the steps above.
+    return F.regexp_replace(F.regexp_replace(r, "^(?=static/chunks/)", "/_next/"), "^(?=_next/)", "/")
 
 
 @F.pandas_udf(T.StringType())
@@ -143,6 +144,13 @@ def resolve(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([one(b, r) for b, r in zip(base, ref)])
 
 
+def site_path(url: Column, origin: Column) -> Column:
+    """Path and query of a URL on the origin's host, normalised; other URLs as they are."""
+    path = F.concat(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.coalesce(F.concat(F.lit("?"), F.try_parse_url(url, F.lit("QUERY"))), F.lit("")))
+    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    return F.when(authority(url) == authority(origin), normalize_ref(rooted)).otherwise(url)
+
+
 def route_slug(route: Column) -> Column:
     """A route as a file-name part: decoded, other characters as underscores, `home` for /."""
     s = F.regexp_replace(F.regexp_replace(unquote(route), r"[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")

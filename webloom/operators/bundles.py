@@ -12,22 +12,32 @@ from ..functions import predicates as P
 from ..functions import urls
 
 _Q, _NQ = "[\"'`]", "[^\"'`\\s<>]"
+_PATH = r"A-Za-z0-9_./%+?#&=@:$~\-"
 #: Asset extensions and directories that mark a literal as a reference.
 ASSET_EXTS = (
     "js|css|woff2?|ttf|otf|eot|fnt|font|icon|png|jpe?g|webp|avif|gif|svg|ico|mp4|webm|mp3|ogg|wav|glb|gltf|drc|ktx2?|basis|bin|wasm|hdr|exr|"
     "json|atlas|pbf|parquet|m3u8|mov|m4v|ply|splat|riv|fbx|obj|mtl|usdz|pvr|astc|dds|dae|stl|3ds|usd|usda|usdc|vrm|lottie|splinecode|tga|ttc|vtt"
 )
 DIRECTORIES = "frames|photo|skills|videos?|images?|assets|fonts?|media|models?|textures?|data|static|common|3d-elements|projects?|blog|icons?|logos?"
-#: Patterns by parser, in discovery order; group 1 is the reference.
+_NEXT_STATIC = r"(?i)(/_next/static/(?:chunks|css|media)/[^\"'`\s\\<>]+?\.(?:js|css|woff2?|ttf|otf|png|jpe?g|webp|avif|svg|glb|gltf|wasm|json|mp4|webm|mov|m3u8|fbx|obj|ply|splat|riv)(?:[?#][^\"'`\s\\<>]*)?)"
+_QUOTED_ASSET = rf"(?i){_Q}([{_PATH}]{{1,220}}?\.(?:{ASSET_EXTS})(?:[?#][^\"'`\s<>]*)?){_Q}"
+_IMPORTMAP = r"(?is)<script[^>]+type\s*=\s*[\"']importmap[\"'][^>]*>(.*?)</script>"
+_DECODER = r"set(?:Decoder|Transcoder|MeshoptDecoder)Path\(\s*[\"'`]([^\"'`()]{1,180})[\"'`]"
+_SET_PATH = r"setPath\(\s*[\"'`]([^\"'`()]{1,180})[\"'`]\s*\)"
+_ID_HASH = r"""(\d{2,5})["']?\s*:\s*["']([0-9a-f]{8,64})["']"""
+#: Patterns by parser, in discovery order; group 1 is the reference.
 PARSERS: dict[str, tuple[str, ...]] = {
-    "webpack": (r"static/chunks/([A-Za-z0-9_.$-]+\.(?:js|css))", r"((?:/)?_next/static/(?:chunks|css|media)/[^\"'`\s\\<>]+?\.(?:js|css)(?:[?#][^\"'`\s\\<>]*)?)"),
-    "turbopack": (r"parseChunk[^;]{0,600}?[\"'`]([^\"'`]{1,220}?\.js(?:[?#][^\"'`]*)?)[\"'`]", r"((?:/)?_next/static/chunks/[^\"'`\s\\<>]*?[0-9a-f]{8,}[^\"'`\s\\<>]*?\.(?:js|css))"),
-    "vite": (r"import\(\s*[\"'`]([^\"'`]{1,220}?)[\"'`]\s*\)", rf"{_Q}({_NQ}{{1,120}}?assets/[A-Za-z0-9_./\-]{{1,180}}){_Q}"),
-    "scene": (rf"{_Q}({_NQ}{{1,120}}?(?:worker|transcoder|draco|basis)[A-Za-z0-9_./\-]{{0,100}}\.(?:js|wasm)){_Q}", r"setPath\(\s*[\"'`]([^\"'`()]{1,180})[\"'`]\s*\)"),
-    "loaders": (r"set(?:Decoder|Transcoder|MeshoptDecoder)Path\(\s*[\"'`]([^\"'`()]{1,180})[\"'`]", rf"(?i){_Q}({_NQ}{{1,220}}?typeface\.json){_Q}", rf"(?i){_Q}({_NQ}{{1,220}}?\.splinecode){_Q}"),
-    "generic": (rf"(?i){_Q}([A-Za-z0-9_./%+?#&=@:$~\-]{{1,220}}?\.(?:{ASSET_EXTS})(?:[?#][^\"'`\s<>]*)?){_Q}", r"(?i)url\(\s*[\"']?([^)\"'\s<>]{1,300})[\"']?\s*\)", rf"{_Q}(/(?:{DIRECTORIES})/[A-Za-z0-9_./%+?#&=@:$~\-]{{0,200}}){_Q}"),
+    "webpack": (r"static/chunks/([A-Za-z0-9_.$-]+\.(?:js|css))", r"(?:^|[^A-Za-z0-9_.-])((?:\d{1,9}\.)?[A-Za-z0-9_.$-]{0,300}[0-9a-f]{8,}\.[A-Za-z0-9_.$-]{0,300}\.?(?:js|css))", r"((?:/)?_next/static/(?:chunks|css|media)/[^\"'`\s\\<>]+?\.(?:js|css)(?:[?#][^\"'`\s\\<>]*)?)"),
+    "turbopack": (r"parseChunk[^;]{0,600}?[\"'`]([^\"'`]{1,220}?\.js(?:[?#][^\"'`]*)?)[\"'`]", r"((?:/)?_next/static/chunks/[^\"'`\s\\<>]*?[0-9a-f]{8,}[^\"'`\s\\<>]*?\.(?:js|css))", _NEXT_STATIC),
+    "vite": (r"import\(\s*[\"'`]([^\"'`]{1,220}?)[\"'`]\s*\)", rf"{_Q}({_NQ}{{1,120}}?assets/[A-Za-z0-9_./\-]{{1,180}}){_Q}", rf"(?i){_Q}([{_PATH}]{{1,220}}?\.(?:glb|gltf|drc|ktx2?|font|icon|webp|basis|hdr|bin|wasm|fnt|atlas|ply|splat|riv|fbx|obj|mtl|usdz)(?:[?#][^\"'`\s<>]*)?){_Q}"),
+    "scene": (rf"(?i){_Q}([{_PATH}]{{1,220}}?(?:/common/|/assets/(?:audio|fonts|images|geometries|libs)/|lottie/|data\.json|scene\.glb|draco|basis|meshopt|transcoder|worker|setPath)[{_PATH}]{{0,120}}){_Q}", rf"{_Q}({_NQ}{{1,120}}?(?:worker|transcoder|draco|basis)[A-Za-z0-9_./\-]{{0,100}}\.(?:js|wasm)){_Q}", _SET_PATH),
+    "loaders": (_DECODER, rf"(?i){_Q}({_NQ}{{1,220}}?typeface\.json(?:[?#]{_NQ}*)?){_Q}", rf"(?i){_Q}({_NQ}{{1,220}}?\.splinecode(?:[?#]{_NQ}*)?){_Q}", r"[\"']url[\"']\s*:\s*[\"']([^\"']+)[\"']"),
+    "generic": (_QUOTED_ASSET, r"(?i)url\(\s*[\"']?([^)\"'\s<>]{1,300})[\"']?\s*\)", _NEXT_STATIC, r"/_next/image\?url=([^&\"'`\s<>]+)", r"(/_next/image\?url=[^&\"'`\s<>]+)", rf"{_Q}(/(?:{DIRECTORIES})/[{_PATH}]{{0,200}}){_Q}"),
 }
 ALWAYS = ("loaders", "generic")
+#: Files beside a decoder path, and extensions of absolute URLs that are assets.
+DECODER_FILES = ("draco_decoder.js", "draco_decoder.wasm", "draco_wasm_wrapper.js", "basis_transcoder.js", "basis_transcoder.wasm", "meshopt_decoder.js", "meshopt_decoder.wasm")
+ABSOLUTE_EXTS = ("js", "css", "drc", "ktx2", "wasm", "json", "bin", "glb", "gltf", "exr", "avif", "webp", "png", "jpg", "ogg", "mp3", "wav", "woff2", "ktx", "basis", "data")
 
 
 @dataclass(frozen=True)
@@ -44,29 +54,98 @@ class Limits:
     gaps: int = 8
     depth: int = 3
     pages: int = 200
+    bases: int = 10
+    relative: int = 3000
+    path_ids: int = 400
+
+
+def _literals(name: str, text: Column) -> Column:
+    """Raw references of one parser, in discovery order."""
+    lists = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in PARSERS[name]]
+    whole = lambda c: F.filter(c, lambda r: ~r.contains("${"))
+    if name == "webpack":
+        in_chunks = lambda c: F.transform(c, lambda r: F.concat(F.lit("/_next/static/chunks/"), F.regexp_replace(r, r"^[./]+|[./]+$", "")))
+        near = r"miniCssF[\s\S]{0,6000}?" + _ID_HASH
+        styles = F.zip_with(F.regexp_extract_all(text, F.lit(near), F.lit(1)), F.regexp_extract_all(text, F.lit(near), F.lit(2)), lambda i, h: F.concat(F.lit("/_next/static/chunks/"), i, F.lit("."), h, F.lit(".css")))
+        lists = [in_chunks(lists[0]), in_chunks(lists[1]), styles, lists[2]]
+    elif name == "scene":
+        lists[2] = whole(lists[2])
+    elif name == "loaders":
+        folder = lambda b: F.when(b.endswith("/"), b).otherwise(F.concat(b, F.lit("/")))
+        files = F.array(*[F.lit(f) for f in DECODER_FILES])
+        lists[0] = F.flatten(F.transform(whole(lists[0]), lambda b: F.transform(files, lambda f: F.concat(folder(F.trim(b)), f))))
+        maps = F.regexp_extract_all(text, F.lit(_IMPORTMAP), F.lit(1))
+        imports = F.transform(maps, lambda m: F.coalesce(F.map_values(F.from_json(m, "imports map<string,string>")["imports"]), F.array().cast("array<string>")))
+        lists.insert(3, F.flatten(imports))
+    elif name == "generic":
+        lists[3] = F.transform(lists[3], lambda r: F.when(urls.unquote(r).startswith("/"), urls.unquote(r)).otherwise(F.concat(F.lit("/"), urls.unquote(r))))
+    return F.concat(*lists)
+
+
+def _tagged(raw: Column, order: int, name: str) -> Column:
+    """array<struct>: a list's references, normalised (absolute ones only without end punctuation)."""
+    tidy = (lambda r: F.regexp_replace(r, r"[.,;]+$", "")) if name == "absolute" else urls.normalize_ref
+    return F.transform(raw, lambda r, i: F.struct(F.lit(order).alias("parser_order"), i.alias("pos"), F.lit(name).alias("parser"), tidy(r).alias("ref")))
 
 
 def refs(bundles: DataFrame, parsers: tuple[str, ...] = tuple(PARSERS)) -> DataFrame:
-    """url, parser, ref, parser_order, pos: normalised, fetchable, distinct references of bundles(url, text)."""
-    found = []
-    for order, name in enumerate(p for p in PARSERS if p in parsers or p in ALWAYS):
-        lists = [F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in PARSERS[name]]
-        if name == "webpack":
-            lists[0] = F.transform(lists[0], lambda r: F.concat(F.lit("/_next/static/chunks/"), r))
-        found.append(bundles.select("url", F.lit(name).alias("parser"), F.lit(order).alias("parser_order"), F.posexplode(F.concat(*lists)).alias("pos", "raw")))
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    rows = rows.withColumn("ref", urls.normalize_ref(F.col("raw"))).filter(P.fetchable(F.col("ref")) & ~F.col("ref").rlike("(?i)^https?://"))
-    least = rows.groupBy("url", "ref").agg(F.min(F.struct("parser_order", "pos", "parser")).alias("f"))
+    """url, parser, ref, parser_order, pos: normalised, fetchable, distinct references of bundles(url, text).
+
+    Escapes are undone first. Absolute URLs stand under the parser ``absolute``, unchanged."""
+    # All parsers' lists in one array: the text is scanned and unescaped once, and exploded once. The outer
+    # form keeps Catalyst from testing that array for emptiness in a filter beforehand, and references are
+    # normalised inside it, where a filter on them cannot be pushed below and repeat the work.
+    plain = bundles.select("url", urls.js_unescape("text").alias("text"))
+    lists = [_tagged(_literals(name, F.col("text")), order, name) for order, name in enumerate(p for p in PARSERS if p in parsers or p in ALWAYS)]
+    lists.append(_tagged(F.regexp_extract_all("text", F.lit(r"(https?://[^\"'`\s<>\\]+)"), F.lit(1)), len(PARSERS), "absolute"))
+    rows = plain.select("url", F.explode_outer(F.concat(*lists)).alias("x")).filter("x is not null").select("url", "x.*")
+    if "webpack" in parsers:
+        rows = rows.unionByName(chunk_map(bundles).select("url", F.lit("webpack").alias("parser"), F.lit(0).alias("parser_order"), F.lit(-1).alias("pos"), "ref"))
+    ref = F.col("ref")
+    fits = P.fetchable(ref) & ~ref.rlike("(?i)^https?://") & ~ref.contains("\\")
+    asset = ~ref.rlike(r"[{}]") & urls.bundle_ext(ref).isin(*ABSOLUTE_EXTS)
+    good = rows.filter(F.when(F.col("parser") == "absolute", asset).otherwise(fits))
+    least = good.groupBy("url", "ref").agg(F.min(F.struct("parser_order", "pos", "parser")).alias("f"))
     return least.select("url", "f.parser", "ref", "f.parser_order", "f.pos")
 
 
 def chunk_map(bundles: DataFrame) -> DataFrame:
-    """url, chunk_id, hash, ref of id-to-hash maps with hashes of 12 digits or more; the name is the id."""
-    pairs = F.regexp_extract_all("text", F.lit(r"""(\d{2,5}["']?\s*:\s*["'][0-9a-f]{8,64}["'])"""), F.lit(1))
+    """url, chunk_id, hash, ref of id-to-hash maps with hashes of 12 digits or more. A chunk is called by the
+    first name that a map of names gives its id, else by the id."""
+    pairs = F.regexp_extract_all("text", F.lit(f"({_ID_HASH})"), F.lit(1))
     rows = bundles.select("url", F.explode(pairs).alias("p")).select("url", F.regexp_extract("p", r"^(\d+)", 1).alias("chunk_id"), F.regexp_extract("p", r"([0-9a-f]{8,64})[\"']$", 1).alias("hash"))
-    return rows.filter(F.length("hash") >= 12).distinct().withColumn("ref", F.concat(F.lit("/_next/static/chunks/"), "chunk_id", F.lit("."), "hash", F.lit(".js")))
+    rows = rows.filter(F.length("hash") >= 12).distinct()
+    maps = F.array_join(F.regexp_extract_all("text", F.lit(r"""\(\{((?:\d+:["'][0-9a-f]{8}["'],?)+)\}\)"""), F.lit(1)), ",")
+    named = bundles.select("url", F.posexplode(F.regexp_extract_all(maps, F.lit(r"""(\d+:["'][0-9a-f]{8})"""), F.lit(1))).alias("pos", "p"))
+    names = named.groupBy("url", F.regexp_extract("p", r"^(\d+)", 1).alias("chunk_id")).agg(F.min_by(F.regexp_extract("p", "(.{8})$", 1), "pos").alias("name"))
+    called = F.coalesce("name", "chunk_id")
+    return rows.join(names, ["url", "chunk_id"], "left").select("url", "chunk_id", "hash", F.concat(F.lit("/_next/static/chunks/"), called, F.lit("."), "hash", F.lit(".js")).alias("ref"))
+
+
+def loader_bases(text: Column, limits: Limits = Limits()) -> Column:
+    """array<string>: root-absolute folders that loaders are pointed at; a leading variable is dropped."""
+    raw = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (_SET_PATH, _DECODER)])
+    bare = F.transform(raw, lambda b: F.regexp_replace(F.trim(b), r"^\$\{[^}]+\}", ""))
+    rooted = F.transform(F.filter(bare, lambda b: b.startswith("/")), lambda b: F.when(b.endswith("/"), b).otherwise(F.concat(b, F.lit("/"))))
+    return F.slice(F.array_distinct(rooted), 1, limits.bases)
+
+
+def relative_refs(bundles: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """url, ref: relative asset literals of bundles(url, text) below each of the bundle's loader bases."""
+    rows = bundles.select("url", loader_bases(F.col("text"), limits).alias("bases"), urls.js_unescape("text").alias("text")).filter(F.size("bases") > 0)
+    literals = F.filter(F.regexp_extract_all("text", F.lit(_QUOTED_ASSET), F.lit(1)), lambda r: ~r.rlike("^(?:/|https?://|data:|blob:)"))
+    # Enough literals to reach the cap, so that the product stays small.
+    few = F.slice(literals, 1, limits.relative)
+    made = F.slice(F.flatten(F.transform(few, lambda r: F.transform("bases", lambda b: F.concat(b, F.regexp_replace(r, r"^[./]+", ""))))), 1, limits.relative)
+    tidy = F.transform(made, urls.normalize_ref)
+    return rows.select("url", F.explode_outer(tidy).alias("ref")).filter(P.fetchable(F.col("ref"))).distinct()
+
+
+def path_ids(bundles: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """url, pos, id: relative path literals without an extension, which can stand for a template's variable."""
+    literals = F.regexp_extract_all("text", F.lit(r"""["'`]([^"'`\s<>]*/[^"'`\s<>]*)["'`]"""), F.lit(1))
+    good = F.filter(literals, lambda p: ~p.contains("://") & (F.length(p) <= 120) & (urls.bundle_ext(p) == "") & ~p.rlike(r"^(?:/|\./|\.\./)"))
+    return bundles.select("url", F.posexplode(F.slice(good, 1, limits.path_ids)).alias("pos", "id"))
 
 
 def frame_clusters(bundles: DataFrame) -> DataFrame:
@@ -167,7 +246,7 @@ def gltf_refs(files: DataFrame) -> DataFrame:
 
 def importmap_refs(pages: DataFrame) -> DataFrame:
     """page_id, name, ref of import maps in pages(page_id, html)."""
-    body = F.regexp_extract("html", r"(?is)<script[^>]+type\s*=\s*[\"']importmap[\"'][^>]*>(.*?)</script>", 1)
+    body = F.regexp_extract("html", _IMPORTMAP, 1)
     return pages.select("page_id", F.explode(F.from_json(body, "imports map<string,string>")["imports"]).alias("name", "ref"))
 
 

@@ -107,6 +107,7 @@ def assets(pages: DataFrame) -> DataFrame:
     both = F.array(F.struct(kind.alias("bucket"), F.col("ref").alias("r")), F.when(optimizer, F.struct(F.lit("next_images").alias("bucket"), F.col("ref").alias("r"))), F.when(optimizer & kind.isin("images"), F.struct(F.lit("images").alias("bucket"), urls.optimizer_source(F.col("ref")).alias("r"))))
     flat = rows.select("page_id", "pos", "sub", F.posexplode(both).alias("part", "x")).filter("x.bucket is not null and x.r <> ''")
     flat = flat.select("page_id", F.col("x.bucket").alias("bucket"), F.when(F.col("x.bucket") == "routes", F.regexp_replace("x.r", "(?s)#.*$", "")).otherwise(F.col("x.r")).alias("ref"), (F.col("pos").cast("long") * 10000 + F.col("sub") * 3 + F.col("part")).alias("pos"))
+    flat = flat.filter((F.col("bucket") != "routes") | ((F.col("ref") != "") & ~F.col("ref").startswith("?")))
     return first_seen(flat, ["page_id", "bucket", "ref"], ["pos"])
 
 

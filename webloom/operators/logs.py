@@ -25,3 +25,11 @@ def in_flight(events: DataFrame, key: str) -> DataFrame:
 def inventory(files: DataFrame) -> DataFrame:
     """ext, files, bytes over files(path, size)."""
     return files.groupBy(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("ext")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def clone_summary(files: DataFrame, tokens: DataFrame) -> DataFrame:
+    """One row: files, bytes, pages (HTML outside `shots`), colors, fonts over files(path, size), tokens(kind, token)."""
+    page = F.lower("path").endswith(".html") & ~F.regexp_replace("path", "[^/]*$", "").contains("shots")
+    sizes = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(page).alias("pages"), F.lit(1).alias("one"))
+    kinds = tokens.agg(F.count_if(F.col("kind") == "color").alias("colors"), F.count_if(F.col("kind") == "font").alias("fonts"), F.lit(1).alias("one"))
+    return sizes.join(kinds, "one").drop("one")

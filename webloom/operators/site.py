@@ -77,16 +77,22 @@ def missing_files(refs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.select(F.col("ref").alias("path")).distinct().join(files.select("path").distinct(), "path", "left_anti")
 
 
-def served_file(path: Column) -> Column:
-    """Candidate files of a requested path, in the order a static server tries them."""
-    p = F.regexp_replace(urls.unquote(urls.strip_query(path)), "^/+|/+$", "")
-    return F.when(p == "", F.array(F.lit("index.html"))).when(F.element_at(F.split(p, "/"), -1).contains("."), F.array(p)).otherwise(F.array(F.concat(p, F.lit(".html")), F.concat(p, F.lit("/index.html"))))
+def served_files(path: Column, is_folder: Column) -> Column:
+    """Candidate files of a bare path, in the order a static server tries them: a folder's index or namesake,
+    a file as it is named, a page's own file."""
+    last = F.element_at(F.split(path, "/"), -1)
+    folder = F.array(F.concat(path, F.lit("/index.html")), F.concat(path, F.lit("/"), last, F.lit(".html")))
+    return F.when(path == "", F.array(F.lit("index.html"))).when(last.contains("."), F.array(path)).when(is_folder, folder).otherwise(F.array(F.concat(path, F.lit(".html"))))
 
 
 def serve(requests: DataFrame, files: DataFrame) -> DataFrame:
     """requests(path) with file: the first candidate that exists, else null."""
-    paths = requests.select("path").distinct()
-    tried = paths.select("path", F.posexplode(served_file(F.col("path"))).alias("prio", "file"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    folders = files.filter(F.col("path").contains("/")).select(F.explode(above).alias("bare")).distinct().withColumn("folder", F.lit(True))
+    bare = F.regexp_replace(urls.unquote(urls.strip_query(F.col("path"))), "^/+|/+$", "")
+    paths = requests.select("path").distinct().withColumn("bare", bare).join(folders, "bare", "left")
+    tried = paths.select("path", F.posexplode(served_files(F.col("bare"), F.coalesce("folder", F.lit(False)))).alias("prio", "file"))
     best = tried.join(files.select(F.col("path").alias("file")).distinct(), "file").groupBy("path").agg(F.min_by("file", "prio").alias("file"))
     return requests.join(best, "path", "left")
 
@@ -101,11 +107,17 @@ def optimizer_files(refs: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("ref", "source", F.coalesce("exact", "named").alias("file"))
 
 
+#: A crawl's page cap bounds its route map; `rewritten` takes maps of any size as tables.
+MOST_ROUTES = 100_000
+
+
 def rewrite_pages(pages: DataFrame, routes: dict[str, str]) -> DataFrame:
     """page_id, html, missing of pages(page_id, html, depth, framework): the document form of `rewritten`.
 
     One regular expression per document cannot carry per-match decisions, hence Arrow batches; `routes` is
     the site's own small map. Comments and script bodies stay as they are, and a second run changes nothing."""
+    if len(routes) > MOST_ROUTES:
+        raise ValueError(f"{len(routes)} routes: use rewritten(), which joins them")
     known = {(k if k == "/" else k.rstrip("/")): v for k, v in routes.items()}
 
     @F.pandas_udf("html string, missing array<string>")
@@ -196,6 +208,13 @@ def problem_summary(events: DataFrame) -> DataFrame:
     return counts.withColumn("clean", F.col("failed") == 0)
 
 
+def failed_requests(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """requests(url) that failed and count: no noise, no media, no prefetch, no file(path) of their own."""
+    path = urls.unquote(F.regexp_replace(urls.strip_query(F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")), "^/+", ""))
+    rows = requests.filter(~P.noise(F.col("url")) & ~urls.html_ext(F.col("url")).isin(*P.PLAYED)).withColumn("path", path)
+    return rows.join(files.select("path").distinct(), "path", "left_anti").drop("path")
+
+
 def dns_failure(error: Column) -> Column:
     """Whether a fetch log's error says that a host name was not found."""
     return F.lower(error).rlike("name or service not known|getaddrinfo|nodename nor servname|name resolution|nxdomain")

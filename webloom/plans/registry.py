@@ -108,14 +108,15 @@ def framework(spark, sf):
     return rows.groupBy("framework", html.parser_hint(F.col("framework")).alias("hint")).agg(F.count("*").alias("n"))
 
 
-@query(f"""with d as (select page_id, unnest(regexp_extract_all({_MASK.replace('html', 'html')}, '(?:src|href|poster|srcset|data-hero)="([^"]+)"', 0)) as m from derived_pages where page_id % 7 <> 6),
+@query(f"""with {_ANCHORS}, d as (select page_id, unnest(regexp_extract_all(html, '(?:src|href|poster|srcset|data-hero)="([^"]+)"', 0)) as m from derived_pages where html not in (select html from pages)),
 v as (select page_id, split_part(m, '=', 1) as attr, replace(regexp_extract(m, '"(.*)"', 1), '&amp;', '&') as v from d),
 x as (select page_id, attr, unnest(case when attr = 'srcset' then list_transform(str_split(v, ', '), lambda s: split_part(s, ' ', 1)) else [v] end) as ref from v),
 b as (select page_id, ref, case when attr = 'data-hero' then 'data_attrs' when ref like '/p/%' then 'routes' when contains(ref, '/_next/image?url=') then 'images' when {_EXT.format('ref')} = 'css' then 'stylesheets' when attr = 'href' then 'links' when {_EXT.format('ref')} = 'js' then 'scripts' when {_EXT.format('ref')} = 'mp4' then 'videos' else 'images' end as bucket from x)
 select bucket, count(distinct (page_id, ref)) as n_refs, count(distinct page_id) as n_pages from (select * from b union all select page_id, ref, 'next_images' from b where contains(ref, '/_next/image?url=')
- union all select page_id, url_decode(regexp_extract(ref, 'url=([^&]+)', 1)), 'images' from b where contains(ref, '/_next/image?url=')) group by 1""")
+ union all select page_id, url_decode(regexp_extract(ref, 'url=([^&]+)', 1)), 'images' from b where contains(ref, '/_next/image?url=')
+ union all select page_id, replace(route, '&amp;', '&'), 'routes' from routes join derived_pages using (page_id) where html in (select html from pages)) group by 1""")
 def asset_buckets(spark, sf):
-    rows = html.assets(table(spark, sf, "derived_pages").filter("page_id % 7 <> 6"))
+    rows = html.assets(table(spark, sf, "derived_pages"))
     return rows.groupBy("bucket").agg(F.count("*").alias("n_refs"), F.count_distinct("page_id").alias("n_pages"))
 
 
@@ -226,10 +227,10 @@ def live_prefixes(spark, sf):
     return bundles.live_prefixes(made.select("prefix", "url"), made.filter("alive and url like '%_1.drc'").select("url"))
 
 
-@query("select 'k' || page_id as key, (unnest(range(0, 4)))::int as pos, unnest(['/e/x.glb', '/e/x.ktx2', '/e/' || page_id || '.glb', '/e/' || page_id || '.ktx2']) as url from pages where page_id % 5 = 1")
+@query("select 'k' || page_id as key, (unnest(range(0, 4)))::int as pos, unnest(['/e/x.glb', '/e/x.ktx2', '/e/' || page_id || '.glb', '/e/' || page_id || '.ktx2']) as url from pages")
 def enum_expand(spark, sf):
     i = F.col("page_id").cast("string")
-    specs = table(spark, sf, "pages").filter("page_id % 5 = 1").select(F.concat(F.lit("k"), i).alias("key"), F.array(F.lit("/e")).alias("bases"), F.array(F.lit("x"), i).alias("ids"), F.array(F.lit("glb"), F.lit("ktx2")).alias("exts"))
+    specs = table(spark, sf, "pages").select(F.concat(F.lit("k"), i).alias("key"), F.array(F.lit("/e")).alias("bases"), F.array(F.lit("x"), i).alias("ids"), F.array(F.lit("glb"), F.lit("ktx2")).alias("exts"))
     return bundles.expand_enum(specs)
 
 
@@ -300,3 +301,113 @@ _REQUESTS = "select page_id, case cast(page_id % 4 as int) when 0 then concat('/
 def noise_filters(spark, sf):
     rows = spark.sql(_REQUESTS.replace("from pages", "from {pages}"), pages=table(spark, sf, "pages"))
     return rows.select("page_id", "url", P.noise(F.col("url")).alias("ignored"), P.noise(F.col("url"), "serve").alias("stubbed"))
+
+
+_SCRIPT = "select page_id, '/js/s' || page_id || '.js' as url, md5(page_id::varchar) as h, '/models/p' || (page_id%7) || '/' as b1, '/draco' || (page_id%3) || '/' as b2 from pages"
+
+
+@query(f"select url, b1 as base from ({_SCRIPT}) union all select url, b2 from ({_SCRIPT})")
+def loader_bases(spark, sf):
+    return table(spark, sf, "derived_scripts").select("url", F.explode(bundles.loader_bases(F.col("text"))).alias("base"))
+
+
+@query(f"select url, unnest([b1, b2]) || r as ref from (select *, unnest(['planets/x' || page_id || '.drc', 'ring' || page_id || '.glb']) as r from ({_SCRIPT}))")
+def relative_refs(spark, sf):
+    return bundles.relative_refs(table(spark, sf, "derived_scripts"))
+
+
+_BY_PARSER = {
+    "webpack": "'/_next/static/chunks/t' || substr(h, 1, 8) || '.js'",
+    "turbopack": "unnest(['/tb/t' || substr(h, 1, 8) || '.js', '/_next/static/media/' || substr(h, 1, 12) || '.woff2'])",
+    "loaders": "unnest([b2 || 'draco_decoder.js', b2 || 'draco_decoder.wasm', b2 || 'draco_wasm_wrapper.js', b2 || 'basis_transcoder.js', b2 || 'basis_transcoder.wasm', b2 || 'meshopt_decoder.js', b2 || 'meshopt_decoder.wasm', '/fonts/f' || page_id || '.typeface.json', '/sw/' || page_id || '.json'])",
+    "scene": "unnest(['/draco' || (page_id%3), '/lib/assets/audio/a' || page_id, b1])",
+    "absolute": "'https://cdn.example.org/lib/k' || page_id || '.wasm'",
+}
+
+
+def _by_parser(name: str):
+    def run(spark, sf):
+        found = bundles.refs(table(spark, sf, "derived_scripts"), () if name == "absolute" else (name,))
+        return found.filter(F.col("parser") == name).select("url", "ref")
+
+    run.__name__ = f"script_refs_{name}"
+    return run
+
+
+for _name, _sql in _BY_PARSER.items():
+    query(f"select url, {_sql} as ref from ({_SCRIPT})")(_by_parser(_name))
+
+
+@query("select '/js/s' || page_id || '.js' as url, 'set/' || page_id || '/part' as id from pages")
+def path_ids(spark, sf):
+    return bundles.path_ids(table(spark, sf, "derived_scripts")).select("url", "id")
+
+
+@query("select distinct 'https://site' || (page_id%10) || '.example.com/sitemap.xml' as url, '/s/' || page_id as route from pages")
+def sitemap_routes(spark, sf):
+    return site.sitemap_routes(table(spark, sf, "derived_sitemaps"))
+
+
+@query("select url, unnest([replace(url, 'list.m3u8', 'seg' || page_id || '.ts'), 'https://v.example.com/abs/' || substr(md5(page_id::varchar), 1, 6) || '.ts']) as segment from (select page_id, 'https://v.example.com/p/' || page_id || '/list.m3u8' as url from pages)")
+def playlist_refs(spark, sf):
+    return site.playlist_refs(table(spark, sf, "derived_playlists"))
+
+
+@query("select '/js/q' || page_id || '.js' as url, '/frames/v' || (page_id%3) || '/f_{}.webp' as template, page_id % 7 as first, 100::bigint as last, 4 as pad from pages")
+def frame_sequences(spark, sf):
+    return bundles.frame_sequences(table(spark, sf, "derived_sequences"))
+
+
+@query("select '/assets/b' || page_id || '.js' as url, '/models/m' || page_id || '/lod_' as prefix, 'i' as variable, '.glb' as suffix from pages")
+def template_specs(spark, sf):
+    return bundles.template_specs(table(spark, sf, "derived_bundles")).select("url", "prefix", "variable", "suffix")
+
+
+@query("select '/api/' || page_id as path, case when page_id % 5 = 0 then '{}' else '{\"a\":\"/m/' || page_id || '.glb\",\"b\":\"/no/' || page_id || '\"}' end as body from pages union all select '/api/' || page_id || '/', case when page_id % 5 = 0 then '{}' else '{\"a\":\"/m/' || page_id || '.glb\",\"b\":\"/no/' || page_id || '\"}' end from pages")
+def api_answers(spark, sf):
+    asked = table(spark, sf, "pages").selectExpr("explode(array(concat('/api/', cast(page_id as string)), concat('/api/', cast(page_id as string), '/'))) as path")
+    return site.api_answers(asked, site.api_payloads(table(spark, sf, "derived_payloads")))
+
+
+@query("select case when page_id % 2 = 0 then '/' else '' end || 'api/' || page_id || '?v=1' as url, '/m/' || page_id || '.glb' as ref from pages where page_id % 5 <> 0")
+def api_hints(spark, sf):
+    return bundles.api_hints(table(spark, sf, "derived_payloads").selectExpr("path as url", "body as text"))
+
+
+@query("select '/l/' || page_id || '.json' as url, 'i/' || page_id || '.png' as ref from pages")
+def lottie_refs(spark, sf):
+    return bundles.lottie_refs(table(spark, sf, "derived_lotties"))
+
+
+@query("select '/l/' || page_id || '.json' as url, 'https://a.example.org/assets/' || page_id || '.png' as ref from pages")
+def embedded_urls(spark, sf):
+    return bundles.embedded_urls(table(spark, sf, "derived_lotties"))
+
+
+@query("select '/d' || page_id as path, case page_id % 4 when 0 then 'd' || page_id || '/index.html' when 1 then 'd' || page_id || '.html' end as file from pages")
+def serve_routes(spark, sf):
+    return site.serve(table(spark, sf, "pages").selectExpr("concat('/d', cast(page_id as string)) as path"), table(spark, sf, "derived_tree"))
+
+
+@query("select '/_next/image?url=%2Fx%2Fd' || page_id || '.png&w=64' as ref, case when page_id % 4 <> 3 then 'img/D' || page_id || '.PNG' end as file from pages")
+def optimizer_files(spark, sf):
+    refs = table(spark, sf, "pages").selectExpr("concat('/_next/image?url=%2Fx%2Fd', cast(page_id as string), '.png&w=64') as ref")
+    return site.optimizer_files(refs, table(spark, sf, "derived_tree")).select("ref", "file")
+
+
+@query("select count(*) as files, sum(size)::bigint as bytes, count(*) filter (where path like '%.html' and path not like 'shots/%') as pages, (select count(*) from (select distinct unnest(regexp_extract_all(text, '#[0-9a-fA-F]{3,8}\\b|rgba?\\([^)]{1,60}\\)|hsla?\\([^)]{1,60}\\)')) from derived_css)) as colors, (select count(distinct page_id % 9) + 1 from pages) as fonts from derived_tree")
+def clone_summary(spark, sf):
+    return logs.clone_summary(table(spark, sf, "derived_tree"), bundles.design_tokens(table(spark, sf, "derived_css")))
+
+
+@query("select page_id, replace(html, 'https://example.com', '') as html, (length(html) - length(replace(html, 'https://example.com', ''))) // 19 as n from (select page_id, html || url || ' https://example.com/x' as html from pages)")
+def strip_origin(spark, sf):
+    text, n = site.strip_origin(F.expr("concat(html, url, ' https://example.com/x')"), "https://example.com")
+    return table(spark, sf, "pages").select("page_id", text.alias("html"), n.alias("n"))
+
+
+@query("select '/g/' || page_id || '.' || e as url, 400 + page_id % 2 as status from (select page_id, unnest(['png', 'js']) as e from pages) where not (e = 'png' and page_id % 2 = 0)")
+def failed_requests(spark, sf):
+    asked = table(spark, sf, "pages").selectExpr("page_id", "explode(array('png', 'js', 'mp4', 'png?_rsc=1')) as e").selectExpr("concat('/g/', cast(page_id as string), '.', e) as url", "400 + page_id % 2 as status")
+    files = table(spark, sf, "pages").selectExpr("explode(array(concat('g/', cast(page_id * 2 as string), '.png'), concat('g/h', cast(page_id as string), '.js'))) as path").unionByName(table(spark, sf, "pages").selectExpr("concat('g/', cast(page_id - page_id % 2 as string), '.png') as path"))
+    return site.failed_requests(asked, files)

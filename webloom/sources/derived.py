@@ -29,6 +29,14 @@ SQL = {
     "derived_frames": "select page_id, concat('/seq/', cast(page_id%4 as string), '/f{}.webp') as template, page_id % 11 as first, page_id % 11 + page_id % 5 - 1 as last, cast(page_id % 4 as int) as pad from pages",
     "derived_lods": "select page_id, concat('/g/', cast(page_id%3 as string), '/lod-') as root, '.glb' as tail, cast(page_id % 13 * 2 as int) as num from pages where page_id % 13 <> 5",
     "derived_templates": "select page_id, concat('/t/', cast(page_id as string), '/part_') as prefix, '.drc' as suffix, array_id, page_id % 3 <> 0 as alive from (select page_id, cast(page_id % 4 as int) as array_id from pages) t",
+    "derived_scripts": f"""select concat('/js/s',id,'.js') as url, concat('a.setPath("/models/p',cast(page_id%7 as string),'/");d.setDecoderPath("/draco',cast(page_id%3 as string),'");l("planets/x',id,'.drc");w("./ring',id,'.glb");parseChunk("/tb/t',substr(h,1,8),'.js");n("\\/_next\\/static\\/media\\/',substr(h,1,12),'.woff2");s("/lib/assets/audio/a',id,'");y("/fonts/f',id,'.typeface.json");{{"url":"/sw/',id,'.json"}};i("/_next/image?url=%2Fo%2F',id,'.png&w=64");k("https://cdn.example.org/lib/k',id,'.wasm");ids("set/',id,'/part")') as text from ({_BASE}) t""",
+    "derived_sitemaps": f"""select concat('https://site',cast(page_id%10 as string),'.example.com/sitemap.xml') as url, concat('<urlset><loc> https://site',cast(page_id%10 as string),'.example.com/s/',id,'?q=1 </loc><loc>https://other.example.net/',id,'</loc></urlset>') as text from ({_BASE}) t""",
+    "derived_playlists": f"""select concat('https://v.example.com/p/',id,'/list.m3u8') as url, concat('#EXTM3U\n#EXTINF:4,\nseg',id,'.ts\n\n/abs/',substr(h,1,6),'.ts\nhttps://cdn.example.org/x.ts\n') as text from ({_BASE}) t""",
+    "derived_sequences": f"""select concat('/js/q',id,'.js') as url, concat('sequence:{{folder:"v',cast(page_id%3 as string),'",prefix:"f_",startIndex:',cast(page_id%7 as string),',endIndex:1e2,padLength:4}}') as text from ({_BASE}) t""",
+    "derived_payloads": f"""select concat(case when page_id%2=0 then '/' else '' end,'api/',id,'?v=1') as path, case when page_id%5=0 then '<html>' else concat('{{"a":"/m/',id,'.glb","b":"/no/',id,'"}}') end as body from ({_BASE}) t""",
+    "derived_lotties": f"""select concat('/l/',id,'.json') as url, concat('{{"assets":[{{"u":"i/","p":"',id,'.png"}},{{"u":"","p":"data:image"}}],"more":"https://a.example.org/assets/',id,'.png"}}') as text from ({_BASE}) t""",
+    "derived_tree": """select concat('d',cast(page_id as string),'/index.html') as path, page_id as size from pages where page_id % 4 = 0 union all select concat('d',cast(page_id as string),'.html'), page_id from pages where page_id % 4 < 2
+ union all select concat('shots/d',cast(page_id as string),'.html'), page_id from pages where page_id % 4 = 2 union all select concat('img/D',cast(page_id as string),'.PNG'), page_id from pages where page_id % 4 <> 3""",
 }
 
 
