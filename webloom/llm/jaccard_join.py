@@ -3,7 +3,8 @@
 Two documents link when ``100 * |A & B| >= threshold * |A | B|`` (Jaccard distance of at most
 ``eps = 1 - threshold/100``); a document's class is the smallest doc_id reachable by links.
 
-How it works, all of it exact for 64-bit shingle hashes:
+How it works, all of it exact but for equal hashes of different shingles (48 bits and those of the hash
+range are kept: 52 at least, 64 from 65,536 ranges on; a collision moves an intersection by one):
 
 1. *Shingles.* Texts become sets of hashed word shingles; equal word sequences share a fingerprint.
    Shingles go, packed, to the partition of their hash range, which counts in how many texts each
