@@ -172,6 +172,32 @@ def test_compression_bands(corpus, odd):
     assert not compression_bands.compression(np.random.default_rng(0).bytes(20000), bands, codec)[3]
 
 
+def test_compression_bands_encoded_and_templated(spark):
+    rng = np.random.default_rng(5)
+    wrapped = lambda s: "\n".join(s[i : i + 76] for i in range(0, len(s), 76))
+    encoded = {
+        "base64": (lambda n: wrapped(base64.b64encode(rng.bytes(n)).decode())[:n], (300, 400, 600, 1100, 4000, 5000, 20000, 100_000)),
+        "unbroken hex": (lambda n: rng.bytes(n).hex()[:n], (4700, 5000, 9000, 20000, 100_000)),
+        "hex": (lambda n: wrapped(rng.bytes(n).hex())[:n], (4700, 9000, 20000, 100_000)),
+        "printable": (lambda n: "".join(chr(c) for c in rng.integers(32, 127, n)), (300, 400, 600, 1100, 4000, 5000, 20000, 100_000)),
+        "template": (lambda n: "".join(f"Order {rng.integers(10**6)} from {rng.choice(['Anna', 'Bert', 'Carl'])} was shipped on day {rng.integers(365)}.\n" for _ in range(n // 40))[:n], (1300, 2500, 5000, 20000, 100_000)),
+    }
+    texts = [(kind, n, make(n)) for kind, (make, sizes) in encoded.items() for n in sizes]
+    got = {r.doc_id: r for r in compression_bands.compression_rules(docs(spark, [(i, t) for i, (_, _, t) in enumerate(texts)])).collect()}
+    import zstandard
+
+    codec = zstandard.ZstdCompressor(level=3)
+    for i, (kind, n, t) in enumerate(texts):
+        assert not got[i].kept and not compression_bands.compression(t.encode(), compression_bands.Bands(), codec)[3], (kind, n, got[i].ratio)
+    # Of a long dump no base rule rejects, the bands do.
+    assert not got[texts.index(next(x for x in texts if x[:2] == ("base64", 20000)))].base_failed
+
+
+def test_compression_bands_keep_prose(corpus):
+    got = compression_bands.compression_rules(corpus).filter("not base_failed").collect()
+    assert sum(r.kept for r in got) >= 0.98 * len(got) > 0
+
+
 def test_warc(spark):
     rows = [(1, "http://a/ b\r\nc", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 5000), (5, "u", "é" * 5000), (6, "u", "é" * 5000), (None, "u", "same"), (7, "u", "WARC/1.1\r\n\r\n")]
     pages = spark.createDataFrame([(*r, 9) for r in rows], "page_id long, url string, html string, digest int")
