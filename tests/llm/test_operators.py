@@ -338,6 +338,23 @@ def test_secret_scan(spark, corpus):
     assert "secret:" in by[6] and "identifier:" in by[6] and "secret" not in by[7] and "secret:" not in by[8] and by[9] == "" and by[5] == ""
 
 
+def test_secret_after_equals_sign(spark):
+    key, secret = "AKIA" + "Q7" * 8, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    texts = [
+        (1, f"AWS_ACCESS_KEY_ID={key}\nAWS_SECRET_ACCESS_KEY={secret}\nREGION=x"), (2, f"[default]\nid = {key}\nsk={secret}"), (3, f"GET https://a.io/x?client_id=web1&sig={secret}&v=2"),
+        (4, f"KEY={secret}"), (5, f"{key} sum={secret}="), (6, f"{key} sum={secret}A"), (7, f"client_id=web1 SK={secret} https://a.io/x"),
+    ]
+    table = docs(spark, texts)
+    spans = {r.doc_id: r.spans.split(",") for r in secret_scan.scan(table).collect()}
+    for i, t in texts:
+        at = t.index(secret)
+        assert (f"secret:{at}:{at + 40}" in spans[i]) == (i in (1, 2, 3, 7)), i
+    assert [x.split(":")[0] for x in spans[7]] == ["identifier", "secret", "endpoint"]
+    clean = {r.doc_id: r.text for r in secret_scan.redact(table).collect()}
+    assert clean[1] == "AWS_ACCESS_KEY_ID=[SECRET]\nAWS_SECRET_ACCESS_KEY=[SECRET]\nREGION=x" and clean[4] == texts[3][1]
+    assert all(secret not in clean[i] for i in (1, 2, 3, 7))
+
+
 def test_redaction(spark):
     got = {r.doc_id: r for r in secret_scan.redact(docs(spark, SECRETS)).collect()}
     assert got[-1 if -1 in got else None].text == "[SECRET]" and got[4].text is None and got[9].text == SECRETS[8][1]

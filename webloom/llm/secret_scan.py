@@ -2,7 +2,7 @@
 
 Strong kinds are reported as they stand: ``assign`` (a named secret with a value of 8 or more characters),
 ``access`` (access key identifiers) and ``hex`` (32 or more hexadecimal digits). Weak kinds mean little
-alone: ``secret`` (a 40-character base64 run), ``identifier`` (a client, account or user name assignment) and
+alone: ``secret`` (a 40-character base64 run without padding, also right after ``=``), ``identifier`` (a client, account or user name assignment) and
 ``endpoint`` (a URL or service host). An interval join links parts within ``scope`` characters of each
 other, and a weak candidate is reported only where complementary parts co-occur: a secret beside an access
 key, identifier or endpoint; an identifier beside a secret or a named secret; an endpoint beside an access
@@ -30,7 +30,7 @@ _ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][
 #: Kinds in report order. The lengths are part of the pattern where that finds the same matches.
 STRONG = {"assign": _ASSIGN, "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 WEAK = {
-    "secret": r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])",
+    "secret": r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])",
     "identifier": r"""(?i:client|account|user|tenant)_?(?i:id|name)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
     "endpoint": r"""https?://[A-Za-z0-9._:-]+(?:/[A-Za-z0-9._~/%-]*)?|[a-z0-9.-]+\.amazonaws\.com""",
 }
