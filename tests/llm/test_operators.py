@@ -378,6 +378,17 @@ def test_hpylm(corpus, odd):
     assert both[True].perplexity < both[True].base_perplexity
 
 
+def test_hpylm_probabilities_sum_to_one(spark):
+    rng = np.random.default_rng(2)
+    names = [f"w{k}" for k in range(60)]
+    texts = [" ".join(names[min(59, k)] for k in rng.zipf(1.4, 200)) for _ in range(20)]
+    seen = sorted({w for t in texts for w in t.split()})
+    table = docs(spark, [*enumerate(texts), *enumerate(["", "unheard", *seen], 100)])
+    # With one context a word's probability is the same everywhere, and every text ends with the end token.
+    got = {r.doc_id: r.score for r in hpylm.score(table, F.col("doc_id") >= 100, hpylm.Settings(contexts=1)).collect()}
+    assert 10 ** got[100] + sum(10 ** (got[i] - got[100]) for i in range(101, 102 + len(seen))) == pytest.approx(1, abs=1e-4)
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     t = hpylm.seat(np.array([0, 1, 2, 1000]), np.array([1.0, 1.0, 0.0, 1.0]), 0.5, rng)
