@@ -378,24 +378,113 @@ def test_hpylm(corpus, odd):
     assert both[True].perplexity < both[True].base_perplexity
 
 
-def test_hpylm_probabilities_sum_to_one(spark):
+def model_of(spark, texts, settings):
+    """The states of a model of the texts, and by state the restaurants, the root's dishes and the context dishes."""
+    table = docs(spark, list(enumerate(texts))).select("doc_id", "text", F.lit(False).alias("held_out"))
+    rows, columns = hpylm._grid(table, settings)
+    packed = hpylm._fixed(hpylm._packed_rows(table, rows, columns), 4, "rng")
+    states, kept = hpylm._sampled(packed, rows, columns, 4, settings)
+    found, told = defaultdict(list), defaultdict(list)
+    for r in packed.collect():
+        found[r.rng].append(r.asDict())
+    for r in kept.collect():
+        told[r.batch, r.rng].append(r.asDict())
+    out = []
+    for k in range(len(states)):
+        contexts, root, dishes = {}, {}, defaultdict(dict)
+        for number, own in found.items():
+            if not any(r["kind"] == hpylm._PAIRS for r in own):
+                continue
+            part = hpylm._Range(own)
+            answer = {r["slot"]: r for r in told[k, number] if r["kind"] == hpylm._ANSWER}
+            kept_seats = next(r for r in told[k, number] if r["kind"] == hpylm._SEATS)
+            seats = hpylm.Seats.read(kept_seats["a"], kept_seats["b"])
+            assert seats.customers().tolist() == part.customers[part.customers > 1].tolist()
+            tables = (part.customers > 0).astype(int)
+            tables[part.customers > 1] = seats.tables()
+            i, j = divmod(number, columns)
+            row, column = ({key: hpylm._unpack(answer[at][key]).tolist() for key in keys} for at, keys in ((i, "ab"), (rows + j, "bc")))
+            contexts.update({(i, u): x for u, *x in zip(part.us.tolist(), row["a"], row["b"])})
+            root.update({(j, w): x for w, *x in zip(part.ws.tolist(), column["b"], column["c"])})
+            for u, w, c, t in zip(part.us[part.u].tolist(), part.ws[part.w].tolist(), part.customers.tolist(), tables.tolist()):
+                dishes[i, u][j, w] = (c, t)
+        out.append((contexts, root, dishes))
+    return states, out
+
+
+def test_hpylm_states_are_consistent_and_sum_to_one(spark):
     rng = np.random.default_rng(2)
     names = [f"w{k}" for k in range(60)]
     texts = [" ".join(names[min(59, k)] for k in rng.zipf(1.4, 200)) for _ in range(20)]
-    seen = sorted({w for t in texts for w in t.split()})
-    table = docs(spark, [*enumerate(texts), *enumerate(["", "unheard", *seen], 100)])
-    # With one context a word's probability is the same everywhere, and every text ends with the end token.
-    got = {r.doc_id: r.score for r in hpylm.score(table, F.col("doc_id") >= 100, hpylm.Settings(contexts=1)).collect()}
-    assert 10 ** got[100] + sum(10 ** (got[i] - got[100]) for i in range(101, 102 + len(seen))) == pytest.approx(1, abs=1e-4)
-
-
-def test_seating():
+    states, found = model_of(spark, texts, hpylm.Settings())
+    tokens = [[None, *words(t), None] for t in texts]
+    counted = Counter(p for t in tokens for p in zip(t, t[1:]))
+    for state, (contexts, root, dishes) in zip(states, found):
+        every = [x for own in dishes.values() for x in own.values()]
+        assert len(contexts) == len(root) == state.vocabulary and sorted(c for c, _ in every) == sorted(counted.values())
+        assert sum(c for c, _ in root.values()) == state.root_customers and sum(t for _, t in root.values()) == state.root_tables
+        assert all(1 <= t <= c for c, t in [*root.values(), *every])
+        p = {w: float(state.root(c, t)) for w, (c, t) in root.items()}
+        unheard = float(state.root(0, 0))
+        assert sum(p.values()) + unheard == pytest.approx(1, abs=1e-9)
+        for w, (c, _) in root.items():  # the root's customers are the tables below
+            assert c == sum(own[w][1] for own in dishes.values() if w in own)
+        for u, (c, t) in contexts.items():
+            own = dishes[u]
+            assert (c, t) == tuple(np.sum(list(own.values()), axis=0))
+            mass = sum(state.predictive(*own.get(w, (0, 0)), c, t, p[w]) for w in root) + state.predictive(0, 0, c, t, unheard)
+            assert mass == pytest.approx(1, abs=1e-9)
+
+
+def table_odds(customers, parent, strength, discount):
+    """Exact distribution of the tables of a restaurant with one dish, by summing over all seatings in turn."""
+    odds = {1: 1.0}
+    for n in range(1, customers):
+        after = defaultdict(float)
+        for t, x in odds.items():
+            after[t] += x * (n - discount * t)
+            after[t + 1] += x * (strength + discount * t) * parent
+        odds = after
+    total = sum(odds.values())
+    return {t: x / total for t, x in odds.items()}
+
+
+@pytest.mark.parametrize(("customers", "parent"), [(2, 0.3), (5, 0.05), (12, 0.4)])
+def test_gibbs_reaches_the_exact_distribution(customers, parent):
+    """Many restaurants with one dish each: reseating forgets the start and ends at the exact odds."""
+    many, rng = 8_000, np.random.default_rng(1)
+    for start in (np.full(many, customers), np.ones(many * customers, int)):  # one table, or a table for each
+        seats = hpylm.Seats(np.repeat(np.arange(many), len(start) // many), start.copy(), many)
+        tables = seats.tables().astype(float)
+        seats.reseat(np.full(many, parent), np.arange(many), tables, 1.0, 0.6, rng, 40 * customers)
+        assert (seats.customers() == customers).all() and (seats.tables() == tables).all() and (seats.size > 0).all()
+        share = np.bincount(seats.tables(), minlength=customers + 1) / many
+        for t, x in table_odds(customers, parent, 1.0, 0.6).items():
+            assert share[t] == pytest.approx(x, abs=0.025)
+
+
+def test_first_seats():
     rng = np.random.default_rng(0)
-    t = hpylm.seat(np.array([0, 1, 2, 1000]), np.array([1.0, 1.0, 0.0, 1.0]), 0.5, rng)
-    assert t[0] == 0 and t[1] == 1 and t[2] == 1 and 1 <= t[3] <= 1000
-    exact = np.mean([hpylm.seat(np.full(50, 400), np.full(50, 2.0), 0.5, rng, exact=1 << 30).mean() for _ in range(4)])
-    quick = np.mean([hpylm.seat(np.full(50, 400), np.full(50, 2.0), 0.5, rng).mean() for _ in range(4)])
-    assert abs(exact - quick) < 0.1 * exact
+    want = np.array([0, 1, 2, 1000, 50_000_000])
+    seats = hpylm.Seats.none(5)
+    seats.grow(want, np.array([1.0, 1.0, 0.0, 1.0, 3.0]), 0.5, rng)
+    assert seats.customers().tolist() == want.tolist() and seats.tables()[:3].tolist() == [0, 1, 1] and (seats.size > 0).all()
+    assert hpylm.Seats.read(*seats.written()).size.tolist() == seats.size.tolist()
+    less = np.array([0, 0, 1, 10, 40_000_000])
+    seats.shrink(less, rng)
+    assert seats.customers().tolist() == less.tolist() and (seats.size > 0).all()
+    seats.grow(want, np.ones(5), 0.5, rng)
+    assert seats.customers().tolist() == want.tolist()
+
+
+def test_hpylm_tells_contexts_apart(spark):
+    """Learned pairs of words are likelier than the same words otherwise; a text seen twice than one held out."""
+    rng = np.random.default_rng(4)
+    names = [f"w{k}" for k in range(300)]
+    texts = [(i, " ".join(names[k] for k in rng.integers(0, 300, 60))) for i in range(100)]
+    more = [(200, prose(9, 80)), (201, prose(9, 80)), (300, prose(10, 80)), (301, " ".join(reversed(texts[5][1].split()))), (302, texts[5][1])]
+    got = {r.doc_id: r.score / r.n_tokens for r in hpylm.score(docs(spark, texts + more), F.col("doc_id") >= 300).collect()}
+    assert got[302] > got[301] + 0.3 and got[200] == got[201] > got[300] + 0.5
 
 
 def test_hpylm_without_training(odd):
