@@ -403,9 +403,10 @@ def model_of(spark, texts, settings):
             tables = (part.customers > 0).astype(int)
             tables[part.customers > 1] = seats.tables()
             i, j = divmod(number, columns)
-            row, column = ({key: hpylm._unpack(answer[at][key]).tolist() for key in keys} for at, keys in ((i, "ab"), (rows + j, "bc")))
-            contexts.update({(i, u): x for u, *x in zip(part.us.tolist(), row["a"], row["b"])})
-            root.update({(j, w): x for w, *x in zip(part.ws.tolist(), column["b"], column["c"])})
+            counts = next(r for r in told[-1, number] if r["slot"] == i)
+            row, column = answer[i], answer[rows + j]
+            contexts.update({(i, u): x for u, *x in zip(part.us.tolist(), hpylm._unpack(counts["a"]).tolist(), hpylm._unpack(row["b"]).tolist())})
+            root.update({(j, w): x for w, *x in zip(part.ws.tolist(), hpylm._unpack(column["b"]).tolist(), hpylm._unpack(column["c"]).tolist())})
             for u, w, c, t in zip(part.us[part.u].tolist(), part.ws[part.w].tolist(), part.customers.tolist(), tables.tolist()):
                 dishes[i, u][j, w] = (c, t)
         out.append((contexts, root, dishes))
