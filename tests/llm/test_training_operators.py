@@ -381,9 +381,9 @@ def test_hpylm(corpus, odd):
 def model_of(spark, texts, settings):
     """The states of a model of the texts, and by state the restaurants, the root's dishes and the context dishes."""
     table = docs(spark, list(enumerate(texts))).select("doc_id", "text", F.lit(False).alias("held_out"))
-    rows, columns = hpylm._grid(table, settings)
-    packed = hpylm._fixed(hpylm._packed_rows(table, rows, columns), 4, "rng")
-    states, kept = hpylm._sampled(packed, rows, columns, 4, settings)
+    grid = hpylm._Grid(3, 2, 2)
+    packed = hpylm._fixed(hpylm._packed_rows(table, grid), 4, "rng")
+    states, kept = hpylm._sampled(packed, grid, 4, settings)
     found, told = defaultdict(list), defaultdict(list)
     for r in packed.collect():
         found[r.rng].append(r.asDict())
@@ -396,17 +396,16 @@ def model_of(spark, texts, settings):
             if not any(r["kind"] == hpylm._PAIRS for r in own):
                 continue
             part = hpylm._Range(own)
-            answer = {r["slot"]: r for r in told[k, number] if r["kind"] == hpylm._ANSWER}
             kept_seats = next(r for r in told[k, number] if r["kind"] == hpylm._SEATS)
             seats = hpylm.Seats.read(kept_seats["a"], kept_seats["b"])
             assert seats.customers().tolist() == part.customers[part.customers > 1].tolist()
             tables = (part.customers > 0).astype(int)
             tables[part.customers > 1] = seats.tables()
-            i, j = divmod(number, columns)
-            counts = next(r for r in told[-1, number] if r["slot"] == i)
-            row, column = answer[i], answer[rows + j]
-            contexts.update({(i, u): x for u, *x in zip(part.us.tolist(), hpylm._unpack(counts["a"]).tolist(), hpylm._unpack(row["b"]).tolist())})
-            root.update({(j, w): x for w, *x in zip(part.ws.tolist(), hpylm._unpack(column["b"]).tolist(), hpylm._unpack(column["c"]).tolist())})
+            i, j = divmod(number, grid.columns)
+            answers = [r for r in told[k, number] if r["kind"] == hpylm._ANSWER]
+            customers = grid.told(told[-1, number], 0, "a")
+            contexts.update({(i, u): x for u, *x in zip(part.us.tolist(), customers.tolist(), grid.told(answers, 0, "b").tolist())})
+            root.update({(j, w): x for w, *x in zip(part.ws.tolist(), grid.told(answers, 1, "b").tolist(), grid.told(answers, 1, "c").tolist())})
             for u, w, c, t in zip(part.us[part.u].tolist(), part.ws[part.w].tolist(), part.customers.tolist(), tables.tolist()):
                 dishes[i, u][j, w] = (c, t)
         out.append((contexts, root, dishes))
