@@ -146,6 +146,56 @@ def test_cotraining(spark, corpus, odd):
     assert cotraining.quality(odd, labels).count() == len(ODD)
 
 
+def two_views(n, share, seed):
+    """Rows of a class each, whose views tell it apart independently and with errors."""
+    rng = np.random.default_rng(seed)
+    y = (np.arange(n) < share * n).astype(float)
+    a, b = (rng.normal(size=(n, 8)).astype(np.float32) for _ in range(2))
+    a[:, 0] += 2.5 * y
+    b[:, 1] += 2.5 * y
+    return a, b, y
+
+
+def test_cotraining_rounds_and_calibration():
+    own, pool, new = two_views(2000, 0.5, 1), two_views(2000, 0.8, 2), two_views(8000, 0.8, 3)
+    model = cotraining.fit(*own, pool[0], pool[1], cotraining.Settings(rounds=3), prior=0.8)
+    assert model.held == (250, 250)
+    assert all(model.exchanged[turn, view, q] > 0 for turn in range(3) for view in (0, 1) for q in (0, 1))
+    p = model.probability(new[0], new[1])
+    bins = np.minimum(9, (10 * p).astype(int))
+    error = sum(abs(p[bins == k].mean() - new[2][bins == k].mean()) * np.mean(bins == k) for k in range(10) if (bins == k).any())
+    assert error < 0.03 and np.mean((p > 0.5) == (new[2] > 0.5)) > 0.94
+    lone = [np.mean((cotraining._sigmoid(s[0] * cotraining._margin(v, w) + s[1]) > 0.5) == (new[2] > 0.5)) for v, w, s in ((new[0], model.text, model.text_platt), (new[1], model.meta, model.meta_platt))]
+    assert np.mean((p > 0.5) == (new[2] > 0.5)) > max(lone)
+    few = cotraining.fit(own[0][996:1004], own[1][996:1004], own[2][996:1004], pool[0][:0], pool[1][:0], cotraining.Settings())
+    assert few.held == (1, 1) and not any(few.exchanged.values())
+    assert cotraining.held_back(np.array([0, 0, 0, 1])).sum() == 0
+
+
+def test_text_view_of_slices():
+    raw = np.frombuffer(prose(3, 60_000).encode() * 8, np.uint8)[: (1 << 21) + 77]
+    assert len(raw) == (1 << 21) + 77
+    whole = cotraining.text_view(raw, 64)
+    h = [np.zeros(len(raw), np.uint32)]
+    counts = np.zeros(64)
+    for n in range(1, 4):
+        h.append(h[-1][: len(raw) - n + 1] * np.uint32(0x01000193) ^ raw[n - 1 :].astype(np.uint32) * np.uint32(0x9E3779B1))
+        g = (h[-1] + np.uint32(n)) * np.uint32(0x85EBCA6B)
+        counts += np.bincount((g ^ (g >> np.uint32(13))) % np.uint32(64), minlength=64)
+    want = np.sqrt(counts)
+    assert np.allclose(whole, want / np.linalg.norm(want), atol=1e-6)
+
+
+def test_cotraining_odd_labels(spark, corpus):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    hot = corpus.limit(1).select("text", "lang", "source", "n_chars").crossJoin(spark.range(500).select(F.lit(-5).cast("long").alias("doc_id")))
+    more = corpus.unionByName(hot.select(*corpus.columns)).withColumn("held_out", F.lit(1)).withColumn("quality", F.lit("x"))
+    both = labels.unionByName(labels.withColumn("quality", F.lit(None).cast(labels.schema["quality"].dataType))).unionByName(labels.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("text", F.lit(1))
+    one = {r.doc_id: round(r.score, 6) for r in cotraining.quality(more, both).collect()}
+    assert cotraining.quality(more, both).count() == corpus.count() + 500
+    assert set(one.values()) != {0.5}
+
+
 def test_compression_bands(corpus, odd):
     bands = compression_bands.Bands()
     import zstandard
