@@ -333,20 +333,80 @@ def test_nnls_uses_exact_fills():
     assert packing.solve_counts(combos, counts).tolist() == [100]
 
 
-def test_decontamination(spark, odd):
+def contaminated(texts, items):
+    """Which items each document holds, by comparing every stretch that some seed hits."""
+    word = re.compile(r"[^\W_]+")
+    split = lambda t: word.findall((t or "").lower())
+    found = defaultdict(set)
+    for doc, text in texts:
+        d = split(text)
+        for item, t in items:
+            b = split(t)
+            if doc is None or item is None or not b:
+                continue
+            if len(b) < 5:
+                if d == b:
+                    found[doc].add(item)
+                continue
+            for mask in decontamination.MASKS if len(b) >= 10 else decontamination.SHORT:
+                taken = [k for k, c in enumerate(mask) if c == "1"]
+                for i in range(len(d) - len(mask) + 1):
+                    for j in range(len(b) - len(mask) + 1):
+                        if all(d[i + k] == b[j + k] for k in taken):
+                            f = max(0, min(j - 2, len(b) - 13))
+                            own = b[f : f + 13]
+                            at = i - j + f
+                            equal = sum(0 <= at + k < len(d) and d[at + k] == w for k, w in enumerate(own))
+                            if 100 * equal >= 80 * len(own):
+                                found[doc].add(item)
+    return {k: len(v) for k, v in found.items()}
+
+
+def test_decontamination(spark):
     item = "The quick brown fox jumps over the lazy dog near the old river bank today"
-    bench = spark.createDataFrame([(1, item, 0), (1, item, 0), (2, None, 0), (3, "four words are few", 0), (4, "six short words stand right here", 0), (None, item, 0)], "item_id long, text string, w int")
-    w = item.split()
+    items = [(1, item), (1, item), (2, None), (3, "four words are few"), (4, "six short words stand right here"), (None, item), (5, "exactly five words in here"), (6, "yes"), (7, "nine words make one item that is still short")]
+    bench = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, w int")
+    w, six, nine = item.split(), items[4][1].split(), items[8][1].split()
+    one = lambda own, k: " ".join([*own[:k], "odd", *own[k + 1 :]])
     texts = [
         (1, f"{prose(1)} {item}. {prose(2)}"), (2, prose(3)), (3, prose(1, 5) + " " + " ".join(w[:4] + ["cat"] + w[5:11] + ["an"] + w[12:]) + "!"), (4, "x Six short, words stand right HERE y"),
-        (5, "four words are few"), (6, " ".join(w[:6])), (7, item.upper()), (8, None), (9, (item + "\n") * 300), (10, " ".join(x if i % 2 else "zz" for i, x in enumerate(w))), (-1, item),
+        (5, "Four words, are few!"), (6, " ".join(w[:6])), (7, item.upper()), (8, None), (9, (item + "\n") * 300), (10, " ".join(x if i % 2 else "zz" for i, x in enumerate(w))), (-1, item),
+        (11, "so four words are few"), (12, "yes"), (13, "oh yes"), (9, "no"), (14, ""),
+        *((20 + k, f"a {one(six, k)} b") for k in range(6)), *((30 + k, one(items[6][1].split(), k)) for k in range(5)), *((40 + k, f"{one(nine, k)} b") for k in range(9)), (50, one(nine, 2).replace("still", "odd")),
     ]
-    got = {r.doc_id: (r.contaminated, r.n_items) for r in decontamination.decontaminate(docs(spark, texts), bench).collect()}
-    assert {i for i, (c, _) in got.items() if c} == {1, 3, 4, 7, 9} and got[1] == (True, 1)
-    wide = {r.doc_id for r in decontamination.decontaminate(docs(spark, texts), bench, broadcast_rows=0).filter("contaminated").collect()}
-    assert wide == {1, 3, 4, 7, 9}
-    kept = decontamination.clean(docs(spark, texts), bench)
-    assert {r.doc_id for r in kept.collect()} == {2, 5, 6, 8, 10, None} and kept.columns == docs(spark, texts).columns
+    table = docs(spark, texts).withColumn("h", F.lit(1)).withColumn("w", F.lit(1)).withColumn("x", F.lit(1)).withColumn("mask", F.lit(1)).withColumn("th", F.lit(1))
+    want = contaminated([(i if i >= 0 else None, t) for i, t in texts], items)
+    assert {1, 3, 4, 5, 7, 9, 12, *range(20, 26), *range(30, 35), *range(40, 49)} == set(want)
+    assert {r.doc_id: r.n_items for r in decontamination.decontaminate(table, bench).filter("contaminated").collect()} == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = decontamination.decontaminate(table, bench, broadcast_rows=0)
+        assert "BroadcastHashJoin" not in wide._jdf.queryExecution().toString() and {r.doc_id: r.n_items for r in wide.filter("contaminated").collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    kept = decontamination.clean(table, bench)
+    assert {r.doc_id for r in kept.collect()} == {i if i >= 0 else None for i, _ in texts} - set(want) and kept.columns == table.columns
+
+
+def test_decontamination_sql(spark, tmp_path):
+    """The SQL tells items of every length as the operator does."""
+    import duckdb
+
+    from webloom.llm.queries import ORACLE_SQL
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(12)]
+    items = [(k, " ".join(rng.choice(vocabulary, 1 + k % 14))) for k in range(60)]
+    texts = [(k, " ".join([*rng.choice(vocabulary, k % 5), *(x if rng.random() > 0.1 else "z" for x in items[int(rng.integers(60))][1].split())])) for k in range(120)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.execute("create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", texts)
+    con.executemany("insert into benchmark values (?, ?)", items)
+    want = {r[0]: r[2] for r in con.sql(ORACLE_SQL["op6_decontamination"]).fetchall()}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.n_items for r in decontamination.decontaminate(docs(spark, texts), bench).collect()}
+    assert got == want == {i: contaminated(texts, items).get(i, 0) for i, _ in texts} and len({v > 0 for v in got.values()}) == 2
 
 
 def test_license_scan(spark, odd):

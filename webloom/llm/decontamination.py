@@ -6,10 +6,12 @@ hit, which a substitution at an ignored position cannot prevent. Around each hit
 ``stretch`` words (or the whole item, if shorter) is compared word by word: at least ``percent`` percent
 equal words confirm it. A document with a confirmed hit is contaminated.
 
-Items shorter than the masks use a contiguous mask of ``least`` words; items with fewer words are too
-common to be evidence and are never reported. The item's windows are broadcast if their counted number is
-at most ``broadcast_rows``; otherwise the same join is shuffled (hot windows are then split by adaptive
-execution). Documents' windows are not gathered, and each document is read once.
+Items of five to nine words take the short masks: four words of five, such that some mask misses any one
+substituted word. An item of fewer words is too common to be evidence within a text; it is found only where it is
+the whole of a document. If the benchmark's windows, which are counted, are at most ``broadcast_rows``, they are
+broadcast and each document is read once. Otherwise both sides' windows are shuffled as hashes with positions,
+never with words (hot windows are then split by adaptive execution); the stretches of the distinct places met are
+fetched afterwards by document and by item. Documents' windows are not gathered.
 
 Cases: null or empty texts have no windows; null item_ids are ignored; repeated items or rows do not change
 a verdict; rows that share a doc_id share the verdict, which is that of any of their texts; a null doc_id is
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: 1: the word is hashed; 0: it is ignored.
 MASKS = ("1101100111", "1110010111")
+#: For items shorter than those: any one word of five or more may differ.
+SHORT = ("1111", "11011", "10111", "11101")
 
 
 def words(text: Column) -> Column:
@@ -65,34 +69,52 @@ def hashed(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), F.transform(words(F.col(text).cast("string")), lambda w: F.xxhash64(w)).alias("w"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: int = 5, stretch: int = 13, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
+def hits(
+    docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, short: tuple[str, ...] = SHORT, stretch: int = 13, percent: int = 80, broadcast_rows: int = 250_000
+) -> DataFrame:
     """Hits and their comparison: doc_id, item_id, equal and compared words of the stretch, confirmed."""
-    span = max(map(len, masks))
+    span, least = max(map(len, masks)), max(map(len, short))
     real = F.filter(words(F.col("text").cast("string")), lambda w: w != "")
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.transform(real, lambda w: F.xxhash64(w)).alias("w"))
     size = F.size("w")
-    used = (*masks, "1" * least)
+    used = (*masks, *short)
     lengths = F.array(*[F.lit(len(m)) for m in used])
-    fits = F.when(size >= span, F.col("mask") < len(masks)).otherwise(F.col("mask") == len(masks)) & (F.col("at") + F.get(lengths, F.col("mask")) <= size)
+    fits = ((size >= span) == (F.col("mask") < len(masks))) & (F.col("at") + F.get(lengths, F.col("mask")) <= size)
     seeds = with_windows(items.filter(size >= least), used).select("item_id", "w", F.posexplode_outer("x").alias("k", "h"))
     seeds = seeds.select("item_id", "w", "h", F.floor(F.col("k") / size).cast("int").alias("mask"), (F.col("k") % size).alias("at")).filter(fits)
     first = F.greatest(F.lit(0), F.least(F.col("at") - 2, size - stretch))
     # A benchmark window, the place of the stretch to compare, and its words.
     seeds = seeds.select("h", "mask", "item_id", F.col("at").alias("item_at"), first.alias("from"), F.slice("w", first + 1, F.lit(stretch)).alias("expected")).distinct()
-    rows, some_short = seeds.agg(F.count("*"), F.max((F.col("mask") == len(masks)).cast("int"))).first()
-    if rows <= broadcast_rows:
-        seeds = F.broadcast(seeds)
-    # Documents take the contiguous mask only where short items ask for it.
-    own = with_windows(hashed(docs, "doc_id").filter("doc_id is not null"), used if some_short else masks)
+    rows, some_short = seeds.agg(F.count("*"), F.max((F.col("mask") >= len(masks)).cast("int"))).first()
+    tiny = items.filter((size > 0) & (size < least)).select("item_id", F.xxhash64("w").alias("h"), size.alias("n")).distinct()
+    # Documents take the short masks only where short items ask for them.
+    own = hashed(docs, "doc_id").filter("doc_id is not null")
     # The outer form keeps Catalyst from testing the whole expression for emptiness in a filter beforehand.
-    own = own.select("doc_id", "w", F.posexplode_outer("x").alias("k", "h"))
-    met = own.join(seeds, "h").withColumn("shift", F.col("k") % F.size("w") - F.col("item_at") + F.col("from"))
-    # Only the stretch leaves the join, so that long texts are never copied to their hits.
+    wide = lambda df, *keys: with_windows(df, used if some_short else masks).select(*keys, F.posexplode_outer("x").alias("k", "h"))
+    shift = F.col("k") % F.size("w") - F.col("item_at") + F.col("from")
     cut = F.slice("w", F.greatest("shift", F.lit(0)) + 1, F.lit(stretch))
-    near = met.select("doc_id", "item_id", "expected", F.greatest(-F.col("shift"), F.lit(0)).alias("lead"), cut.alias("got")).distinct()
+    lead = F.greatest(-F.col("shift"), F.lit(0)).alias("lead")
+    if rows <= broadcast_rows:
+        met = wide(own, "doc_id", "w").join(F.broadcast(seeds), "h").withColumn("shift", shift)
+        # Only the stretch leaves the join, so that long texts are never copied to their hits.
+        near = met.select("doc_id", "item_id", "expected", lead, cut.alias("got")).distinct()
+    else:
+        # A document's rows are told apart by their words' hash; its length goes along, its words do not.
+        own = own.withColumn("th", F.xxhash64("w"))
+        places = wide(own.withColumn("n", size), "doc_id", "th", "n").filter("h is not null")
+        stretches = seeds.select("expected").distinct().select(F.xxhash64("expected").alias("eh"), "expected")
+        met = places.join(seeds.select("h", "item_id", "item_at", "from", F.xxhash64("expected").alias("eh")), "h")
+        met = met.select("doc_id", "th", "item_id", "eh", (F.col("k") % F.col("n") - F.col("item_at") + F.col("from")).alias("shift")).distinct()
+        texts = own.groupBy("doc_id", "th").agg(F.first("w").alias("w"))
+        near = met.join(texts, ["doc_id", "th"]).select("doc_id", "item_id", "eh", lead, cut.alias("got")).distinct().join(stretches, "eh")
     same = lambda e, i: F.when((i >= F.col("lead")) & (F.get("got", i - F.col("lead")) == e), F.lit(1))
     equal = F.size(F.filter(F.transform("expected", same), lambda v: v.isNotNull()))
-    return near.select("doc_id", "item_id", equal.alias("equal"), F.size("expected").alias("compared")).withColumn("confirmed", F.col("equal") * 100 >= F.lit(percent) * F.col("compared"))
+    out = near.select("doc_id", "item_id", equal.alias("equal"), F.size("expected").alias("compared")).withColumn("confirmed", F.col("equal") * 100 >= F.lit(percent) * F.col("compared"))
+    if tiny.isEmpty():
+        return out
+    few = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(real, lambda w: F.xxhash64(w)).alias("w")).filter(size.between(1, least - 1))
+    whole = few.select("doc_id", F.xxhash64("w").alias("h"), size.alias("n")).join(tiny, ["h", "n"])
+    return out.unionByName(whole.select("doc_id", "item_id", F.col("n").alias("equal"), F.col("n").alias("compared"), F.lit(True).alias("confirmed")))
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, options: dict) -> DataFrame:

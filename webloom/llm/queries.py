@@ -77,7 +77,8 @@ QUERIES = {
     )
 }
 
-_SEEDS = ((0, 1, 3, 4, 7, 8, 9), (0, 1, 2, 5, 7, 8, 9))
+#: The words that each mask takes, and its length: for items of ten words or more, and for those of five to nine.
+_SEEDS = (((0, 1, 3, 4, 7, 8, 9), 10), ((0, 1, 2, 5, 7, 8, 9), 10), ((0, 1, 2, 3), 4), ((0, 1, 3, 4), 5), ((0, 2, 3, 4), 5), ((0, 1, 2, 4), 5))
 
 
 def _seed(name: str, at: str, taken: tuple[int, ...]) -> str:
@@ -85,22 +86,24 @@ def _seed(name: str, at: str, taken: tuple[int, ...]) -> str:
 
 
 def _decontamination_sql() -> str:
-    """The same definition over word strings: spaced seeds, then a stretch of 13 words, 80 percent equal."""
+    """The same definition over word strings: spaced seeds, then a stretch of 13 words, 80 percent equal; an item of
+    fewer than five words must be the whole document."""
     words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
-    def seeds(table: str, key: str) -> str:
-        made = [f"select {key}, w, pos, {m} as mask, {_seed('w', 'pos', taken)} as seed from (select {key}, w, unnest(range(0, len(w) - 9)) as pos from {table} where len(w) >= 10)" for m, taken in enumerate(_SEEDS)]
+    def seeds(table: str, key: str, whose: tuple[str, str]) -> str:
+        made = [f"select {key}, w, pos, {m} as mask, {_seed('w', 'pos', taken)} as seed from (select {key}, w, unnest(range(0, len(w) - {span - 1})) as pos from {table} where len(w) >= {span} and {whose[m > 1]})" for m, (taken, span) in enumerate(_SEEDS)]
         return " union all ".join(made)
 
     return f"""
 with d as (select doc_id, {words} as w from documents where doc_id is not null),
 b as (select item_id, {words} as w from benchmark where item_id is not null),
-ds as ({seeds("d", "doc_id")}), bs as ({seeds("b", "item_id")}),
+ds as ({seeds("d", "doc_id", ("true", "exists (select 1 from b where len(b.w) between 5 and 9)"))}), bs as ({seeds("b", "item_id", ("true", "len(w) between 5 and 9"))}),
 met as (select ds.doc_id, bs.item_id, ds.pos as da, bs.pos as ba, ds.w as dw, bs.w as bw, greatest(0, least(bs.pos - 2, len(bs.w) - 13)) as f
   from ds join bs on ds.mask = bs.mask and ds.seed = bs.seed),
 cmp as (select doc_id, item_id, least(13, len(bw) - f) as n,
   len(list_filter(range(0, least(13, len(bw) - f)), lambda i: da - ba + f + i >= 0 and dw[da - ba + f + i + 1] = bw[f + i + 1])) as eq from met),
-hit as (select doc_id, count(distinct item_id) as n from cmp where eq * 100 >= 80 * n group by doc_id)
+hit as (select doc_id, count(distinct item_id) as n from (select doc_id, item_id from cmp where eq * 100 >= 80 * n
+  union all select doc_id, item_id from d join b on d.w = b.w and len(b.w) between 1 and 4) group by doc_id)
 select doc_id, hit.n is not null as contaminated, coalesce(hit.n, 0)::bigint as n_items from documents left join hit using (doc_id)
 """
 
