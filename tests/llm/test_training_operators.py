@@ -465,6 +465,47 @@ def test_secret_after_equals_sign(spark):
     assert all(secret not in clean[i] for i in (1, 2, 3, 7))
 
 
+def all_spans(t, scope=240):
+    """Base spans, and weak ones beside a complementary part, comparing all pairs."""
+    base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base_spans(t))]
+    weak = {
+        "secret": r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])",
+        "identifier": r"""(?:client|account|user|tenant)_?(?:id|name)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
+        "endpoint": r"""https?://[A-Za-z0-9._:-]+(?:/[A-Za-z0-9._~/%-]*)?|[a-z0-9.-]+\.amazonaws\.com""",
+    }
+    weak = {k: [(m.start(), m.end()) for m in re.finditer(p, t or "", re.I if k == "identifier" else 0)] for k, p in weak.items()}
+    strong = {k: [(a, b) for n, a, b in base if n == k] for k in ("assign", "access", "hex")}
+    near = lambda s, others: any(o[0] - s[1] <= scope and s[0] - o[1] <= scope for o in others)
+    proven = [s for s in weak["identifier"] if near(s, weak["secret"])]
+    out = [("secret", *s) for s in weak["secret"] if near(s, strong["access"] + weak["identifier"] + weak["endpoint"])]
+    out += [("identifier", *s) for s in weak["identifier"] if near(s, weak["secret"] + strong["assign"])]
+    out += [("endpoint", *s) for s in weak["endpoint"] if near(s, strong["access"] + proven)]
+    order = ("assign", "access", "hex", "secret", "identifier", "endpoint")
+    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(((a, order.index(k), b) for k, a, b in base + out)) for k in (order[k],))
+
+
+def test_linking_against_all_pairs(spark, corpus):
+    rng = np.random.default_rng(6)
+    code = lambda n: "".join(rng.choice(list("ABCabc0189+/"), n))
+    parts = (lambda: "AKIA" + "Q7" * 8, lambda: code(40), lambda: "client_id=web7", lambda: "user name joe", lambda: "Account_Name: bob.x", lambda: "https://a.io/x%20y?z", lambda: "s3.eu.amazonaws.com", lambda: "secret: " + code(9), lambda: "0f" * 16, lambda: "é" * int(rng.integers(1, 300)), lambda: prose(int(rng.integers(9999)), int(rng.integers(1, 60))))
+    texts = [(k, " ".join(parts[int(rng.integers(len(parts)))]() for _ in range(int(rng.integers(1, 14))))) for k in range(150)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(docs(spark, texts)).collect()}
+    assert got == {i: all_spans(t) for i, t in texts} and sum("endpoint" in s for s in got.values()) > 5
+    whole = {r.doc_id: r.text for r in corpus.collect()}
+    assert {r.doc_id: r.spans for r in secret_scan.scan(corpus).collect()} == {i: all_spans(t) for i, t in whole.items()}
+
+
+def test_redaction_with_clashing_columns(spark):
+    table = docs(spark, SECRETS)
+    more = table
+    for name in ("h", "all", "th0", "th", "d", "t", "row", "doc", "new", "strong", "weak", "x.y"):
+        more = more.withColumn(name, F.lit(f"own {name}"))
+    got = secret_scan.redact(more)
+    assert got.columns == more.columns and all(r[c] == f"own {c}" for r in got.collect() for c in more.columns if c not in table.columns)
+    assert sorted(map(repr, got.select(*table.columns).collect())) == sorted(map(repr, secret_scan.redact(table).collect()))
+    assert dict(got.dtypes) == dict(more.dtypes) and secret_scan.redact(table.drop("n_chars")).count() == len(SECRETS)
+
+
 def test_redaction(spark):
     got = {r.doc_id: r for r in secret_scan.redact(docs(spark, SECRETS)).collect()}
     assert got[-1 if -1 in got else None].text == "[SECRET]" and got[4].text is None and got[9].text == SECRETS[8][1]

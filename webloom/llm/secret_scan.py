@@ -32,7 +32,8 @@ STRONG = {"assign": _ASSIGN, "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{3
 WEAK = {
     "secret": r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])",
     "identifier": r"""(?i:client|account|user|tenant)_?(?i:id|name)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
-    "endpoint": r"""https?://[A-Za-z0-9._:-]+(?:/[A-Za-z0-9._~/%-]*)?|[a-z0-9.-]+\.amazonaws\.com""",
+    # A host name is tried at the start of its run only: long runs without one cost no more than their length.
+    "endpoint": r"""https?://[A-Za-z0-9._:-]+(?:/[A-Za-z0-9._~/%-]*)?|(?<![a-z0-9.-])[a-z0-9.-]+\.amazonaws\.com""",
 }
 KINDS = (*STRONG, *WEAK)
 _MARK, _STAND_IN = "\ue000", "\ue001"
@@ -112,17 +113,18 @@ def scan(docs: DataFrame, scope: int = 240) -> DataFrame:
 def redact(docs: DataFrame, scope: int = 240, mask: str = "[SECRET]") -> DataFrame:
     """docs with every reported span replaced by mask; n_chars, where present, counts the new text."""
     marks = _all_spans(docs, scope).filter(F.size("all") > 0).dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "all")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    both = docs.withColumn("th0", F.xxhash64(text, F.lit("text"))).join(marks, (F.col("th0") == F.col("h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("d")), "left")
+    # The rows travel as one struct, so that none of their names can clash with these.
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(whole, F.lit("text")).alias("th"), F.col("text").cast("string").alias("t"))
+    both = rows.join(marks, (F.col("th") == F.col("h")) & F.col("doc").eqNullSafe(F.col("d")), "left")
 
     def step(acc, s):
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
+        gap = F.substring(F.col("t"), acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
         inside = s["end"] <= acc["at"]
         return F.struct(F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.when(s["start"] >= acc["at"], F.lit(mask)).otherwise(F.lit("")))).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     done = F.aggregate("all", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
-    new = F.when(F.col("all").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.lit(2147483647))))
-    out = both.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("all").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+    out = both.withColumn("new", F.when(F.col("all").isNotNull(), F.concat(done["out"], F.substring("t", done["at"] + 1, F.lit(2147483647)))))
+    kinds = dict(docs.dtypes)
+    own = {"text": F.coalesce("new", F.col("row").getField("text").cast("string")), "n_chars": F.when(F.col("new").isNull(), F.col("row").getField("n_chars") if "n_chars" in kinds else F.lit(None)).otherwise(F.char_length("new").cast(kinds.get("n_chars", "long")))}
+    return out.select(*[(own[c] if c in own else F.col("row").getField(c)).alias(c) for c in docs.columns])
