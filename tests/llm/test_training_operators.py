@@ -409,16 +409,58 @@ def test_decontamination_sql(spark, tmp_path):
     assert got == want == {i: contaminated(texts, items).get(i, 0) for i, _ in texts} and len({v > 0 for v in got.values()}) == 2
 
 
-def test_license_scan(spark, odd):
+def license_of(text):
+    """(license, probability, similarity, units) of a text, with no gate: every unit is classified."""
+    names, weights, b, temperature, _ = license_scan.train()
+    found = []
+    lines = [(False, i, p) for i, p in enumerate((text or "").split("\n"))]
+    for whole, i, p in lines + [(True, i, p) for i, p in enumerate(re.split(r"\n[ \t\r]*\n", text or "")) if "\n" in p.strip(" ")]:
+        grams = license_scan._grams(p)
+        own = [weights[g].astype(float) for g in grams if g in weights]
+        z = ((np.sum(own, 0) / np.sqrt(max(1, len(own))) if own else 0) + b) / temperature
+        family, probability = names[int(z.argmax())], float(1 / np.exp(z - z.max()).sum())
+        if family != "none":
+            close = max((len(set(grams) & set(t)) / min(len(grams), len(t)) for f, t in license_scan.templates() if f == family and grams), default=0.0)
+            good = family != "unknown" and close >= 0.6
+            found.append((good, probability if good else 0.0, -names.index(family), -i, family, probability, close))
+    if not found:
+        return "none", 0.0, 0.0, 0
+    best = max(found)
+    return (best[4], round(best[5], 6), round(best[6], 6), len(found)) if best[0] else ("unknown", 0.0, 0.0, len(found))
+
+
+def test_license_scan(spark, odd, corpus):
+    wrapped = "Permission is hereby granted, free of\ncharge, to any person obtaining a copy of this software\nand associated documentation files, to deal in the\nSoftware without restriction."
     texts = [
         (1, "text\nReleased under the MIT License."), (2, "x\n\nLicensed under the Apache License, Version 2.0.\nmore"), (3, "This work is licensed under the GNU General Public License, version 3."),
-        (4, "Licensed under CC BY-NC 4.0."), (5, "The license plate was gone, and the public laughed."), (6, prose(4)), (7, None), (8, ""), (9, "All rights reserved."), (10, "Released under the MIT License.\n" * 400),
+        (4, "Licensed under CC BY-NC 4.0."), (5, "The license plate was gone."), (6, prose(4)), (7, None), (8, ""), (9, "All rights reserved."), (10, "Released under the MIT License.\n" * 400),
+        (11, "Available under CC BY 4.0."), (12, "Distributed under the terms of GPLv3 or later."), (13, "Code released under Apache-2.0"), (14, "CC0 1.0 Universal"), (15, "GPLv3 applies to this file"),
+        (16, "Creative Commons Attribution 4.0 International"), (17, "A public library in the town is open today."), (18, "Permission to speak was given."), (19, f"{prose(7)}\n\n{wrapped}\n \n{prose(8)}"),
+        (20, "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."), (21, "Licensed under the Zork Software License."), (22, "This work is under Creative Commons Attribution-NonCommercial 4.0 International."),
+        (23, prose(5, 3000) * 60), (24, prose(5, 3000) * 60 + "\nReleased under the MIT License.\n" + prose(6, 3)), (25, "MIT License\nMIT License"),
     ]
-    got = {r.doc_id: r.license for r in license_scan.scan(docs(spark, texts)).collect()}
-    assert got == {1: "mit", 2: "apache", 3: "gpl", 4: "cc-by-nc", 5: "unknown", 6: "none", 7: "none", 8: "none", 9: "proprietary", 10: "mit"}
+    table = docs(spark, texts).withColumn("gram", F.lit(1)).withColumn("w", F.lit(1)).withColumn("size", F.lit(1)).withColumn("line", F.lit(1))
+    got = {r.doc_id: r for r in license_scan.scan(table).collect()}
+    want = {1: "mit", 2: "apache", 3: "gpl", 4: "cc-by-nc", 5: "unknown", 6: "none", 7: "none", 8: "none", 9: "proprietary", 10: "mit", 11: "cc-by", 12: "gpl", 13: "apache", 14: "public-domain", 15: "gpl", 16: "cc-by", 17: "none", 18: "none", 19: "mit", 20: "bsd", 21: "unknown", 22: "cc-by-nc", 23: "none", 24: "mit", 25: "mit"}
+    assert {i: r.license for i, r in got.items()} == want
+    for own, found in ((texts, got), ([tuple(r) for r in corpus.select("doc_id", "text").collect()], {r.doc_id: r for r in license_scan.scan(corpus).collect()})):
+        for i, text in own:
+            r = found[i]
+            assert (r.license, r.n_paragraphs) == license_of(text)[::3]
+            assert (r.probability, r.similarity) == pytest.approx(license_of(text)[1:3], abs=1e-5)
     assert license_scan.scan(odd).count() == len(ODD)
 
 
+def test_license_training():
+    assert license_scan.held_out_accuracy() > 0.85
+    names, weights, b, _, _ = license_scan.train()
+    told = set(license_scan.telling_words())
+    # The gate changes no answer: without a telling word there is no weight, and the answer is none.
+    assert all(told & set(g.split()) for g in weights) and names[int(b.argmax())] == "none"
+    gate = re.compile(license_scan._telling_pattern())
+    assert all(gate.search(w) and gate.search(f"x {w}, y") for w in told) and not gate.search("xmitx")
+
+
 def base_spans(t):
     t = t or ""
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
