@@ -82,8 +82,9 @@ def shingles(t):
 
 
 def classes(rows):
+    """(shingles, component, links) of each document, comparing all pairs."""
     sets = {i: shingles(t) for i, t in rows}
-    root = {i: i for i in sets}
+    root, degree = {i: i for i in sets}, Counter()
 
     def find(x):
         return x if root[x] == x else find(root[x])
@@ -92,32 +93,47 @@ def classes(rows):
         for b in sets:
             common = len(sets[a] & sets[b])
             if a < b and common and 100 * common >= 75 * len(sets[a] | sets[b]):
+                degree.update((a, b))
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    return {i: (len(sets[i]), find(i)) for i in sets}
+    return {i: (len(sets[i]), find(i), degree[i]) for i in sets}
 
 
-@pytest.mark.parametrize("leaf", [4_000_000, 1500])
+def joined_classes(table, **options):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_join(table, **options).collect()}
+
+
+@pytest.mark.parametrize("leaf", [1_000_000, 1500])
 def test_jaccard_join(corpus, leaf):
     rows = corpus.select("doc_id", "text").collect()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(corpus, leaf_shingles=leaf, pivots=3).collect()}
-    assert got == classes([tuple(r) for r in rows])
+    assert joined_classes(corpus, leaf_shingles=leaf, pivots=3) == classes([tuple(r) for r in rows])
 
 
-def test_jaccard_join_recursion(spark):
+@pytest.mark.parametrize("leaf", [200, 1_000_000])
+def test_jaccard_join_recursion(spark, leaf):
     base = prose(5, 60).split()
     near = [(i, " ".join(base[:30] + [f"w{i}", f"v{i}"] * (i % 4) + base[30:])) for i in range(40)]
     far = [(100 + i, " ".join(base[:14] + prose(i, 5).split())) for i in range(40)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs(spark, near + far), leaf_shingles=200, pivots=3).collect()}
-    assert got == classes(near + far)
+    chain = [(200 + i, " ".join(prose(77, 100).split()[4 * i : 4 * i + 60])) for i in range(8)]
+    got = joined_classes(docs(spark, near + far + chain), leaf_shingles=leaf, pivots=3)
+    assert got == classes(near + far + chain)
+    assert {got[200 + i][1] for i in range(8)} == {200} and got[200][2] < got[204][2] < 7  # a chain is no clique
 
 
 def test_jaccard_join_odd(odd):
     got = jaccard_join.jaccard_join(odd).collect()
     assert len(got) == len(ODD)
-    by = {r.doc_id: r.component_id for r in got}
-    assert (by[1], by[2], by[3], by[4]) == (1, 2, 3, 4)
-    assert by[5] == by[6] == by[7] == 5 and by[9] == by[10] == 9
+    by = {r.doc_id: (r.component_id, r.n_links) for r in got}
+    assert [by[k] for k in (1, 2, 3, 4)] == [(1, 0), (2, 0), (3, 0), (4, 0)]
+    assert [by[k] for k in (5, 6, 7, 9, 10)] == [(5, 2), (5, 2), (5, 2), (9, 1), (9, 1)] and by[None] == (None, 0)
+
+
+def test_leaf_counts_a_pair_once():
+    sets = [np.arange(20, dtype=np.uint64), np.arange(1, 20, dtype=np.uint64), np.arange(30, 50, dtype=np.uint64), np.arange(2, 20, dtype=np.uint64)]
+    leaves = [np.array([3, 7]), np.array([3, 7]), np.array([7]), np.array([7])]
+    for rows in (1, 3, 256):
+        links, counts = jaccard_join.leaf_links([5, 6, 7, 8], [20, 19, 20, 18], sets, leaves, [1, 10, 1, 100], 7, 75, rows)
+        assert sorted(links) == [(6, 5), (8, 5)] and counts.tolist() == [100, 100, 0, 11]
 
 
 def test_language_id(corpus, odd):
@@ -697,7 +713,7 @@ def test_pipeline(spark):
         assert out.columns == docs_in.columns and 0 < out.count() <= current.count()
         if name == "ngram_jaccard_join":
             left = classes([tuple(r) for r in current.select("doc_id", "text").collect()])
-            assert {r.doc_id for r in out.collect()} == {c for _, c in left.values()}
+            assert {r.doc_id for r in out.collect()} == {c for _, c, _ in left.values()}
         if name == "secret_scans":
             assert not any(base_spans(r.text) for r in out.collect())
         current = out

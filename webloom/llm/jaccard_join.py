@@ -19,15 +19,20 @@ range are kept: 52 at least, 64 from 65,536 ranges on; a collision moves an inte
    nearest pivot's cell and, by the triangle inequality, to every cell whose pivot is at most
    ``2 * eps`` farther. Cells are split again; one that no longer shrinks is cut into blocks, each pair
    of which is a leaf, so no region is dropped, capped or held in one task.
-4. *Leaves.* Inside a leaf, documents in turn serve as pivots: one pass over an inverted index gives
-   the pivot's distances to all; links join components, and a document needs no pass of its own once
-   all documents in its triangle-inequality window are in its component.
+4. *Leaves.* Inside a leaf all pairs' distances are found exactly, block of members by block. A leaf gives its
+   components as stars, and each member's number of links; a pair that meets in several leaves is counted
+   in the first one that holds both. No pair leaves its task.
 5. *Classes.* Links form stars; alternating large-star and small-star steps on written tables give
    connected components without gathering them anywhere.
 
+``n_links`` of a document is the number of other documents (doc_id and text) that it links with, copies included.
+To count all links takes work that grows with the square of a group of near copies of different texts, spread over
+blocks; exact copies are one vertex and cost nothing.
+
 Cases: null text, empty text or text without words has an empty set, links with nothing and is a
-class of its own (with equal doc_ids: the same). A null doc_id is kept, with its own class null.
-Repeated rows are returned as often as they occur. Other columns are ignored, whatever their names.
+class of its own (with equal doc_ids: the same). A null doc_id links with nothing; its component is null and its
+links 0. Repeated rows are returned as often as they occur and counted once; texts that share a doc_id as their
+least one share a class. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -235,62 +240,81 @@ def _runs(batches, key: str):
         yield at, held
 
 
-def leaf_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """All components of one leaf, as (member, least member) links; sets hold the shared shingles only."""
+def leaf_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], leaves: list[np.ndarray], copies: list[int], me: int, threshold: int, rows: int = 256) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """One leaf, joined exactly: its components, as (member, least member) links, and each member's number of linked
+    documents in texts other than its own. sets hold the shared shingles only.
+
+    A pair that meets in several leaves (``leaves`` names each member's, ascending) is counted in the first of them.
+    Shingles that an eighth of the members hold are compared by one matrix product, the others by their postings."""
     count = len(ids)
-    n = np.array(sizes, np.int64)
-    rank = np.argsort(np.array(ids))
-    root = np.arange(count)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    lengths = np.array([len(s) for s in sets])
-    doc = np.repeat(np.arange(count), lengths)
-    by = np.argsort(token, kind="stable")
-    posting, heads = doc[by], np.searchsorted(token[by], np.arange(token.max() + 2) if len(token) else np.zeros(1))
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    comp = np.arange(count)
-    eps = 1 - threshold / 100
-    profile: list[np.ndarray] = []
-    for i in rank.tolist():
-        other = comp != comp[i]
-        for d in profile:  # triangle inequality: |d(x, p) - d(y, p)| <= d(x, y)
-            if not other.any():
-                break
-            other &= np.abs(d - d[i]) <= eps + 1e-9
-        if not other.any():
-            continue
-        tokens = token[starts[i] : starts[i + 1]]
-        hits = np.concatenate([posting[heads[t] : heads[t + 1]] for t in tokens.tolist()]) if len(tokens) else np.zeros(0, int)
-        common = np.bincount(hits, minlength=count)
-        union = n + n[i] - common
-        distance = 1 - common / union
-        if len(profile) < 8:
-            profile.append(distance)
-        near = np.flatnonzero((100 * common >= threshold * union) & (comp != comp[i]))
-        if len(near):
-            joined = np.unique(np.append(comp[near], comp[i]))
-            comp[np.isin(comp, joined)] = joined[0]
-    least: dict[int, int] = {}
-    for i in rank.tolist():
-        least.setdefault(int(comp[i]), ids[i])
-    return [(ids[i], least[int(comp[i])]) for i in range(count) if ids[i] != least[int(comp[i])]]
-
-
-def _leaves(members: DataFrame, key: list[str], threshold: int) -> DataFrame:
-    """Links found in leaves: members has the key columns, id, n, hashes."""
+    n, weight = np.array(sizes, np.int64), np.array(copies, np.int64)
+
+    def index(lists):
+        """(member, name) of each entry, and the number of names."""
+        names, token = np.unique(np.concatenate(lists), return_inverse=True) if count else (np.zeros(0), np.zeros(0, int))
+        return np.repeat(np.arange(count), [len(x) for x in lists]), token, len(names)
+
+    def product(member, token, kinds):
+        """For a block of members: how many names they share with each member."""
+        times = np.bincount(token, minlength=kinds)
+        dense = times * 8 > count
+        place = np.cumsum(dense) - 1
+        matrix = np.zeros((count, int(dense.sum())), np.float32)
+        common = dense[token]
+        matrix[member[common], place[token[common]]] = 1
+        member, token = member[~common], token[~common]
+        by = np.argsort(token, kind="stable")
+        posting, heads = member[by], np.searchsorted(token[by], np.arange(kinds + 1))
+        starts = np.searchsorted(member, np.arange(count + 1))
+
+        def block(a, b):
+            out = np.rint(matrix[a:b] @ matrix.T).astype(np.int64)
+            t = token[starts[a] : starts[b]]
+            row = member[starts[a] : starts[b]] - a
+            many = heads[t + 1] - heads[t]
+            if many.sum():
+                first = np.repeat(heads[t] - np.cumsum(many) + many, many)
+                other = posting[first + np.arange(many.sum())]
+                out += np.bincount(np.repeat(row, many) * count + other, minlength=(b - a) * count).reshape(b - a, count)
+            return out
+
+        return block
+
+    shared_by = product(*index(sets))
+    earlier = [own[own < me] for own in leaves]
+    met_before = product(*index(earlier)) if any(map(len, earlier)) else None
+    comp, linked = np.arange(count), np.zeros(count, np.int64)
+    for a in range(0, count, rows):
+        b = min(count, a + rows)
+        common = shared_by(a, b)
+        near = 100 * common >= threshold * (n[a:b, None] + n[None, :] - common)
+        near[np.arange(b - a), np.arange(a, b)] = False
+        fresh = near & (met_before(a, b) == 0) if met_before else near
+        linked[a:b] = fresh @ weight
+        for k in np.flatnonzero(near.any(1)).tolist():
+            joined = np.unique(np.append(comp[near[k]], comp[a + k]))
+            if len(joined) > 1:
+                comp[np.isin(comp, joined)] = joined[0]
+    least = np.full(count, np.iinfo(np.int64).max)
+    np.minimum.at(least, comp, np.array(ids, np.int64))
+    return [(i, int(m)) for i, m in zip(ids, least[comp].tolist()) if i != m], linked
+
+
+def _leaves(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Rows of links (a, b) and of counts (a, links): members has region, id; sets has id, first, copies, n, hashes."""
+    named = members.select("id", F.xxhash64("region").alias("leaf")).distinct()
+    lists = named.groupBy("id").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
+    rows = named.join(sets.join(lists, "id"), "id")
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table["id"].to_pylist()
-        links = leaf_links(ids, table["n"].to_pylist(), [_from_six(h) for h in table["hashes"].to_pylist()], threshold)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        column = lambda c: table[c].to_pylist()
+        firsts = column("first")
+        links, counts = leaf_links(firsts, column("n"), [_from_six(h) for h in column("hashes")], [np.array(x, np.int64) for x in column("leaves")], column("copies"), table["leaf"][0].as_py(), threshold)
+        told = [(i, None, int(k)) for i, k in zip(column("id"), counts.tolist()) if k]
+        a, b, k = zip(*([(x, y, None) for x, y in links] + told)) if links or told else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(k, pa.int64())})
 
-    return members.groupBy(*key).applyInArrow(run, "a long, b long")
+    return rows.groupBy("leaf").applyInArrow(run, "a long, b long, links long")
 
 
 def _distances(rows: DataFrame) -> DataFrame:
@@ -331,10 +355,11 @@ def _blocks(big: DataFrame, sizes: DataFrame, leaf_shingles: int) -> DataFrame:
     return pairs.select(F.concat_ws("#", "region", F.least("mine", "other").cast("string"), F.greatest("mine", "other").cast("string")).alias("region"), "id")
 
 
-def links(sets: DataFrame, threshold: int = 75, leaf_shingles: int = 4_000_000, pivots: int = 8) -> DataFrame:
-    """Links (a, b) whose connected components are those of all pairs within the threshold.
+def links(sets: DataFrame, threshold: int = 75, leaf_shingles: int = 1_000_000, pivots: int = 8) -> DataFrame:
+    """Links (a, b) by `first`, whose connected components are those of all pairs within the threshold, and rows
+    (a, links) that add up to the number of documents with other texts linked to the vertex of that id.
 
-    sets: id, n, uniques, hashes (shared shingles by (frequency, name)); rows of one id are equal."""
+    sets: id, first, copies, n, uniques, hashes (shared shingles by (frequency, name)); rows of one id are equal."""
     eps = 1 - threshold / 100
 
     def heads(batches):
@@ -348,19 +373,18 @@ def links(sets: DataFrame, threshold: int = 75, leaf_shingles: int = 4_000_000,
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_s))], names=["id", "s"])
 
     postings = sets.select("id", "n", "uniques", "hashes").mapInArrow(heads, "id long, s long")
-    # A text may stand in several batches: its shingles then count twice, and all of them are "shared".
-    pivot = postings.groupBy("s").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("last > pivot").select("s", "pivot")
+    # A text may stand in several batches: its shingles then count twice, and all of them are "shared". The pivots
+    # are a table of their own, so that a shingle of many texts is split by adaptive execution when it is joined.
+    pivot = shared.materialize(postings.groupBy("s").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("last > pivot").select("s", "pivot"), "pivots")
     members = shared.materialize(postings.join(pivot, "s").select(F.col("pivot").cast("string").alias("region"), "id").distinct(), "regions")
-    found = []
-    level = 0
     slim = sets.select("id", F.col("n").alias("w")).distinct()
-    sets = sets.select("id", "n", "hashes").dropDuplicates(["id"])
+    sets = sets.select("id", "first", "copies", "n", "hashes").dropDuplicates(["id"])
+    found, level = [], 0
     while True:
         weights = members.join(slim, "id").groupBy("region").agg(F.sum("w").alias("weight"), F.count("*").alias("k"))
         big = shared.materialize(weights.filter(F.col("weight") > leaf_shingles).filter("k > 2"), "big")
         heavy = big.agg(F.sum("weight")).first()[0]
-        leaves = members.join(big, "region", "left_anti") if heavy else members
-        found.append(_leaves(leaves.join(sets, "id"), ["region"], threshold))
+        found.append(members.join(big, "region", "left_anti") if heavy else members)
         if not heavy:
             break
         rest = members.join(big.select("region"), "region", "left_semi")
@@ -368,16 +392,15 @@ def links(sets: DataFrame, threshold: int = 75, leaf_shingles: int = 4_000_000,
         # lessen the largest region by a third, the exact pairs of blocks end the recursion.
         largest = big.agg(F.max("weight")).first()[0]
         if level >= 3 or (level and largest > last * 2 / 3):
-            members = shared.materialize(_blocks(rest, big, leaf_shingles), "blocks")
-            found.append(_leaves(members.join(sets, "id"), ["region"], threshold))
+            found.append(shared.materialize(_blocks(rest, big, leaf_shingles), "blocks"))
             break
         last = largest
         members = shared.materialize(_split(rest, sets, eps, pivots).distinct(), "cells")
         level += 1
-    out = found[0]
+    out = found[0].select("region", "id")
     for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        out = out.unionByName(more.select("region", "id"))
+    return _leaves(shared.materialize(out, "leaves"), sets, threshold)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -387,8 +410,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # The least neighbours are tables of their own, so that adaptive execution can split a star's many rows.
+        low = shared.materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = shared.materialize(large, "large")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         edges = shared.materialize(small, "edges")
@@ -398,24 +423,30 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(now)
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 75, leaf_shingles: int = 4_000_000, pivots: int = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
+def jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 75, leaf_shingles: int = 1_000_000, pivots: int = 8) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of docs(doc_id, text)."""
     shared.tune(docs.sparkSession)
     entries = shared.materialize(document_sets(docs, width), "entries")
     # Equal word sequences are one vertex, named by the upper half of their fingerprint; in the odd case that
     # two sequences share that half, the lower half decides and both keep names of their own.
-    prints = entries.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"))
+    own = entries.filter("n > 0 and doc_id is not null").distinct()
+    prints = own.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    prints = shared.materialize(prints, "prints")
     clash = prints.groupBy("hi").agg(F.count("*").alias("k")).filter("k > 1").select("hi")
     name = F.when(F.col("clash"), F.xxhash64("hi", "lo")).otherwise(F.col("hi"))
     # Broadcast by a bound on its size: among n texts about n * n / 2^64 halves are shared, a few dozen for 10^10.
     clashing = clash.select("hi", F.lit(True).alias("clash"))
     named = lambda df: df.join(F.broadcast(clashing), "hi", "left").withColumn("clash", F.coalesce("clash", F.lit(False))).withColumn("id", name)
-    sets = shared.materialize(named(shared_shingles(docs, width, threshold)).select("id", "n", "uniques", "hashes"), "sets")
-    whole = components(links(sets, threshold, leaf_shingles, pivots))
-    classes = named(prints).join(whole, "id", "left").select("hi", "lo", "first", F.coalesce("component", "id").alias("class"))
-    least = classes.groupBy("class").agg(F.min("first").alias("component_id"))
-    first = classes.join(least, "class").select("hi", "lo", "component_id")
+    sets = named(shared_shingles(docs.filter("doc_id is not null"), width, threshold).join(prints, ["hi", "lo"]))
+    sets = shared.materialize(sets.select("id", "first", "copies", "n", "uniques", "hashes"), "sets")
+    found = shared.materialize(links(sets, threshold, leaf_shingles, pivots), "links")
+    # Vertices carry their least doc_id: a component's name is the answer already, and no class is joined.
+    whole = components(found.filter("b is not null").select("a", "b"))
+    counts = found.filter("links is not null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    known = named(prints).join(whole.withColumnRenamed("id", "first"), "first", "left").join(counts, "id", "left")
+    known = shared.materialize(known.select("hi", "lo", F.coalesce("component", "first").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    has_set = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return (
-        entries.join(first, ["hi", "lo"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        entries.join(known, ["hi", "lo"], "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(has_set, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(has_set, F.col("n_links")).otherwise(F.lit(0).cast("long")).alias("n_links"))
     )

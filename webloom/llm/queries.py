@@ -116,8 +116,8 @@ n as materialized (select doc_id, count(*) as n from s group by doc_id),
 pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by all),
 links as materialized (select x, y from pairs join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)),
 reach(x, y) as (select doc_id, doc_id from n union select r.x, l.y from reach r join links l on l.x = r.y)
-select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(r.c, w.doc_id)::bigint as component_id
-from w left join n using (doc_id) left join (select x, min(y) as c from reach group by x) r on r.x = w.doc_id
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(r.c, w.doc_id)::bigint as component_id, coalesce(l.k, 0)::bigint as n_links
+from w left join n using (doc_id) left join (select x, min(y) as c from reach group by x) r on r.x = w.doc_id left join (select x, count(*) as k from links group by x) l on l.x = w.doc_id
 """
 
 ORACLE_SQL = {"op6_decontamination": _decontamination_sql(), "op8_jaccard_join": _JACCARD_SQL}
