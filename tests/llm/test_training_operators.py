@@ -436,7 +436,8 @@ def license_of(text):
         z = ((np.sum(own, 0) / np.sqrt(max(1, len(own))) if own else 0) + b) / temperature
         family, probability = names[int(z.argmax())], float(1 / np.exp(z - z.max()).sum())
         if family != "none":
-            close = max((len(set(grams) & set(t)) / min(len(grams), len(t)) for f, t in license_scan.templates() if f == family and grams), default=0.0)
+            n = len(license_scan._words(p))
+            close = max((len(set(grams) & set(t)) / min(n + max(0, n - 1) + max(0, n - 2), len(t)) for f, t in license_scan.templates() if f == family and grams), default=0.0)
             good = family != "unknown" and close >= 0.6
             found.append((good, probability if good else 0.0, -names.index(family), -i, family, probability, close))
     if not found:

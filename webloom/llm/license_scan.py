@@ -7,7 +7,7 @@ prose). The regression is trained on the driver on ``examples``: the notices bel
 the licences' names in the usual forms of words, made-up names in the same forms, and other prose. A fifth of
 the examples, whole notices and whole forms of a name with all their copies, is held back; on it the temperature
 is calibrated and ``held_out_accuracy`` measured. A predicted family is confirmed where the unit also resembles
-one of that family's templates: common n-grams over the smaller of both n-gram sets.
+one of that family's templates: distinct common n-grams over the smaller number of n-grams, the unit's or the template's.
 
 Only n-grams with a telling word (see ``telling_words``: more frequent in notices than in other prose) have
 weights. A unit without such a word would be ``none`` whatever it says, so it is passed over before its n-grams are
@@ -128,6 +128,13 @@ PROSE = [
     "The author of the story lives by the sea.", "International flights are late today.", "Its domain is the night, and the owl knows it.", "The general told the public nothing about the war.", "Or later, if you like, we can eat at the station.", "The commercial was loud and far too long.", "Das Haus steht am Fluss und ist alt.", "La casa de la plaza es blanca y grande.", "Le chien dort devant la porte de la maison.",
 ]
 
+#: Words of any English text; none of them is telling.
+COMMON = (
+    "a an all and any are as at be been but by can each either every few for from had has have he her his how i if in into is it its may more most must no not "
+    "of on one only or other our out over own see shall she should so some such than that the their them then there these they this those three to two up upon us "
+    "was we were what when where which who will with without would you your"
+).split()
+
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
 
@@ -194,7 +201,7 @@ def telling_words(least: float = 4.0) -> tuple[str, ...]:
             own[w] = own.get(w, 0) + 1
     n = {k: sum((kind != "none") == k for _, kind, _ in texts) for k in (True, False)}
     source = {w for own in (NOTICES, NAMES) for texts_ in own.values() for t in texts_ for w in _words(t)} | {w for t in (*FORMS, *TERMS) for w in _words(t.replace("{}", ""))}
-    return tuple(sorted(w for w in source if count[True].get(w, 0) / n[True] >= least * (count[False].get(w, 0) + 0.5) / n[False] and count[True].get(w, 0) >= 2))
+    return tuple(sorted(w for w in source.difference(COMMON) if count[True].get(w, 0) / n[True] >= least * (count[False].get(w, 0) + 0.5) / n[False] and count[True].get(w, 0) >= 2))
 
 
 def _telling_pattern() -> str:
@@ -277,35 +284,42 @@ def _unit_grams(words: str) -> Column:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, th, whole, line, p: lines and paragraphs of several lines (then whole is true) with a telling word."""
+    """doc_id, th, whole, line, words: lines and paragraphs of several lines (then whole is true) with a telling word."""
     pattern = _telling_pattern()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").filter(F.lower("text").rlike(pattern))
     # Rows that share a doc_id stay apart by their text's hash; repeated rows fall together.
     parts = lambda c, whole: F.transform(c, lambda p, i: F.struct(F.lit(whole).alias("whole"), i.alias("line"), p.alias("p")))
     several = F.filter(parts(F.split("text", r"\n[ \t\r]*\n"), True), lambda u: F.trim(u["p"]).contains("\n"))
     every = F.filter(F.concat(parts(F.split("text", "\n"), False), several), lambda u: F.lower(u["p"]).rlike(pattern))
-    return rows.select("doc_id", F.xxhash64("text").alias("th"), F.explode(every).alias("u")).select("doc_id", "th", "u.*")
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+(?:[.\-][a-z0-9]+)*)"), F.lit(1))
+    # The words are made where the units are exploded: no later expression can take them in and repeat the work.
+    split = F.transform(every, lambda u: F.struct(u["whole"].alias("whole"), u["line"].alias("line"), words(u["p"]).alias("words")))
+    return rows.select("doc_id", F.xxhash64("text").alias("th"), F.explode(split).alias("u")).select("doc_id", "th", "u.*")
 
 
 def paragraphs(docs: DataFrame, similarity: float = 0.6) -> DataFrame:
-    """doc_id, whole, line, family, probability, similarity, confirmed of every unit of docs(doc_id, text) with a
-    telling word; family may be `unknown` or `none`."""
+    """doc_id, whole, line, family, probability, similarity, confirmed of every unit of docs(doc_id, text) that is a
+    licence's; family may be `unknown`."""
     spark = docs.sparkSession
     names, _, intercepts, temperature, _ = train()
     key = ["doc_id", "th", "whole", "line"]
-    own = units(docs).select(*key, F.regexp_extract_all(F.lower("p"), F.lit(r"([a-z0-9]+(?:[.\-][a-z0-9]+)*)"), F.lit(1)).alias("own"))
-    grams = own.select(*key, F.explode_outer(_unit_grams("own")).alias("gram")).filter("gram is not null")
-    # Repeated rows give each n-gram as often: a unit's sums count it once.
-    grams = grams.distinct()
+    # Only n-grams with a weight or of a template leave their task; repeated rows give each as often, a unit's sums
+    # count it once.
+    n = F.size("words")
+    size = (n + F.greatest(n - 1, F.lit(0)) + F.greatest(n - 2, F.lit(0))).alias("size")
+    grams = units(docs).select(*key, size, "words").select(*key, "size", F.explode(_unit_grams("words")).alias("gram"))
+    known = _templates(spark).select("gram").union(_weights(spark).select("gram")).distinct()
+    met = grams.join(F.broadcast(known), "gram").distinct()
     sums = [F.coalesce(F.sum(F.get("w", F.lit(k))), F.lit(0.0)).alias(f"s{k}") for k in range(len(names))]
-    hits = grams.join(F.broadcast(_weights(spark)), "gram", "left").groupBy(*key).agg(F.count("*").alias("size"), F.count("w").alias("known"), *sums)
-    logits = F.array(*[(F.col(f"s{k}") / F.sqrt(F.greatest(F.lit(1), F.col("known"))) + F.lit(float(intercepts[k]))) / F.lit(temperature) for k in range(len(names))])
+    hits = met.join(F.broadcast(_weights(spark)), "gram").groupBy(*key, "size").agg(F.count("*").alias("known"), *sums)
+    logits = F.array(*[(F.col(f"s{k}") / F.sqrt("known") + F.lit(float(intercepts[k]))) / F.lit(temperature) for k in range(len(names))])
     best = F.array_max("z")
+    # A unit whose telling words were never learned has no row here: it is `none`, as the intercepts say.
     scored = hits.select(*key, "size", logits.alias("z")).select(
         *key, "size", F.get(F.array(*map(F.lit, names)), (F.array_position("z", best) - 1).cast("int")).alias("family"),
         (1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.array_max("z")))).alias("probability"),
-    )
-    shared = grams.join(F.broadcast(_templates(spark)), "gram").groupBy(*key, "family", "template", F.col("size").alias("tsize")).agg(F.count("*").alias("common"))
+    ).filter("family <> 'none'")
+    shared = met.join(F.broadcast(_templates(spark).withColumnRenamed("size", "tsize")), "gram").groupBy(*key, "family", "template", "tsize").agg(F.count("*").alias("common"))
     close = scored.join(shared, [*key, "family"], "left").groupBy(*key, "family", "probability").agg(F.coalesce(F.max(F.col("common") / F.least("size", "tsize")), F.lit(0.0)).alias("similarity"))
     return close.select("doc_id", "whole", "line", "family", "probability", "similarity", (~F.col("family").isin("unknown", "none") & (F.col("similarity") >= similarity)).alias("confirmed"))
 
@@ -314,7 +328,7 @@ def scan(docs: DataFrame, similarity: float = 0.6) -> DataFrame:
     """doc_id, license, probability, similarity, n_paragraphs (units that are a licence's) of every row of docs."""
     rank = F.array_position(F.array(*map(F.lit, classes())), F.col("family"))
     order = F.struct(F.col("confirmed").cast("int"), F.when(F.col("confirmed"), F.col("probability")).otherwise(0.0), -rank, -F.col("line"), "family", "probability", "similarity", "confirmed")
-    found = paragraphs(docs, similarity).filter("family <> 'none'").groupBy("doc_id").agg(F.max(order).alias("b"), F.count("*").alias("n"))
+    found = paragraphs(docs, similarity).groupBy("doc_id").agg(F.max(order).alias("b"), F.count("*").alias("n"))
     best = found.select("doc_id", F.when(F.col("b.confirmed"), F.col("b.family")).otherwise("unknown").alias("license"), F.when(F.col("b.confirmed"), F.col("b.probability")).alias("probability"), F.when(F.col("b.confirmed"), F.col("b.similarity")).alias("similarity"), "n")
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(best, "doc_id", "left")
     return out.select("doc_id", F.coalesce("license", F.lit("none")).alias("license"), F.coalesce("probability", F.lit(0.0)).alias("probability"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"))
