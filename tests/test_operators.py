@@ -232,3 +232,59 @@ def test_route_map_bound(spark):
     pages = spark.createDataFrame([(1, "", 0, "static")], "page_id long, html string, depth int, framework string")
     with pytest.raises(ValueError):
         site.rewrite_pages(pages, {f"/{i}": "x" for i in range(site.MOST_ROUTES + 1)})
+
+
+def test_former_limits(spark):
+    """Nothing vanishes beyond a cap: what is kept is the first part."""
+    many = lambda n: "x=[" + ",".join(f'"id{k}"' for k in range(n)) + "]"
+    rows = spark.createDataFrame([(str(n), many(n)) for n in (2, 300, 301, 5000)], "url string, text string")
+    assert {r.url: len(r.ids) for r in bundles.id_pools(rows).collect()} == {"2": 2, "300": 300, "301": 300, "5000": 300}
+    body = "sequence:{folder:'v',prefix:'a',startIndex:1E1,endIndex:1e+2," + "pad:0," * 200
+    seqs = spark.createDataFrame([("long", body), ("short", body[:80] + "}"), ("bare", "sequence:{folder:'v',startIndex:1,endIndex:2}"), ("var", "sequence:{folder:'${v}',prefix:'a',startIndex:1,endIndex:2}")], "url string, text string")
+    assert {(r.url, r.template, r.first, r.last) for r in bundles.frame_sequences(seqs).collect()} == {("long", "/frames/v/a{}.webp", 10, 100), ("short", "/frames/v/a{}.webp", 10, 100)}
+    long = spark.createDataFrame([("u", "l(`/" + "a" * 150 + "/${i" + "i" * 100 + "}" + "b" * 100 + ".glb`)")], "url string, text string")
+    assert bundles.template_specs(long).count() == 1
+    parts = spark.createDataFrame([("r", "t", n) for n in (1, 3, 10**9, 10**9 + 2)] + [("s", "t", 5)], "root string, tail string, num long")
+    assert [r.n for r in bundles.lod_gaps(parts).orderBy("n").collect()] == [2, *range(4, 11)]
+
+
+def test_case_and_tails(spark):
+    got = found(spark, 'x="/_NEXT/static/chunks/a-0123456789.js?dpl=1" w("a/Worker.JS")', "turbopack", "scene")
+    assert {r for p, r in got if p in ("turbopack", "scene")} == {"/_NEXT/static/chunks/a-0123456789.js?dpl=1", "a/Worker.JS"}
+
+
+def test_verification_against_folders(spark):
+    files = spark.createDataFrame([("about.html",), ("a.png",), ("p/in.html",), ("img/x y.png",)], "path string")
+    page = '<a href="./about.html">a</a><img src="a.png"><img src="gone.png"><a href="/left">l</a><a href="https://o.io/x">o</a><a href="#t">t</a><div data-x="/keep"></div>'
+    deep = '<a href="in.html">a</a><img src="../img/x%20y.png?v=1" srcset="../a.png 1x, ../../a.png 2x"><i style="background:url(\'../img/no.png\')"></i><script src="/_next/a.js"></script>'
+    rows = spark.createDataFrame([(1, page, "index.html", "static"), (2, deep, "p/in.html", "next-turbopack"), (3, deep, "p/in.html", "next-webpack"), (4, None, None, None)], "page_id long, html string, page_file string, framework string")
+    got = {(r.page_id, r.ref) for r in site.verify_pages(rows, files).collect()}
+    assert got == {(1, "gone.png"), (1, "/left"), (2, "../../a.png"), (2, "../img/no.png"), (3, "../../a.png"), (3, "../img/no.png"), (3, "/_next/a.js")}
+    assert value(spark, urls.normal_path(F.lit("a/./b/../../c//d/.."))) == "c" and value(spark, urls.normal_path(F.lit("../../x"))) == "../../x"
+
+
+def test_rewrite_with_origin(spark):
+    page = '<a href="https://a.io/about">x</a><a href="https://A.IO">h</a><a href="https://a.io.evil/x">y</a><img src="/_next/image?w=1&amp;url=%2Fi.png%3Fv%3D1">'
+    rows = spark.createDataFrame([(1, page, 0, "static")], "page_id long, html string, depth int, framework string")
+    got = site.rewrite_pages(rows, {"/about": "about.html", "/": "index.html"}, "https://a.io").first().html
+    assert got == '<a href="./about.html">x</a><a href="./index.html">h</a><a href="https://a.io.evil/x">y</a><img src="./i.png">'
+    refs = spark.createDataFrame([("a", "href", u, "static", 0) for u in ("https://a.io/about", "https://o.io/x", "/_next/image?w=1&amp;url=%2Fi.png%3Fv%3D1")], "tag string, attr string, url string, framework string, depth int")
+    routes = spark.createDataFrame([("/about", "about.html")], "route string, target string")
+    assert {r.new_url for r in site.rewritten(refs, routes, "https://a.io").collect()} == {"./about.html", "https://o.io/x", "./i.png"}
+
+
+def test_downloads_and_reports(spark):
+    origin = "https://a.io"
+    one = lambda r: value(spark, urls.downloadable(F.lit(r), F.lit(origin)))
+    assert [one(r) for r in ("", " #x", "data:x", "mailto:a", "//b.io/x", "x/y", "/z")] == [None, None, None, None, "https://b.io/x", "https://a.io/x/y", "https://a.io/z"]
+    report = site.verification(spark.createDataFrame([("x.png",)], "ref string"), spark.createDataFrame([("/a",)], "url string"), spark.createDataFrame([("p",)], "problem string"))
+    assert {tuple(r) for r in report.collect()} == {("path", "x.png"), ("request", "/a"), ("error", "p")}
+
+
+def test_busy_periods(spark, tmp_path):
+    rows = spark.createDataFrame([("p", s) for s in (0, 1, 2, 10, 11)] + [("q", 5)], "page string, s long").select("page", F.timestamp_seconds("s").alias("ts"))
+    rows.write.parquet(f"{tmp_path}/in")
+    assert {(r.page, r.n) for r in requests.busy_periods(spark.read.parquet(f"{tmp_path}/in")).collect()} == {("p", 3), ("p", 2), ("q", 1)}
+    assert {r.ext: (r.files, r.bytes) for r in logs.inventory(spark.createDataFrame([("a.PNG", 1), ("b.png", 2), ("c", 3)], "path string, size long")).collect()} == {"png": (2, 3), "": (1, 3)}
+    resources.write_lines(spark.createDataFrame([("b",), ("a",), ("b",)], "ref string"), "ref", f"{tmp_path}/lines")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/lines").collect()] == ["a", "b"]

@@ -166,4 +166,25 @@ def optimizer_target(ref: Column) -> Column:
     """Local path of an image-optimizer reference, '' for others: remote originals are stored by their name."""
     source = unquote(unquote(F.replace(F.regexp_extract(ref, r"(?s)_next/image\?(?:[^#]*?&(?:amp;)?)?url=([^&#]+)", 1), F.lit("+"), F.lit(" "))))
     remote = source.rlike("^(?:https?:)?//")
-    return F.when(remote, F.element_at(F.split(strip_query(source), "/"), -1)).otherwise(F.regexp_replace(source, "^/+", ""))
+    return F.when(remote, F.element_at(F.split(strip_query(source), "/"), -1)).otherwise(F.regexp_replace(strip_query(source), "^/+", ""))
+
+
+def normal_path(path: Column) -> Column:
+    """A relative path with its `.` and `..` steps taken; steps above the root stay."""
+    start = F.array().cast("array<string>")
+
+    def step(done, part):
+        up = (part == "..") & (F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), done), -1) != "..")
+        return F.when(part.isin("", "."), done).when(up, F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), start, step), "/")
+
+
+def downloadable(ref: Column, origin: Column) -> Column:
+    """The absolute URL of a page's reference; null for what cannot be fetched (empty, inline, mail, fragments)."""
+    r = F.trim(ref)
+    skipped = (F.coalesce(r, F.lit("")) == "") | r.rlike("^(?:data:|mailto:|tel:|javascript:|blob:|#)")
+    scheme = F.regexp_extract(origin, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    full = F.when(r.startswith("//"), F.concat(scheme, r)).otherwise(r)
+    base = F.when(origin.endswith("/"), origin).otherwise(F.concat(origin, F.lit("/")))
+    return F.when(~skipped, resolve(base, full))

@@ -28,9 +28,9 @@ _ID_HASH = r"""(\d{2,5})["']?\s*:\s*["']([0-9a-f]{8,64})["']"""
 #: Patterns by parser, in discovery order; group 1 is the reference.
 PARSERS: dict[str, tuple[str, ...]] = {
     "webpack": (r"static/chunks/([A-Za-z0-9_.$-]+\.(?:js|css))", r"(?:^|[^A-Za-z0-9_.-])((?:\d{1,9}\.)?[A-Za-z0-9_.$-]{0,300}[0-9a-f]{8,}\.[A-Za-z0-9_.$-]{0,300}\.?(?:js|css))", r"((?:/)?_next/static/(?:chunks|css|media)/[^\"'`\s\\<>]+?\.(?:js|css)(?:[?#][^\"'`\s\\<>]*)?)"),
-    "turbopack": (r"parseChunk[^;]{0,600}?[\"'`]([^\"'`]{1,220}?\.js(?:[?#][^\"'`]*)?)[\"'`]", r"((?:/)?_next/static/chunks/[^\"'`\s\\<>]*?[0-9a-f]{8,}[^\"'`\s\\<>]*?\.(?:js|css))", _NEXT_STATIC),
-    "vite": (r"import\(\s*[\"'`]([^\"'`]{1,220}?)[\"'`]\s*\)", rf"{_Q}({_NQ}{{1,120}}?assets/[A-Za-z0-9_./\-]{{1,180}}){_Q}", rf"(?i){_Q}([{_PATH}]{{1,220}}?\.(?:glb|gltf|drc|ktx2?|font|icon|webp|basis|hdr|bin|wasm|fnt|atlas|ply|splat|riv|fbx|obj|mtl|usdz)(?:[?#][^\"'`\s<>]*)?){_Q}"),
-    "scene": (rf"(?i){_Q}([{_PATH}]{{1,220}}?(?:/common/|/assets/(?:audio|fonts|images|geometries|libs)/|lottie/|data\.json|scene\.glb|draco|basis|meshopt|transcoder|worker|setPath)[{_PATH}]{{0,120}}){_Q}", rf"{_Q}({_NQ}{{1,120}}?(?:worker|transcoder|draco|basis)[A-Za-z0-9_./\-]{{0,100}}\.(?:js|wasm)){_Q}", _SET_PATH),
+    "turbopack": (r"parseChunk[^;]{0,600}?[\"'`]([^\"'`]{1,220}?\.js(?:[?#][^\"'`]*)?)[\"'`]", r"(?i)((?:/)?_next/static/chunks/[^\"'`\s\\<>]*?[0-9a-f]{8,}[^\"'`\s\\<>]*?\.(?:js|css)(?:[?#][^\"'`\s\\<>]*)?)", _NEXT_STATIC),
+    "vite": (r"import\(\s*[\"'`]([^\"'`]{1,220}?)[\"'`]\s*\)", rf"{_Q}([{_PATH}]{{1,120}}?assets/[A-Za-z0-9_./\-]{{1,180}}){_Q}", rf"(?i){_Q}([{_PATH}]{{1,220}}?\.(?:glb|gltf|drc|ktx2?|font|icon|webp|basis|hdr|bin|wasm|fnt|atlas|ply|splat|riv|fbx|obj|mtl|usdz)(?:[?#][^\"'`\s<>]*)?){_Q}"),
+    "scene": (rf"(?i){_Q}([{_PATH}]{{1,220}}?(?:/common/|/assets/(?:audio|fonts|images|geometries|libs)/|lottie/|data\.json|scene\.glb|draco|basis|meshopt|transcoder|worker|setPath)[{_PATH}]{{0,120}}){_Q}", rf"(?i){_Q}([{_PATH}]{{1,120}}?(?:worker|transcoder|draco|basis)[A-Za-z0-9_./\-]{{0,100}}\.(?:js|wasm)){_Q}", _SET_PATH),
     "loaders": (_DECODER, rf"(?i){_Q}({_NQ}{{1,220}}?typeface\.json(?:[?#]{_NQ}*)?){_Q}", rf"(?i){_Q}({_NQ}{{1,220}}?\.splinecode(?:[?#]{_NQ}*)?){_Q}", r"[\"']url[\"']\s*:\s*[\"']([^\"']+)[\"']"),
     "generic": (_QUOTED_ASSET, r"(?i)url\(\s*[\"']?([^)\"'\s<>]{1,300})[\"']?\s*\)", _NEXT_STATIC, r"/_next/image\?url=([^&\"'`\s<>]+)", r"(/_next/image\?url=[^&\"'`\s<>]+)", rf"{_Q}(/(?:{DIRECTORIES})/[{_PATH}]{{0,200}}){_Q}"),
 }
@@ -183,11 +183,14 @@ def top_segments(docs: DataFrame, key: str, text: str, limits: Limits = Limits()
     return uses.withColumn("rank", rank).filter(F.col("rank") <= limits.top_segments).drop("pos")
 
 
-def lod_gaps(parts: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """root, tail, n: whole numbers missing between a group's smallest and largest, a few per group."""
-    groups = parts.groupBy("root", "tail").agg(F.array_sort(F.collect_set("num")).alias("nums"))
-    missing = F.slice(F.array_except(F.sequence(F.array_min("nums"), F.array_max("nums")), "nums"), 1, limits.gaps)
-    return groups.select("root", "tail", F.explode(missing).alias("n"))
+def lod_gaps(parts: DataFrame, limits: Limits = Limits(), keys: tuple[str, ...] = ("root", "tail")) -> DataFrame:
+    """keys, n: whole numbers missing between a group's neighbouring ones, the first few of each group."""
+    nums = parts.select(*keys, F.col("num").cast("long").alias("num")).distinct()
+    after = nums.withColumn("next", F.lead("num").over(Window.partitionBy(*keys).orderBy("num"))).filter(F.col("next") > F.col("num") + 1)
+    # No more of a gap than can be kept is written out, however wide it is.
+    missing = after.select(*keys, F.explode(F.sequence(F.col("num") + 1, F.least(F.col("next") - 1, F.col("num") + limits.gaps))).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("n"))
+    return missing.withColumn("rank", rank).filter(F.col("rank") <= limits.gaps).select(*keys, F.col("n").cast("int").alias("n"))
 
 
 def expand_templates(specs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -205,14 +208,80 @@ def live_prefixes(probes: DataFrame, answers: DataFrame) -> DataFrame:
     return probes.join(answers.select("url").distinct(), "url", "left_semi").select("prefix").distinct()
 
 
-def id_pools(bundles: DataFrame) -> DataFrame:
-    """url, ids: string arrays of two or more identifiers, one of which mixes letters and digits or is a path."""
-    arrays = F.regexp_extract_all("text", F.lit(r"""\[((?:["'][A-Za-z0-9_./-]{1,64}["'],?\s*){2,300})\]"""), F.lit(1))
+def id_pools(bundles: DataFrame, most: int = 300) -> DataFrame:
+    """url, pos, ids: string arrays of two or more identifiers (the first `most`), one of which mixes letters and
+    digits or is a path. Of a longer array the rest is left out."""
+    arrays = F.regexp_extract_all("text", F.lit(r"""\[(\s*["'][A-Za-z0-9_./-]{1,64}["']\s*,[A-Za-z0-9_./"',\s-]*)\]"""), F.lit(1))
     rows = bundles.select("url", F.posexplode(arrays).alias("pos", "a"))
-    ids = rows.select("url", "pos", F.array_distinct(F.regexp_extract_all("a", F.lit(r"""["']([A-Za-z0-9_./-]{1,64})["']"""), F.lit(1))).alias("ids"))
+    each = F.filter(F.regexp_extract_all("a", F.lit(r"""["']([A-Za-z0-9_./-]{1,64})["']"""), F.lit(1)), lambda i: ~i.rlike("^_+$"))
+    ids = rows.select("url", "pos", F.array_distinct(F.slice(each, 1, most)).alias("ids"))
     return ids.filter((F.size("ids") >= 2) & F.exists("ids", lambda i: i.contains("/") | ((F.length(i) >= 3) & i.rlike("[A-Za-z]") & i.rlike("[0-9]"))))
 
 
+def id_pool(pools: DataFrame, each: int = 400, most: int = 800) -> DataFrame:
+    """pos, id: one ordered pool of the distinct ids of all pools(url, pos, ids); the caps are part of the result."""
+    rows = pools.select("url", F.col("pos").alias("array"), F.posexplode(F.slice("ids", 1, each)).alias("nth", "id")).filter(~F.col("id").rlike("^_*$"))
+    least = rows.groupBy("id").agg(F.min(F.struct("url", "array", "nth")).alias("first")).orderBy("first").limit(most)
+    return least.select((F.row_number().over(Window.orderBy("first")) - 1).alias("pos"), "id")
+
+
+def probes(ids: Column, fillers: Column) -> Column:
+    """What is tried behind a prefix to see whether it is live: 0 and 1, a sample of the ids, a few fillers."""
+    good = F.filter(fillers, lambda f: (f != "") & ~f.contains("${") & ~f.contains("}"))
+    return F.array_distinct(F.concat(F.array(F.lit("0"), F.lit("1")), probe_ids(ids), F.slice(good, 1, 3)))
+
+
+def probe_and_expand(specs: DataFrame, answers: DataFrame, limits: Limits = Limits(numbers=30)) -> DataFrame:
+    """prefix, url: specs(prefixes, suffix, ids, fillers, most) expanded for the prefixes of which a probe is among
+    answers(url, text) with an asset; a page in an asset's place is no answer."""
+    named = specs.select(F.slice("prefixes", 1, F.greatest(F.lit(1), F.least(F.col("most"), F.lit(64)))).alias("prefixes"), "suffix", "ids", "fillers")
+    tried = named.filter((F.col("suffix") != "") & ~F.col("suffix").contains("${")).select(F.explode("prefixes").alias("prefix"), "suffix", "ids", "fillers")
+    tried = tried.filter((F.col("prefix") != "") & ~F.col("prefix").rlike(r"\$\{|\}"))
+    asked = tried.select("prefix", "suffix", F.explode(probes(F.col("ids"), F.col("fillers"))).alias("probe")).withColumn("url", F.concat("prefix", "probe", "suffix"))
+    live = live_prefixes(asked.select("prefix", "url"), answers.filter(~P.impostor(F.col("text"))))
+    kept = tried.join(live, "prefix", "left_semi").select(F.array("prefix").alias("prefixes"), "suffix", "ids", "fillers")
+    return expand_templates(kept, limits).select("prefix", "url").filter(~P.telemetry(F.col("url"))).distinct()
+
+
+def two_variable_templates(bundles: DataFrame, limits: Limits = Limits(), keys: int = 60, pairs: tuple[int, int] = (12, 17)) -> DataFrame:
+    """url, prefixes, suffix, probe, refs of backtick literals with two variables in bundles(url, text).
+
+    The first variable stands for its quoted alternatives, or for frequent path segments; numbers missing among
+    the middles of one prefix and suffix are filled in; relative prefixes stand below each loader base. Where the second
+    variable counts (or is short), `probe` is true and the prefixes are a template's, to be probed; where it does
+    not count, refs are the literals without it."""
+    lit = F.regexp_extract_all("text", F.lit(r"`([^`$]*\$\{[^}]+\}[^`$]*\$\{[^}]+\}[^`]*?\.[A-Za-z0-9]{2,5})`"), F.lit(1))
+    rows = bundles.select("url", F.posexplode(lit).alias("pos", "lit"))
+    part = lambda i: F.regexp_extract("lit", r"(?s)^([^$]*)\$\{([^}]+)\}([^$]*)\$\{([^}]+)\}(.*)$", i)
+    rows = rows.select("url", "pos", part(1).alias("prefix"), part(2).alias("first"), part(3).alias("middle"), F.trim(part(4)).alias("second"), part(5).alias("suffix"))
+    rows = rows.filter(~F.col("suffix").rlike(r"[${}]") & ~F.col("prefix").contains("}") & ~F.col("middle").contains("}"))
+    rows = rows.groupBy("url", "prefix", "middle", "second", "suffix").agg(F.min_by("first", "pos").alias("first"), F.min("pos").alias("pos"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("url").orderBy("pos"))).filter(F.col("rank") <= keys)
+    group = ("url", "prefix", "suffix")
+    numbered = r"^(.*?)(\d+)([^/]*)$"
+    cut = lambda i: F.regexp_extract("middle", numbered, i)
+    parts = rows.filter(F.col("middle").rlike(numbered)).select(*group, cut(1).alias("root"), cut(3).alias("tail"), F.expr("try_cast(regexp_extract(middle, '^(.*?)([0-9]+)([^/]*)$', 2) as bigint)").alias("num")).filter("num is not null")
+    gaps = lod_gaps(parts, limits, (*group, "root", "tail")).groupBy(*group).agg(F.slice(F.array_sort(F.collect_list(F.concat("root", F.col("n").cast("string"), "tail"))), 1, limits.gaps).alias("gaps"))
+    fillers = top_segments(bundles, "url", "text", limits).groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "segment"))), lambda x: x["segment"]).alias("fillers"))
+    bases = bundles.select("url", loader_bases(F.col("text"), limits).alias("bases"))
+    rows = rows.join(gaps, list(group), "left").join(fillers, "url", "left").join(bases, "url", "left")
+    none = F.array().cast("array<string>")
+    quoted = F.slice(F.array_distinct(F.filter(F.regexp_extract_all("first", F.lit(r"[\"']([^\"']*)[\"']"), F.lit(1)), lambda a: ~a.rlike(r"[${]"))), 1, 8)
+    few = F.slice(F.coalesce("fillers", none), 1, 8)
+    absolute = F.col("prefix").rlike("(?i)^(?:/|https?://)")
+    bare = F.regexp_replace("prefix", "^[./]+", "")
+    ropes = F.when(absolute, F.array("prefix")).when(F.col("prefix") == "", F.coalesce("bases", none)).otherwise(F.concat(F.transform(F.coalesce("bases", none), lambda b: F.concat(b, bare)), F.array("prefix")))
+    rows = rows.withColumn("fills", F.when(F.size(quoted) > 0, quoted).otherwise(F.concat(few, F.transform(few, lambda f: F.concat(f, F.lit("/"))), F.array(F.lit(""))))).withColumn("ropes", ropes)
+    rows = rows.withColumn("mid", F.explode(F.concat(F.array("middle"), F.array_remove(F.coalesce("gaps", none), F.col("middle")))))
+    numeric = P.numeric_variable(F.col("second"))
+    made = lambda fills, over, *rest: F.flatten(F.transform(fills, lambda f: F.transform(over, lambda b: urls.join_url(b, f, F.col("mid"), *rest))))
+    fills = F.when(numeric, F.col("fills")).otherwise(F.slice("fills", 1, pairs[1]))
+    return rows.select(
+        "url", made(fills, F.col("ropes")).alias("prefixes"), "suffix", (numeric | (F.length("second") <= 4)).alias("probe"),
+        F.when(numeric, none).otherwise(made(F.slice("fills", 1, pairs[1]), F.slice("ropes", 1, pairs[0]), F.col("suffix"))).alias("refs"),
+    )
+
+
 def expand_enum(specs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """specs(key, bases, ids, exts): base/id.ext in that order of nesting, the first `enum` of each key."""
     based = lambda b: F.when(b.endswith("/"), b).otherwise(F.concat(b, F.lit("/")))
@@ -251,21 +320,30 @@ def importmap_refs(pages: DataFrame) -> DataFrame:
 
 
 def frame_sequences(bundles: DataFrame) -> DataFrame:
-    """url, template, first, last, pad of `sequence:{folder, prefix, startIndex, endIndex, extension, padLength}`."""
-    bodies = F.regexp_extract_all("text", F.lit(r"sequence\s*:\s*\{([^}]{1,600})\}"), F.lit(1))
+    """url, template, first, last, pad of `sequence:{folder, prefix, startIndex, endIndex, extension, padLength}`, read
+    from the first 600 characters of its body; without folder, prefix or either index there is no sequence."""
+    bodies = F.regexp_extract_all("text", F.lit(r"sequence\s*:\s*\{([^}]{1,600})"), F.lit(1))
     rows = bundles.select("url", F.explode(bodies).alias("b"))
-    text = lambda k: F.regexp_extract("b", rf"{k}\s*:\s*[\"'`]([^\"'`]*)", 1)
-    number = lambda k: F.expr(f"try_cast(try_cast(regexp_extract(b, '{k}\\\\s*:\\\\s*([0-9.]+(?:e[0-9]+)?)', 1) as double) as bigint)")
-    ext = F.when(text("extension") == "", "webp").otherwise(F.regexp_replace(text("extension"), r"^\.", ""))
-    template = F.concat(F.regexp_replace(F.concat(F.lit("/frames/"), text("folder"), F.lit("/")), "(?<!:)//+", "/"), text("prefix"), F.lit("{}."), ext)
-    return rows.select("url", template.alias("template"), number("startIndex").alias("first"), number("endIndex").alias("last"), F.coalesce(number("padLength"), F.lit(0)).cast("int").alias("pad")).filter("first is not null and last is not null")
+    text = lambda k: F.regexp_extract("b", rf"{k}\s*:\s*[\"'`]([^\"'`]{{1,80}})[\"'`]", 1)
+    number = lambda k: F.expr(f"try_cast(try_cast(regexp_extract(b, '{k}\\\\s*:\\\\s*([0-9]+(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?)', 1) as double) as bigint)")
+    ext = F.when(text("extension") == "", "webp").otherwise(text("extension"))
+    template = F.concat(F.lit("/frames/"), text("folder"), F.lit("/"), text("prefix"), F.lit("{}."), ext)
+    rows = rows.filter((text("folder") != "") & (text("prefix") != "")).select("url", template.alias("template"), number("startIndex").alias("first"), number("endIndex").alias("last"), F.coalesce(number("padLength"), F.lit(0)).cast("int").alias("pad"))
+    return rows.filter("first is not null and last is not null").filter(~F.col("template").contains("${"))
+
+
+def other_sequences(sequences: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Sequences that no cluster of frame files covers: frame_sequences() minus frame_clusters(), by template and ends."""
+    template = F.concat(F.lit("/frames/"), "folder", F.lit("/"), "prefix", F.lit("{}."), "ext")
+    known = clusters.select("url", template.alias("template"), "first", "last").distinct()
+    return sequences.join(known, ["url", "template", "first", "last"], "left_anti")
 
 
 def template_specs(bundles: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """url, prefix, variable, suffix, alternatives of backtick literals with one or two variables that end in an
     asset extension; of two, the first is replaced by each of its quoted alternatives (or left out)."""
     exts = r"\.(?:" + ASSET_EXTS + ")"
-    two = r"`([^`$]{0,120}(?:\$\{[^}`]{1,80}\}[^`$]{1,120})?\$\{[^}`]{1,80}\}[^`$]{0,80}" + exts + r")`"
+    two = r"`([^`$]{0,200}(?:\$\{[^}`]+\}[^`$]+)?\$\{[^}`]+\}[^`$]*?" + exts + r")`"
     rows = bundles.select("url", F.posexplode(F.regexp_extract_all("text", F.lit(two), F.lit(1))).alias("pos", "lit"))
     quoted = lambda c: F.slice(F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(r"[\"']([^\"']*)[\"']"), F.lit(1)), lambda a: ~a.rlike(r"[${]"))), 1, 8)
     pair = F.col("lit").rlike(r"\$\{[^}]*\}.*\$\{")
@@ -302,6 +380,11 @@ def deep_files(files: DataFrame, limit: int = 2_000_000) -> DataFrame:
     return files.filter(low.rlike(r"\.(gltf|glb|splinecode)$") | (low.endswith(".json") & (F.col("size") < limit)))
 
 
+def stylesheets(files: DataFrame) -> DataFrame:
+    """The style sheets of files(path, ...), by extension."""
+    return files.filter(F.lower("path").endswith(".css"))
+
+
 def api_hints(responses: DataFrame) -> DataFrame:
     """url, ref: asset references in JSON response bodies."""
     return responses.select("url", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf'(?i)"((?:https?:/)?/[^"\s]{{1,300}}\.(?:{ASSET_EXTS}))"'), F.lit(1)))).alias("ref"))

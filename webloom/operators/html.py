@@ -18,8 +18,11 @@ def html_attrs(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         import html as entities
+        import re
         from html.parser import HTMLParser
 
+        media = re.compile(r"\.(?:png|jpe?g|webp|avif|gif|svg|ico|mp4|webm)(?:$|[?#])", re.I)
+
         class Attributes(HTMLParser):
             def __init__(self):
                 super().__init__(convert_charrefs=True)
@@ -37,7 +40,7 @@ def html_attrs(pages: DataFrame) -> DataFrame:
                     url = k in ("src", "srcset", "poster", "xlink:href", "ios-src", "environment-image", "skybox-image") or k.startswith("data-")
                     url |= k == "href" and tag not in ("base", "body", "html")
                     url |= k == "data" and tag == "object"
-                    url |= k == "content" and tag == "meta" and "/" in value
+                    url |= k == "content" and tag == "meta" and ("/" in value or media.search(value) is not None)
                     if url:
                         self.found.append((tag, k, value, rel))
 
@@ -141,3 +144,9 @@ def text_refs(pages: DataFrame) -> DataFrame:
     quoted = F.regexp_extract_all(raw, F.lit(r"""["'`]((?:/|\./|\.\./)[^"'`\s<>\\]{1,300})["'`]"""), F.lit(1))
     rows = pages.select("page_id", F.posexplode(F.concat(optimizer, quoted)).alias("pos", "ref")).filter(P.same_origin(F.col("ref")))
     return first_seen(rows, ["page_id", "ref"], ["pos"])
+
+
+def ordered_union(first: DataFrame, second: DataFrame) -> DataFrame:
+    """ref, pos: the distinct refs of first(ref, pos), then those of second(ref, pos) that are new."""
+    rows = first.select("ref", F.lit(0).alias("part"), "pos").unionByName(second.select("ref", F.lit(1).alias("part"), "pos"))
+    return first_seen(rows, ["ref"], ["part", "pos"])

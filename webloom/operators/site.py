@@ -47,16 +47,20 @@ def lookup_routes(refs: DataFrame, routes: DataFrame) -> DataFrame:
     return refs.join(best, "path", "left")
 
 
-def rewritten(refs: DataFrame, routes: DataFrame) -> DataFrame:
-    """Relational form of a page's rewriting: refs(tag, attr, url, framework, depth) with new_url, missing."""
+def rewritten(refs: DataFrame, routes: DataFrame, origin: str | None = None) -> DataFrame:
+    """Relational form of a page's rewriting: refs(tag, attr, url, framework, depth) with new_url, missing. URLs on the
+    origin's host count as paths."""
+    if origin:
+        own = F.coalesce(urls.authority(F.col("url")) == urls.authority(F.lit(origin)), F.lit(False))
+        refs = refs.withColumn("url", F.when(own, urls.site_path(F.col("url"), F.lit(origin))).otherwise(F.col("url")))
     path, tail = urls.split_tail(F.col("url"))
     rows = lookup_routes(refs.withColumn("path", path).withColumn("tail", tail), routes)
     prefix = urls.depth_prefix(F.col("depth"))
     hands_off = ~F.col("url").startswith("/") | F.col("url").startswith("//") | (F.col("tag") == "meta") | P.keep_absolute(F.col("framework"), F.col("tag"), F.col("attr"), F.col("url"))
-    optimizer = F.regexp_replace(urls.unquote(urls.optimizer_source(F.col("url"))), "^/+", "")
+    optimizer = urls.optimizer_target(F.col("url"))
     guess = ~hands_off & (optimizer == "") & F.col("target").isNull() & ~P.asset_path(F.col("path"))
     new = (
-        F.when(hands_off, F.col("url")).when(optimizer != "", F.concat(prefix, F.when(optimizer.rlike("^https?:"), F.element_at(F.split(optimizer, "/"), -1)).otherwise(optimizer)))
+        F.when(hands_off, F.col("url")).when(optimizer != "", F.concat(prefix, optimizer))
         .when(F.col("target").isNotNull(), F.concat(prefix, "target", "tail")).when(P.asset_path(F.col("path")), F.concat(prefix, F.regexp_replace("path", "^/+", ""), F.col("tail")))
         .otherwise(F.concat(prefix, urls.route_file(F.col("path")), F.col("tail")))
     )
@@ -64,14 +68,32 @@ def rewritten(refs: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def path_problems(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """page_id, ref, problem of refs(page_id, ref): root-absolute leftovers, and relative ones without a file."""
-    local = refs.filter((F.trim("ref") != "") & ~F.col("ref").rlike("^(?:https?://|//|data:|blob:|mailto:|tel:|javascript:|#)"))
-    left = local.filter(F.col("ref").startswith("/")).select("page_id", "ref", F.lit("absolute").alias("problem"))
-    path = urls.unquote(urls.strip_query(F.regexp_replace("ref", r"^(?:\./)+", "")))
-    absent = local.filter(~F.col("ref").startswith("/")).withColumn("path", path).filter("path <> ''").join(files.select("path").distinct(), "path", "left_anti")
+    """page_id, ref, problem of refs(page_id, ref): root-absolute leftovers, and relative ones without a file.
+
+    Optional columns: page_file (paths are resolved against its folder), tag, attr and framework (references that the
+    framework compares literally may stay absolute; those of `meta` are never paths)."""
+    have = lambda c: F.coalesce(F.col(c), F.lit("")) if c in refs.columns else F.lit("")
+    rows = refs.select("page_id", F.trim("ref").alias("ref"), have("page_file").alias("page_file"), have("tag").alias("tag"), have("attr").alias("attr"), have("framework").alias("framework"))
+    local = rows.filter((F.col("ref") != "") & (F.lower("tag") != "meta") & ~F.col("ref").rlike("^(?:https?://|//|data:|blob:|mailto:|tel:|javascript:|#)"))
+    kept = (F.col("framework") != "") & P.keep_absolute(F.col("framework"), F.col("tag"), F.col("attr"), F.col("ref"))
+    left = local.filter(F.col("ref").startswith("/") & ~kept).select("page_id", "ref", F.lit("absolute").alias("problem"))
+    bare = urls.unquote(urls.strip_query(F.col("ref")))
+    path = urls.normal_path(F.concat(F.regexp_replace("page_file", "[^/]*$", ""), bare))
+    absent = local.filter(~F.col("ref").startswith("/")).filter(bare != "").withColumn("path", path).join(files.select("path").distinct(), "path", "left_anti")
     return left.unionByName(absent.select("page_id", "ref", F.lit("missing").alias("problem"))).distinct()
 
 
+def verify_pages(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """path_problems of pages(page_id, html, page_file, framework): all reference attributes and css url()."""
+    from .html import html_attrs
+
+    found = html_attrs(pages)
+    several = F.when(F.col("attr").endswith("srcset"), urls.srcset(F.col("value"))).otherwise(F.array("value"))
+    refs = found.select("page_id", "tag", "attr", F.explode(several).alias("ref"))
+    styles = pages.select("page_id", F.lit("style").alias("tag"), F.lit("url").alias("attr"), F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)url\(\s*["']?([^)"'\s<>]+)"""), F.lit(1))).alias("ref"))
+    return path_problems(refs.unionByName(styles).join(pages.select("page_id", "page_file", "framework"), "page_id"), files)
+
+
 def missing_files(refs: DataFrame, files: DataFrame) -> DataFrame:
     """Distinct refs(ref) that no file(path) serves."""
     return refs.select(F.col("ref").alias("path")).distinct().join(files.select("path").distinct(), "path", "left_anti")
@@ -100,7 +122,7 @@ def serve(requests: DataFrame, files: DataFrame) -> DataFrame:
 def optimizer_files(refs: DataFrame, files: DataFrame) -> DataFrame:
     """refs(ref) with file: the exact path of the original, else the least path with its lower-cased name."""
     name = lambda c: F.lower(F.element_at(F.split(c, "/"), -1))
-    rows = refs.withColumn("source", F.regexp_replace(urls.optimizer_source(F.col("ref")), "^/+", ""))
+    rows = refs.withColumn("source", urls.optimizer_target(F.col("ref")))
     exact = files.select(F.col("path").alias("exact")).distinct()
     named = files.groupBy(name(F.col("path")).alias("base")).agg(F.min("path").alias("named"))
     out = rows.join(exact, rows.source == exact.exact, "left").withColumn("base", name(F.col("source"))).join(named, "base", "left")
@@ -111,7 +133,7 @@ def optimizer_files(refs: DataFrame, files: DataFrame) -> DataFrame:
 MOST_ROUTES = 100_000
 
 
-def rewrite_pages(pages: DataFrame, routes: dict[str, str]) -> DataFrame:
+def rewrite_pages(pages: DataFrame, routes: dict[str, str], origin: str | None = None) -> DataFrame:
     """page_id, html, missing of pages(page_id, html, depth, framework): the document form of `rewritten`.
 
     One regular expression per document cannot carry per-match decisions, hence Arrow batches; `routes` is
@@ -119,6 +141,7 @@ def rewrite_pages(pages: DataFrame, routes: dict[str, str]) -> DataFrame:
     if len(routes) > MOST_ROUTES:
         raise ValueError(f"{len(routes)} routes: use rewritten(), which joins them")
     known = {(k if k == "/" else k.rstrip("/")): v for k, v in routes.items()}
+    own = origin.rstrip("/").lower() if origin else None
 
     @F.pandas_udf("html string, missing array<string>")
     def run(html: pd.Series, depth: pd.Series, framework: pd.Series) -> pd.DataFrame:
@@ -135,6 +158,8 @@ def rewrite_pages(pages: DataFrame, routes: dict[str, str]) -> DataFrame:
             turbo = "turbopack" in (framework or "").lower()
 
             def target(url, tag, attr):
+                if own and url.lower().startswith(own) and url[len(own) : len(own) + 1] in ("", "/", "?", "#"):
+                    url = "/" + url[len(own) :].lstrip("/")
                 if not url.startswith("/") or url.startswith("//"):
                     return url
                 path, tail = re.match(r"(?s)([^?#]*)(.*)", url).groups()
@@ -143,7 +168,8 @@ def rewrite_pages(pages: DataFrame, routes: dict[str, str]) -> DataFrame:
                 if path == "/_next/image":
                     source = unquote((parse_qs(tail[1:].replace("&amp;", "&")).get("url") or [""])[0])
                     if source:
-                        return prefix + (source.split("?")[0].rsplit("/", 1)[-1] if re.match(r"(?:https?:)?//", source) else source.lstrip("/"))
+                        bare = unquote(source).split("?")[0].split("#")[0]
+                        return prefix + (bare.rsplit("/", 1)[-1] if re.match(r"(?:https?:)?//", bare) else bare.lstrip("/"))
                 for key in (path, unquote(path), path.rstrip("/") or "/", unquote(path).rstrip("/") or "/"):
                     if key in known:
                         return prefix + known[key] + tail
@@ -233,3 +259,39 @@ def api_answers(requests: DataFrame, payloads: DataFrame) -> DataFrame:
     bare = payloads.select(F.col("path").alias("bare"), F.col("body").alias("b2"))
     rows = requests.join(exact, "path", "left").withColumn("bare", F.regexp_replace("path", "/+$", "")).join(bare, "bare", "left")
     return rows.select("path", F.coalesce("b1", "b2", F.lit("{}")).alias("body"))
+
+
+#: Where a site's manifest may lie.
+MANIFESTS = ("manifest.json", "manifest.webmanifest", "site.webmanifest")
+
+
+def download_assets(refs: DataFrame, origin: str, resources: DataFrame) -> DataFrame:
+    """refs(ref) with path: the local file of what resources(url, content) hold on the origin's host, else null."""
+    rows = refs.select("ref").distinct().withColumn("url", urls.downloadable(F.col("ref"), F.lit(origin)))
+    own = rows.filter(F.coalesce(urls.authority(F.col("url")) == urls.authority(F.lit(origin)), F.lit(False)))
+    found = own.join(resources.select("url").distinct(), "url", "left_semi").select("ref", urls.local_path(F.col("url")).alias("path"))
+    return refs.join(found, "ref", "left")
+
+
+def first_stage(origin: str, routes: DataFrame, resources: DataFrame) -> DataFrame:
+    """kind, url, ok, path of a crawl's first fetches: the homepage, extra routes(route), and the manifests."""
+    spark = routes.sparkSession
+    bare = F.regexp_replace(F.trim("route"), "^/+|/+$", "")
+    extra = routes.filter(bare != "").select(F.lit("page").alias("kind"), F.concat(F.lit(origin + "/"), bare).alias("url"))
+    fixed = spark.createDataFrame([("page", origin + "/"), *(("manifest", f"{origin}/{m}") for m in MANIFESTS)], "kind string, url string")
+    jobs = fixed.unionByName(extra).distinct()
+    return jobs.join(fetch(jobs.select("url"), resources), "url").filter("ok or kind = 'page'").select("kind", "url", "ok", "path")
+
+
+def page_errors(events: DataFrame) -> DataFrame:
+    """route, kind, problem of events(route, kind, text, url): script errors and console errors that are the page's own."""
+    text, url = F.coalesce("text", F.lit("")), F.coalesce("url", F.lit(""))
+    script = (F.col("kind") == "pageerror") & ~P.noise(text)
+    console = (F.col("kind") == "error") & ((url == "") | ~P.noise(url))
+    return events.filter(script | console).select("route", "kind", F.when(script, F.concat("route", F.lit(" pageerror: "), text)).otherwise(F.concat("route", F.lit(" console: "), text, F.lit(" ["), url, F.lit("]"))).alias("problem"))
+
+
+def verification(problems: DataFrame, failed: DataFrame, errors: DataFrame) -> DataFrame:
+    """kind, detail: one report of path problems(ref), failed requests(url) and page errors(problem)."""
+    one = lambda df, kind, column: df.select(F.lit(kind).alias("kind"), F.col(column).alias("detail"))
+    return one(problems, "path", "ref").unionByName(one(failed, "request", "url")).unionByName(one(errors, "error", "problem")).distinct()

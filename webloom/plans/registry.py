@@ -11,6 +11,7 @@ from ..functions import predicates as P
 from ..functions import urls
 from ..operators import bundles, graph, html, logs, site
 from ..sources.derived import table, with_derived
+from . import clone as plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -411,3 +412,180 @@ def failed_requests(spark, sf):
     asked = table(spark, sf, "pages").selectExpr("page_id", "explode(array('png', 'js', 'mp4', 'png?_rsc=1')) as e").selectExpr("concat('/g/', cast(page_id as string), '.', e) as url", "400 + page_id % 2 as status")
     files = table(spark, sf, "pages").selectExpr("explode(array(concat('g/', cast(page_id * 2 as string), '.png'), concat('g/h', cast(page_id as string), '.js'))) as path").unionByName(table(spark, sf, "pages").selectExpr("concat('g/', cast(page_id - page_id % 2 as string), '.png') as path"))
     return site.failed_requests(asked, files)
+
+
+def _values(spark, sf, text):
+    """Rows that Spark and DuckDB make by the same SQL from the raw pages."""
+    return spark.sql(text.replace("{", "{{").replace("}", "}}").replace("from pages", "from {pages}"), pages=table(spark, sf, "pages"))
+
+
+_JOBS = "select concat('/img/a', cast(page_id as string), '.avif') as url from pages"
+
+
+@query(f"select distinct j.url, f.path is not null as ok, substr(f.path, 2) as path from ({_JOBS}) j left join derived_files f on f.path = j.url")
+def asset_fetch(spark, sf):
+    return site.fetch(_values(spark, sf, _JOBS), table(spark, sf, "derived_files").select(F.col("path").alias("url")))
+
+
+_SITE = "https://s.example.com"
+_ASKED = f"""select concat('/img/a', cast(page_id as string), '.avif') as ref, page_id from pages union all select concat('https://other.example.net/', cast(page_id as string), '.png'), page_id from pages
+ union all select concat('//s.example.com/img/a', cast(page_id as string), '.avif?v=1'), page_id from pages union all select concat('data:', cast(page_id as string)), page_id from pages"""
+
+
+@query(f"select ref, case when page_id % 3 <> 0 and (ref like '/img%' or ref like '//s.example%') then 'img/a' || page_id || '.avif' end as path from ({_ASKED})")
+def download_assets(spark, sf):
+    held = table(spark, sf, "derived_files").filter("path like '/img/%'").selectExpr(f"explode(array(concat('{_SITE}', path), concat('{_SITE}', path, '?v=1'))) as url")
+    return site.download_assets(_values(spark, sf, _ASKED).select("ref"), _SITE, held).select("ref", "path")
+
+
+@query(f"""select 'page' as kind, '{_SITE}/s/' || page_id as url, page_id % 2 = 0 as ok, case when page_id % 2 = 0 then 's/' || page_id end as path from pages
+ union all select 'page', '{_SITE}/', false, null union all select 'manifest', '{_SITE}/manifest.json', true, 'manifest.json'""")
+def first_stage(spark, sf):
+    served = table(spark, sf, "pages").filter("page_id % 2 = 0").selectExpr(f"concat('{_SITE}/s/', cast(page_id as string)) as url").unionByName(spark.createDataFrame([(f"{_SITE}/manifest.json",)], "url string"))
+    return site.first_stage(_SITE, table(spark, sf, "pages").selectExpr("concat('/s/', cast(page_id as string), '/') as route"), served)
+
+
+_SIZED = "select concat('f', cast(page_id as string), case cast(page_id % 5 as int) when 0 then '.gltf' when 1 then '.JSON' when 2 then '.glb' when 3 then '.css' else '.splinecode' end) as path, page_id * 100000 as size from pages"
+
+
+@query(f"select path, size from ({_SIZED}) where path not like '%.css' and (path not like '%.JSON' or size < 2000000)")
+def deep_files(spark, sf):
+    return bundles.deep_files(_values(spark, sf, _SIZED))
+
+
+@query(f"select path from ({_SIZED}) where path like '%.css'")
+def stylesheets(spark, sf):
+    return bundles.stylesheets(_values(spark, sf, _SIZED)).select("path")
+
+
+@query(f"select page_id, case when trim(regexp_replace({_PATH}, '[^A-Za-z0-9_-]+', '_', 'g'), '_') = '' then 'home' else trim(regexp_replace({_PATH}, '[^A-Za-z0-9_-]+', '_', 'g'), '_') end as slug, regexp_replace(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), '[^A-Za-z0-9.-]+', '-', 'g') || '-clone' as folder from pages")
+def copy_names(spark, sf):
+    origin = F.regexp_extract("url", "^([A-Za-z]+://[^/?#]*)", 1)
+    return table(spark, sf, "pages").select("page_id", urls.route_slug(F.try_parse_url("url", F.lit("PATH"))).alias("slug"), urls.clone_name(origin).alias("folder"))
+
+
+_TYPED = f"select page_id, case cast(page_id % 4 as int) when 0 then concat('{_SITE}/a/', cast(page_id as string), '/?q=1') when 1 then concat('b/', cast(page_id as string), '#x') when 2 then '{_SITE}' else 'https://o.example.net/x' end as ref from pages"
+
+
+@query(f"""select page_id, ref, case page_id % 4 when 0 then '/a/' || page_id when 1 then '/b/' || page_id when 2 then '/' end as route,
+ case page_id % 4 when 0 then '/a/' || page_id || '/?q=1' when 2 then '/' else ref end as path from ({_TYPED})""")
+def canonical_routes(spark, sf):
+    return _values(spark, sf, _TYPED).select("page_id", "ref", urls.canonical_route(F.col("ref"), F.lit(_SITE)).alias("route"), urls.site_path(F.col("ref"), F.lit(_SITE)).alias("path"))
+
+
+_NAMED = "select page_id, case cast(page_id % 6 as int) when 0 then 'i' when 1 then 'idx' when 2 then 'url' when 3 then 'ab' when 4 then ' count ' else 'longer' end as name from pages"
+
+
+@query(f"select page_id, name, page_id % 6 in (0, 1, 3, 4) as counts from ({_NAMED})")
+def numeric_variables(spark, sf):
+    return _values(spark, sf, _NAMED).withColumn("counts", P.numeric_variable(F.col("name")))
+
+
+_SEEN = "select concat(case when page_id % 3 = 0 then '/favicon.ico?' else '/a' end, cast(page_id as string)) as url, cast(200 + 204 * (page_id % 2) as int) as status from pages"
+
+
+@query(f"select count(*) filter (where status >= 400 and url not like '/favicon%') as failed, count(*) filter (where status >= 400 and url not like '/favicon%') = 0 as clean from ({_SEEN})")
+def problem_summary(spark, sf):
+    return site.problem_summary(_values(spark, sf, _SEEN))
+
+
+_EVENTS = "select concat('/r', cast(page_id as string)) as route, case cast(page_id % 3 as int) when 0 then 'pageerror' when 1 then 'error' else 'log' end as kind, case when page_id % 2 = 0 then 'x is undefined' else 'at hotjar.js' end as text, case when page_id % 5 = 0 then 'https://www.google-analytics.com/a' else '/a.js' end as url from pages"
+
+
+@query(f"""select route, kind, case kind when 'pageerror' then route || ' pageerror: ' || text else route || ' console: ' || text || ' [' || url || ']' end as problem
+ from ({_EVENTS}) where (kind = 'pageerror' and text not like '%hotjar%') or (kind = 'error' and url = '/a.js')""")
+def page_errors(spark, sf):
+    return site.page_errors(_values(spark, sf, _EVENTS))
+
+
+@query("select page_id, array_to_string(list_concat(['0', '1'], list_transform(list_sort(list_distinct(list_concat([0, 1, 29], list_transform(range(1, 25), lambda i: round_even(30 * i / 25, 0)::int)))), lambda k: 'x' || k), ['low']), ',') as tried from pages")
+def probe_sets(spark, sf):
+    ids = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.concat(F.lit("x"), i.cast("string")))
+    return table(spark, sf, "pages").select("page_id", F.array_join(bundles.probes(ids, F.array(F.lit("low"), F.lit("${bad}"))), ",").alias("tried"))
+
+
+@query("select concat('/_next/image?w=64&amp;url=', case when page_id % 2 = 0 then '%2Fi%2F' || page_id || '.png%3Fv%3D1' else 'https%3A%2F%2Fo.example.net%2Fp%2F' || page_id || '.png' end) as ref, case when page_id % 2 = 0 then 'i/' else '' end || page_id || '.png' as target from pages")
+def optimizer_targets(spark, sf):
+    refs = _values(spark, sf, "select concat('/_next/image?w=64&amp;url=', case when page_id % 2 = 0 then concat('%2Fi%2F', cast(page_id as string), '.png%3Fv%3D1') else concat('https%3A%2F%2Fo.example.net%2Fp%2F', cast(page_id as string), '.png') end) as ref from pages")
+    return refs.withColumn("target", urls.optimizer_target(F.col("ref")))
+
+
+@query("select page_id, unnest(['/a/' || page_id || '.js', './c' || (page_id % 7) || '.png']) as ref from pages")
+def text_refs(spark, sf):
+    rows = _values(spark, sf, "select page_id, concat('x=\"\\\\/a\\\\/', cast(page_id as string), '.js\" y=`./c', cast(page_id % 7 as string), '.png` z=\"//cdn/d.js\"') as html from pages")
+    return html.text_refs(rows).select("page_id", "ref")
+
+
+@query("select '/a' || i as ref, (row_number() over (order by i) - 1)::int as pos from (select distinct page_id % 20 as i from pages) union all select '/b' || page_id, page_id::int from pages")
+def page_and_trace_refs(spark, sf):
+    first = _values(spark, sf, "select distinct concat('/a', cast(page_id % 20 as string)) as ref, cast(page_id % 20 as int) as pos from pages")
+    second = _values(spark, sf, "select concat('/b', cast(page_id as string)) as ref, cast(page_id as int) as pos from pages union all select concat('/a', cast(page_id % 20 as string)), 5 from pages")
+    return html.ordered_union(first, second).select("ref", "pos")
+
+
+_FRAMED = """select concat('/js/', cast(page_id as string)) as url, concat('sequence:{folder:"v",prefix:"f",startIndex:1E0,endIndex:', cast(2 + page_id % 2 as string), ',extension:"webp"} "/frames/v/f1.webp" "/frames/v/f2.webp" sequence:{folder:"only"}') as text from pages"""
+
+
+@query("select '/js/' || page_id as url, '/frames/v/f{}.webp' as template, 1::bigint as first, 3::bigint as last, 0 as pad from pages where page_id % 2 = 1")
+def other_sequences(spark, sf):
+    rows = _values(spark, sf, _FRAMED)
+    return bundles.other_sequences(bundles.frame_sequences(rows), bundles.frame_clusters(rows))
+
+
+_TWO = """select concat('/js/t', cast(page_id as string), '.js') as url, concat('a.setPath("/lib/");x(`/t', cast(page_id % 3 as string), '/$', '{q?"hi":"lo"}/lod-1$', '{i}.glb`);x(`/t', cast(page_id % 3 as string), '/$', '{q?"hi":"lo"}/lod-4$', '{i}.glb`);y(`rel/$', '{q?"a":"b"}/m$', '{kind2}.drc`)') as text from pages"""
+
+
+@query(f"""select '/js/t' || page_id || '.js' as url, '/t' || (page_id % 3) || '/' || unnest(['hi', 'lo', 'hi', 'lo', 'hi', 'lo', 'hi', 'lo']) || '/lod-' || unnest([1, 1, 2, 2, 3, 3, 4, 4]) as prefix, '.glb' as suffix, true as probe from pages
+ union all select '/js/t' || page_id || '.js', unnest(['/lib/rel/a/m.drc', '/lib/rel/b/m.drc', 'rel/a/m.drc', 'rel/b/m.drc']), '', false from pages""")
+def two_variable_templates(spark, sf):
+    found = bundles.two_variable_templates(_values(spark, sf, _TWO))
+    specs = found.filter("probe").select("url", F.explode("prefixes").alias("prefix"), "suffix", "probe")
+    return specs.unionByName(found.filter("not probe").select("url", F.explode("refs").alias("prefix"), F.lit("").alias("suffix"), "probe")).distinct()
+
+
+@query("select p as prefix, p || m || '.drc' as url from (select page_id, '/t/' || page_id || '/' as p, unnest(list_concat(list_transform(range(0, 30), lambda i: i::varchar), ['id1', 'id2', 'low'])) as m from pages where page_id % 4 = 1)")
+def probe_and_expand(spark, sf):
+    specs = table(spark, sf, "pages").select(F.array(F.concat(F.lit("/t/"), F.col("page_id").cast("string"), F.lit("/")), F.lit("/${bad}/")).alias("prefixes"), F.lit(".drc").alias("suffix"), F.array(F.lit("id1"), F.lit("id2")).alias("ids"), F.array(F.lit("low")).alias("fillers"), F.lit(12).alias("most"))
+    answers = table(spark, sf, "pages").filter("page_id % 2 = 1").selectExpr("concat('/t/', cast(page_id as string), '/id2.drc') as url", "case when page_id % 4 = 1 then 'bytes' else ' <!doctype html>' end as text")
+    return bundles.probe_and_expand(specs, answers)
+
+
+@query("select (row_number() over (order by u, k) - 1)::int as pos, id from (select id, min(u) as u, min(k) as k from (select '/assets/b' || lpad((page_id)::varchar, 9, '0') as u, unnest([0, 1]) as k, unnest(['hair' || page_id, 'same']) as id from pages) group by id) order by pos limit 800")
+def id_pool(spark, sf):
+    rows = _values(spark, sf, "select concat('/assets/b', lpad(cast(page_id as string), 9, '0')) as url, concat('x=[\"hair', cast(page_id as string), '\",\"same\",\"__\"]') as text from pages")
+    return bundles.id_pool(bundles.id_pools(rows))
+
+
+_COPIED = """select page_id, concat('<img src="../img/a', cast(page_id as string), '.avif" srcset="../v/', cast(page_id as string), '.mp4 1x, ./gone.png 2x"><a href="/left">x</a><script src="/_next/turbopack-1.js"></script><meta content="/og.png"><p style="background:url(../img/none.png)">') as html, concat('p/', cast(page_id as string), '.html') as page_file, 'next-turbopack' as framework from pages"""
+
+
+@query("""select page_id, unnest(case when page_id % 3 = 0 then ['../img/a' || page_id || '.avif', '../v/' || page_id || '.mp4', './gone.png', '/left', '../img/none.png'] else ['./gone.png', '/left', '../img/none.png'] end) as ref from pages""")
+def verify_pages(spark, sf):
+    return site.verify_pages(_values(spark, sf, _COPIED), table(spark, sf, "derived_files").select(F.expr("substr(path, 2)").alias("path"))).select("page_id", "ref")
+
+
+@query("select distinct node from (select '/' as node union all select '/p' || page_id from pages union all select '/e' || (page_id % 3) from pages)")
+def page_seeds(spark, sf):
+    home = _values(spark, sf, "select '/' as route from pages union all select concat('/p', cast(page_id as string)) from pages union all select concat('/p', cast(page_id as string), '.png') from pages")
+    return graph.page_seeds(home, home, _values(spark, sf, "select concat('/e', cast(page_id % 3 as string)) as route from pages"))
+
+
+@query("select distinct page_id + k as n from pages, (select unnest(range(0, 3)) as k)")
+def deep_rounds(spark, sf):
+    return graph.rounds(lambda df: df.unionByName(df.select((F.col("n") + 1).alias("n"))), table(spark, sf, "pages").select(F.col("page_id").alias("n")), 2)
+
+
+_MADE = """select page_id, concat('/s/', cast(page_id as string)) as route, concat('<a href="/s/', cast((page_id*2)%n as string), '">a</a><a href="https://s.example.com/s/', cast((page_id*2+1)%n as string), '">b</a><img src="/img/a', cast(page_id as string), '.avif"><img src="/img/none', cast(page_id as string), '.png">') as html from (select page_id, (select count(*) from pages) as n from pages) t"""
+
+
+@query("""with recursive e as (select distinct '/s/' || s as src, '/s/' || (s*2)%n as dst from (select page_id as s, (select count(*) from pages) as n from pages)),
+c as (select '/s/1' as node, 0 as depth union select e.dst, c.depth + 1 from c join e on e.src = c.node where c.depth < 50),
+kept as (select node from (select node, min(depth) as d from c group by node) order by d, node limit 40),
+m as (select page_id, (select count(*) from pages) as n from pages where '/s/' || page_id in (select node from kept))
+select page_id, '../img/none' || page_id || '.png' as ref from m union all select page_id, '../img/a' || page_id || '.avif' from m where page_id % 3 = 0
+ union all select page_id, '../s/' || (page_id*2+1)%n || '.html' from m where '/s/' || (page_id*2+1)%n not in (select node from kept)""")
+def clone_site(spark, sf):
+    files = table(spark, sf, "derived_files").selectExpr(f"concat('{_SITE}', path) as url")
+    scripts = spark.createDataFrame([], "url string, text string")
+    made = plan.clone(_values(spark, sf, _MADE), scripts, files, spark.createDataFrame([("/s/1",)], "node string"), _SITE, 40)
+    return made.problems.select("page_id", "ref")
