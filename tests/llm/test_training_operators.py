@@ -147,6 +147,17 @@ def test_language_id(corpus, odd):
     assert {r.doc_id for r in strange if r.lang_pred == "und"} >= {1, 2, 3} and len(strange) == len(ODD)
 
 
+def test_language_sample_is_bounded(spark, corpus):
+    """Rows that share a doc_id do not fill the sample; the least frequent labels go beyond the bound on labels."""
+    hot = corpus.limit(1).select("text").crossJoin(spark.range(800).select(F.lit(3).cast("long").alias("doc_id"), F.lit("xx").alias("lang")))
+    rows = corpus.select("doc_id", "text", "lang").unionByName(hot.select("doc_id", "text", "lang"))
+    model = language_id.train(rows, F.lit(True), language_id.Settings(per_language=20))
+    assert "xx" in model.labels
+    fewer = language_id.train(corpus, F.lit(True), language_id.Settings(languages=2))
+    common = [r.lang for r in corpus.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2).collect()]
+    assert fewer.labels == sorted(common)
+
+
 def test_cotraining(spark, corpus, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rng = np.random.default_rng(0)
@@ -290,10 +301,17 @@ def test_warc(spark):
 
 def test_encoder_agrees():
     encode = packing.Encoder(*tokenizer())
-    for cp in [c for c in range(0x3100) if packing.agreed.fullmatch(chr(c))]:
-        c = chr(cp)
+    every = [chr(c) for c in range(0x11000) if not 0xD800 <= c < 0xE000 and packing.agreed.fullmatch(chr(c))]
+    assert len(every) > 30_000
+    for c in every:
         text = f"a {c} b{c}{c}c 1{c}  {c}!"
-        assert encode.slow.encode(text, add_special_tokens=False).ids == encode.fast.encode_ordinary(text), hex(cp)
+        assert encode.slow.encode(text, add_special_tokens=False).ids == encode.fast.encode_ordinary(text), hex(ord(c))
+    rng = np.random.default_rng(1)
+    plain = [c for c in every if ord(c) < 0x500]
+    for k in range(1500):  # mixtures of all scripts, and of the frequent characters with white space and digits
+        own = rng.choice(plain if k % 2 else every, int(rng.integers(1, 60)))
+        text = "".join(c + str(rng.choice(["", "", " ", "\n", "  ", "7", "'s"])) for c in own)
+        assert encode.slow.encode(text, add_special_tokens=False).ids == encode.fast.encode_ordinary(text), text
     assert encode("a<|endoftext|>b").tolist() == encode.slow.encode("a<|endoftext|>b", add_special_tokens=False).ids
 
 

@@ -9,8 +9,8 @@ shorter than the first band has no verdict of its own and is kept if the base ru
 hexadecimal digits of less than about 4.5 KB, or templates of less than 1 KB, from prose of that length.
 
 Cases: null text counts as no text: all counts 0, ratio null, base_failed true (fewer than 50 words),
-kept false; the same for empty text. Very long texts are compressed in chunks and as a stream, never
-copied as a whole. Repeated rows and ties are judged alike; other columns are ignored.
+kept false; the same for empty text. A very long text is held in memory
+with its counts (about 40 bytes for each of its own), but no more than that one text at a time. Repeated rows and ties are judged alike; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,12 +6,13 @@ their own counts. Nyström landmarks (training texts of every language) span a f
 ``z(x) = K_mm^(-1/2) k_m(x)``; one-versus-rest kernel ridge regression is solved there, and a batch of texts
 is scored by matrix products: presence matrix x landmark matrix x regression matrix.
 
-Training rows are bounded by ``per_language`` for each label, chosen by hash from all allowed rows (a
-documented bound: the classifier alone is fitted on a sample; every text is classified). A row leaves its
-executor as a bitmap of fixed size, so neither long texts nor many rows fill the driver.
+Training rows are bounded by ``per_language`` for each of the ``languages`` most frequent labels, the first by hash
+of all allowed rows (documented bounds: the classifier alone is fitted on a sample; every text is classified). The
+bounds are kept in Spark, also where rows share a doc_id, and a row leaves its executor as a bitmap of fixed
+size: neither long texts nor many rows fill the driver.
 
 Cases: null text or text without a letter is ``und`` with score 0; so is everything when no labelled text
-is available. A null label or doc_id is never trained on. Ties go to the first label in sort order. Whole
+is available. A null label or doc_id is never trained on; of rows that share doc_id and label one is. Ties go to the first label in sort order. Whole
 texts are read; repeated rows are classified alike; other columns are ignored.
 """
 
@@ -24,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import shared
 
@@ -36,6 +38,7 @@ class Settings:
     max_n: int = 4
     buckets: int = 1 << 16
     per_language: int = 300
+    languages: int = 1000
     landmarks: int = 40
     ridge: float = 0.05
     rows: int = 128
@@ -110,10 +113,15 @@ def fit(bits: np.ndarray, labels: list[str], settings: Settings) -> Model | None
 def train(docs: DataFrame, allowed: Column, settings: Settings = Settings()) -> Model | None:
     """Fit on at most `per_language` rows of each label among the allowed rows of docs(doc_id, text, lang)."""
     rows = docs.filter(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = rows.groupBy("lang").count()
+    # Documents, not rows, of each label; a sketch is enough for the doubled share below.
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("count"))
     key = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30))
-    share = counts.select(F.col("lang"), (F.lit(2.0 * settings.per_language) / F.col("count") * (1 << 30)).alias("below"))
-    chosen = rows.select("doc_id", "text", "lang", key.alias("k")).join(F.broadcast(share.limit(100_000)), "lang").filter("k < below").select("doc_id", "text", "lang", "k")
+    # Twice the wanted rows of each label on average, cut to the first ones below.
+    share = counts.orderBy(F.desc("count"), "lang").limit(settings.languages).select("lang", (F.lit(2.0 * settings.per_language) / F.col("count") * (1 << 30)).alias("below"))
+    some = rows.select("doc_id", "text", "lang", key.alias("k")).join(F.broadcast(share), "lang").filter("k < below")
+    one = some.groupBy("lang", "doc_id", "k").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))
+    chosen = one.select("lang", "k", "doc_id", "r.text").withColumn("nth", nth).filter(F.col("nth") <= settings.per_language).select("lang", "k", "text")
 
     def pack(batches):
         for batch in batches:
@@ -123,10 +131,8 @@ def train(docs: DataFrame, allowed: Column, settings: Settings = Settings()) ->
 
     found = chosen.mapInArrow(pack, "lang string, k long, bits binary")
     kept: dict[str, list] = {}
-    for lang, k, raw in sorted((r[0], r[1], bytes(r[2])) for r in found.toLocalIterator()):
-        own = kept.setdefault(lang, [])
-        if len(own) < settings.per_language:
-            own.append(raw)
+    for lang, _, raw in sorted((r[0], r[1], bytes(r[2])) for r in found.collect()):
+        kept.setdefault(lang, []).append(raw)
     labels = [lang for lang, own in kept.items() for _ in own]
     raws = [raw for own in kept.values() for raw in own]
     bits = np.unpackbits(np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), -1), axis=1) if raws else np.zeros((0, settings.buckets), np.uint8)

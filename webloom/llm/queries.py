@@ -36,7 +36,7 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.records(warc.round_trip(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+    return warc.records(warc.round_trip(_table(spark, sf_dir, "pages"), with_data=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

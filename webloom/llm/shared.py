@@ -25,9 +25,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary folder."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary folder in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _fallback:
             _fallback[app] = "file://" + tempfile.mkdtemp(prefix="webloom-")

@@ -11,7 +11,7 @@ a failed task's file is not in the table of archives, so it is never read.
 
 Cases: null payload is empty; rows with a null identifier are always responses; of rows that share both
 identifier and payload all are kept as written, the ones with the group's smallest identifier being
-responses. Payloads shorter than ``least_bytes`` are never revisits. A null or odd URL is written
+responses (and sharing a record name). Payloads shorter than ``least_bytes`` are never revisits. A null or odd URL is written
 percent-encoded. Other columns are ignored. An empty table gives no archives and an empty chunk table.
 """
 
@@ -62,8 +62,9 @@ def with_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html",
     return rows.withColumn("digest", F.sha1(raw)).join(later, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
-def _record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def _record_id(page_id, digest: str, place: str) -> str:
+    """A record's name by its page and payload; records without a page are named by their place."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}' if page_id is not None else place)}>"
 
 
 def write(records: DataFrame, folder: str, archive_bytes: int = 1 << 30, chunk_bytes: int = 1 << 20, level: int = 6) -> DataFrame:
@@ -103,12 +104,12 @@ def write(records: DataFrame, folder: str, archive_bytes: int = 1 << 30, chunk_b
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
                 kind = "response" if refers is None else "revisit"
                 body = len(http) + (len(payload) if refers is None else 0)
-                head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page)}", f"WARC-Date: {_EPOCH}", f"WARC-Target-URI: {quote(url or 'about:blank', safe=':/?#[]@!$&()*+,;=%~-._')}"]
+                head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page, digest, f'{path}:{count}')}", f"WARC-Date: {_EPOCH}", f"WARC-Target-URI: {quote(url or 'about:blank', safe=':/?#[]@!$&()*+,;=%~-._')}"]
                 head.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}")
                 if page is not None:
                     head.append(f"X-Page-Id: {page}")
                 if refers is not None:
-                    head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers)}", f"X-Refers-To-Page-Id: {refers}"]
+                    head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers, digest, path)}", f"X-Refers-To-Page-Id: {refers}"]
                 head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {body}", "", ""]
                 emit(["\r\n".join(head).encode(), http, *([payload] if refers is None else []), b"\r\n\r\n"])
                 count += 1
@@ -241,5 +242,6 @@ def round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0
 
 
 def records(chunks: DataFrame) -> DataFrame:
-    """One row per record, from its last chunk: no shuffle, as digests and sizes are incremental."""
-    return chunks.filter("is_last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", (F.col("payload_digest") == F.col("declared_digest")).alias("digest_ok"))
+    """One row per record, from its last chunk: no shuffle, as digests and sizes are incremental. digest_ok tells
+    whether a response's bytes have the digest its record declares; a revisit has no bytes, and digest_ok is null."""
+    return chunks.filter("is_last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.when(F.col("record_type") != "revisit", F.col("payload_digest") == F.col("declared_digest")).alias("digest_ok"))
