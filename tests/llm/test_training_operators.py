@@ -136,6 +136,23 @@ def test_leaf_counts_a_pair_once():
         assert sorted(links) == [(6, 5), (8, 5)] and counts.tolist() == [100, 100, 0, 11]
 
 
+def test_leaf_of_many_members():
+    """Postings in pieces give the counts of all pairs."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 4000, 60)).astype(np.uint64) for _ in range(1200)]
+    sets += [np.unique(np.append(s[rng.random(len(s)) > 0.05], np.uint64(9999))) for s in sets[:700]]
+    sizes = [len(s) for s in sets]
+    none = [np.array([1])] * len(sets)
+    links, counts = jaccard_join.leaf_links(list(range(len(sets))), sizes, sets, none, [1] * len(sets), 1, 75)
+    held = np.zeros((len(sets), 10_000), np.float32)
+    for i, s in enumerate(sets):
+        held[i, s.astype(int)] = 1
+    common = (held @ held.T).astype(int)
+    near = 100 * common >= 75 * (np.array(sizes)[:, None] + np.array(sizes) - common)
+    np.fill_diagonal(near, False)
+    assert counts.tolist() == near.sum(1).tolist() and counts.sum() > 500 and {a for a, _ in links} >= set(np.flatnonzero(near[:, :1].any(1)).tolist())
+
+
 def test_language_id(corpus, odd):
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
     got = language_id.identify(corpus, held).join(corpus.select("doc_id", "lang"), "doc_id").collect()

@@ -245,7 +245,7 @@ def leaf_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], leaves:
     documents in texts other than its own. sets hold the shared shingles only.
 
     A pair that meets in several leaves (``leaves`` names each member's, ascending) is counted in the first of them.
-    Shingles that an eighth of the members hold are compared by one matrix product, the others by their postings."""
+    Shingles that a sixteenth of the members hold are compared by one matrix product, the others by their postings."""
     count = len(ids)
     n, weight = np.array(sizes, np.int64), np.array(copies, np.int64)
 
@@ -257,7 +257,7 @@ def leaf_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], leaves:
     def product(member, token, kinds):
         """For a block of members: how many names they share with each member."""
         times = np.bincount(token, minlength=kinds)
-        dense = times * 8 > count
+        dense = times * 16 > count
         place = np.cumsum(dense) - 1
         matrix = np.zeros((count, int(dense.sum())), np.float32)
         common = dense[token]
@@ -272,10 +272,14 @@ def leaf_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], leaves:
             t = token[starts[a] : starts[b]]
             row = member[starts[a] : starts[b]] - a
             many = heads[t + 1] - heads[t]
-            if many.sum():
-                first = np.repeat(heads[t] - np.cumsum(many) + many, many)
-                other = posting[first + np.arange(many.sum())]
-                out += np.bincount(np.repeat(row, many) * count + other, minlength=(b - a) * count).reshape(b - a, count)
+            # Postings in pieces of about a million, however many members share these names.
+            upto = np.cumsum(many)
+            cuts = np.searchsorted(upto, np.arange(1, int(upto[-1]) // (1 << 20) + 1) << 20) if len(upto) else np.zeros(0, int)
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(t)]):
+                if i < j and (own := many[i:j]).sum():
+                    first = np.repeat(heads[t[i:j]] - np.cumsum(own) + own, own)
+                    other = posting[first + np.arange(own.sum())]
+                    out += np.bincount(np.repeat(row[i:j], own) * count + other, minlength=(b - a) * count).reshape(b - a, count)
             return out
 
         return block
@@ -284,6 +288,7 @@ def leaf_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], leaves:
     earlier = [own[own < me] for own in leaves]
     met_before = product(*index(earlier)) if any(map(len, earlier)) else None
     comp, linked = np.arange(count), np.zeros(count, np.int64)
+    rows = max(1, min(rows, (1 << 22) // max(1, count)))  # a block's counts are at most 4 million
     for a in range(0, count, rows):
         b = min(count, a + rows)
         common = shared_by(a, b)
