@@ -128,6 +128,49 @@ def test_jaccard_join_odd(odd):
     assert [by[k] for k in (5, 6, 7, 9, 10)] == [(5, 2), (5, 2), (5, 2), (9, 1), (9, 1)] and by[None] == (None, 0)
 
 
+def test_batches_add_up_common_shingles():
+    rng = np.random.default_rng(5)
+    rare = rng.integers(1 << 63, size=4000).astype(np.uint64) << np.uint64(1)
+    everywhere = np.array([7 << 50, 3 << 61], np.uint64)  # held by all texts
+    sets = [np.unique(np.concatenate([everywhere, rare[10 * i : 10 * i + 14]])) for i in range(390)]
+    postings, rows = jaccard_join._by_range(sets, np.uint64(60))
+    held = Counter(int(x) for s in sets for x in s)
+    six = lambda x: x & ((1 << 48) - 1)
+    assert sum(len(r[2]) for r in rows) == 6 * len(held)
+    found, several = defaultdict(list), []
+    for r, counts, names, times in rows:
+        per, values = jaccard_join._from_few(counts), jaccard_join._from_six(names).tolist()
+        for d, v in zip(np.repeat(np.arange(len(sets)), per).tolist(), values):
+            found[r, v].append(d)
+        several += [(r, v, t) for v, t in zip(values[int(per.sum()) :], jaccard_join._from_few(times).tolist() if times else [])]
+    told = jaccard_join._from_few(postings).tolist()
+    assert told[: len(several)] == [t for _, _, t in several]
+    at = len(several)
+    for r, v, t in several:
+        found[r, v] += told[at : at + t]
+        at += t
+    assert at == len(told)
+    want = defaultdict(list)
+    for d, s in enumerate(sets):
+        for x in s.tolist():
+            want[x >> 60, six(x)].append(d)
+    assert found == want
+
+
+def test_shared_shingles_of_a_common_passage(spark):
+    common = prose(900, 40)
+    texts = [(i, f"{prose(1000 + i, 30 if i % 3 else 4)} {common} {prose(2000 + i // 2, 20)}") for i in range(240)]
+    table = docs(spark, texts).repartition(7)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts for w in [t.translate(LOWER).split()]}
+    times = Counter(x for s in sets.values() for x in s)
+    alone = {i: sum(times[x] == 1 for x in s) for i, s in sets.items()}
+    want = Counter((len(s), alone[i], len(s) - alone[i]) for i, s in sets.items() if 100 * (len(s) - alone[i]) >= 50 * len(s))
+    rows = jaccard_join.shared_shingles(table, 5, 50).collect()
+    assert want and Counter((r.n, r.uniques, len(r.hashes) // 6) for r in rows) == want
+    hot = [set(jaccard_join._from_six(bytes(r.hashes))[-36:].tolist()) for r in rows]
+    assert all(h == hot[0] for h in hot)  # the most frequent come last, under the same names in every batch
+
+
 def test_leaf_counts_a_pair_once():
     sets = [np.arange(20, dtype=np.uint64), np.arange(1, 20, dtype=np.uint64), np.arange(30, 50, dtype=np.uint64), np.arange(2, 20, dtype=np.uint64)]
     leaves = [np.array([3, 7]), np.array([3, 7]), np.array([7]), np.array([7])]

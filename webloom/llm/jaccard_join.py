@@ -7,8 +7,9 @@ How it works, all of it exact but for equal hashes of different shingles (48 bit
 range are kept: 52 at least, 64 from 65,536 ranges on; a collision moves an intersection by one):
 
 1. *Shingles.* Texts become sets of hashed word shingles; equal word sequences share a fingerprint.
-   Shingles go, packed, to the partition of their hash range, which counts in how many texts each
-   occurs and returns those that occur at least twice. A text with fewer than ``threshold`` percent of
+   Shingles go, packed and added up by batch of texts, to the partition of their hash range, which counts in how
+   many texts each occurs and returns those that occur at least twice: one that every text holds costs its range
+   an entry a batch, not one a text. A text with fewer than ``threshold`` percent of
    such shingles is farther than ``eps`` from every other and needs no further work.
 2. *Pivots.* Documents without common shingles all lie at distance 1, where a metric cannot separate
    them, so regions start from shingles: in the order (frequency, hash), two sets within ``eps`` share
@@ -116,6 +117,34 @@ def _from_six(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
+def _by_range(sets: list[np.ndarray], shift: np.uint64) -> tuple[bytes, list[tuple]]:
+    """A batch's shingles by hash range, added up: a shingle that several of its texts hold is one entry of its range.
+
+    Returns postings, which stay with the batch (for each such shingle, in order, how many texts hold it; then which),
+    and rows (range, how many shingles each text alone holds, names of these and of the others, holders of the others)."""
+    flat = np.concatenate(sets)
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, doc = flat[order], doc[order]
+    heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    times = np.diff(np.append(heads, len(flat)))
+    several = times > 1
+    again = np.repeat(several, times)
+    names, times = flat[heads[several]], times[several]
+    postings = _few(np.concatenate([times, doc[again]]))
+    flat, doc = flat[~again], doc[~again]
+    own, named = (flat >> shift).astype(np.int64), (names >> shift).astype(np.int64)
+    order = np.argsort(own * len(sets) + doc, kind="stable")
+    flat, doc = flat[order], doc[order]
+    present = np.unique(np.concatenate([own, named]))
+    ends = [np.searchsorted(x, present, side=side).tolist() for x in (own, named) for side in ("left", "right")]
+    rows = []
+    for rng, a, b, c, d in zip(present.tolist(), *ends):
+        per = np.bincount(doc[a:b], minlength=len(sets))
+        rows.append((rng, _few(per), _six(np.append(flat[a:b], names[c:d])), _few(times[c:d]) if c < d else None))
+    return postings, rows
+
+
 def shared_shingles(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """Distinct texts of which `threshold` percent of the shingles occur in other texts too: their
     fingerprint, n, the number of other shingles, and the 48-bit names of the shared ones, by (frequency, name)."""
@@ -144,46 +173,42 @@ def shared_shingles(docs: DataFrame, width: int, threshold: int) -> DataFrame:
             if not keep:
                 continue
             sizes = np.array([len(s) for s in sets], np.int64)
-            flat = np.concatenate(sets)
-            own = (flat >> shift).astype(np.int64)
-            doc = np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(own, kind="stable")
-            flat, own, doc = flat[order], own[order], doc[order]
-            cuts = np.flatnonzero(np.diff(own)) + 1
-            out = [(base + serial, int(serial % ranges), 0, marks[keep].tobytes(), sizes.astype(np.uint32).tobytes(), None)]
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)]):
-                per = np.bincount(doc[a:b], minlength=len(sets))
-                out.append((base + serial, int(own[a]), 1, _few(per), _six(flat[a:b]), None))
+            postings, parts_of = _by_range(sets, shift)
+            out = [(base + serial, int(serial % ranges), 0, marks[keep].tobytes(), sizes.astype(np.uint32).tobytes(), postings)]
+            out += [(base + serial, rng, 1, *part) for rng, *part in parts_of]
             serial += 1
             yield _rows(out, _PACKED_ARROW)
 
     def count(batches):
         for rng, rows in _runs(batches, "rng"):
             packed = [r for r in rows if r["kind"] == 1]
-            out = [(r["batch"], rng, 0, r["counts"], r["hashes"], None) for r in rows if r["kind"] == 0]
+            out = [(r["batch"], rng, 0, r["counts"], r["hashes"], r["marks"]) for r in rows if r["kind"] == 0]
             if packed:
                 values = [_from_six(r["hashes"]) for r in packed]
+                held = [_from_few(r["marks"]) if r["marks"] else np.zeros(0, np.uint32) for r in packed]
                 flat = np.concatenate(values)
+                texts = np.concatenate([np.append(np.ones(len(v) - len(t), np.uint32), t) for v, t in zip(values, held)])
                 order = np.argsort(flat)
                 ordered = flat[order]
                 heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                times = np.diff(np.append(heads, len(ordered)))
-                df = np.empty(len(flat), np.int64)
-                df[order] = np.repeat(times, times)
+                entries = np.diff(np.append(heads, len(ordered)))
+                times = np.add.reduceat(texts[order], heads, dtype=np.int64)
                 # A common shingle is named by its range and its place among the range's common shingles.
                 nth = np.empty(len(flat), np.uint32)
-                nth[order] = np.repeat(np.cumsum(times > 1) - 1, times).astype(np.uint32)
-                mark = np.minimum(255, np.floor(8 * np.log2(df))).astype(np.uint8)
+                nth[order] = np.repeat(np.cumsum(times > 1) - 1, entries).astype(np.uint32)
+                mark = np.empty(len(flat), np.uint8)
+                mark[order] = np.repeat(np.minimum(255, np.floor(8 * np.log2(times))).astype(np.uint8), entries)
                 at = 0
-                for r, own in zip(packed, values):
+                for r, own, more in zip(packed, values, held):
                     m, name = mark[at : at + len(own)], nth[at : at + len(own)]
                     at += len(own)
-                    common = m > 0
+                    common = m > 0  # all of the names that several texts of the batch hold, which stand last
                     per = _from_few(r["counts"])
                     doc = np.repeat(np.arange(len(per)), per)
-                    both = np.stack([np.bincount(doc[~common], minlength=len(per)), np.bincount(doc[common], minlength=len(per))])
+                    once = common[: len(own) - len(more)]
+                    both = np.stack([np.bincount(doc[~once], minlength=len(per)), np.bincount(doc[once], minlength=len(per))])
                     out.append((r["batch"], rng, 1, _few(both), _planes(name[common]), m[common].tobytes()))
-                del flat, order, ordered, df, mark, nth
+                del flat, order, ordered, texts, mark, nth
             for i in range(0, len(out), 64):
                 yield _rows(out[i : i + 64], _PACKED_ARROW)
 
@@ -193,14 +218,21 @@ def shared_shingles(docs: DataFrame, width: int, threshold: int) -> DataFrame:
             marks = np.frombuffer(head["counts"], np.int64).reshape(-1, 2)
             sizes = np.frombuffer(head["hashes"], np.uint32).astype(np.int64)
             uniques = np.zeros(len(sizes), np.int64)
-            docs_of, hashes, classes = [], [], []
-            for r in rows:
-                if r["kind"] == 1:
-                    alone, common = _from_few(r["counts"]).reshape(2, -1)
-                    uniques += alone
-                    docs_of.append(np.repeat(np.arange(len(common)), common))
-                    hashes.append(_from_planes(r["hashes"]) | np.uint64(r["rng"] << 28))
-                    classes.append(np.frombuffer(r["marks"], np.uint8))
+            docs_of, hashes, classes, again = [], [], [], []
+            for r in sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["rng"]):
+                alone, common = _from_few(r["counts"]).reshape(2, -1)
+                uniques += alone
+                names, own = _from_planes(r["hashes"]) | np.uint64(r["rng"] << 28), np.frombuffer(r["marks"], np.uint8)
+                k = int(common.sum())
+                docs_of.append(np.repeat(np.arange(len(common)), common))
+                hashes.append(names[:k])
+                classes.append(own[:k])
+                again.append((names[k:], own[k:]))
+            held = _from_few(head["marks"]).astype(np.int64)
+            k = sum(len(names) for names, _ in again)
+            docs_of.append(held[k:])
+            hashes.append(np.repeat(np.concatenate([names for names, _ in again]), held[:k]))
+            classes.append(np.repeat(np.concatenate([own for _, own in again]), held[:k]))
             doc, flat, cls = np.concatenate(docs_of), np.concatenate(hashes), np.concatenate(classes)
             good = 100 * (sizes - uniques) >= threshold * sizes
             pick = good[doc]
