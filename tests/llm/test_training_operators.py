@@ -120,6 +120,27 @@ def test_jaccard_join_recursion(spark, leaf):
     assert {got[200 + i][1] for i in range(8)} == {200} and got[200][2] < got[204][2] < 7  # a chain is no clique
 
 
+def test_regions_split_into_cells_and_blocks(spark, monkeypatch):
+    """Clusters that share passages part into cells; one cluster of near copies does not, and is cut into blocks."""
+    rng = np.random.default_rng(11)
+    pool = [prose(300 + i, 20) for i in range(12)]
+    texts = []
+    for cluster in range(16):
+        own = [pool[p] for p in sorted(rng.choice(12, 6, replace=False))]
+        texts += [(1000 * cluster + i, " ".join([*own, f"w{cluster}x{i}"])) for i in range(8)]
+    base = prose(400, 100)
+    texts += [(50_000 + i, f"{base} tail{i}") for i in range(60)]
+    seen, leaves = [], jaccard_join._leaves
+
+    def spy(members, sets, threshold):
+        seen.extend(r.region for r in members.select("region").distinct().collect())
+        return leaves(members, sets, threshold)
+
+    monkeypatch.setattr(jaccard_join, "_leaves", spy)
+    assert joined_classes(docs(spark, texts), leaf_shingles=1200, pivots=8) == classes(texts)
+    assert any("/" in r for r in seen) and any("#" in r for r in seen)
+
+
 def test_jaccard_join_odd(odd):
     got = jaccard_join.jaccard_join(odd).collect()
     assert len(got) == len(ODD)

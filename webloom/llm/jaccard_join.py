@@ -18,8 +18,8 @@ range are kept: 52 at least, 64 from 65,536 ranges on; a collision moves an inte
    so each linking pair meets in at least one region.
 3. *Voronoi recursion.* A region above ``leaf_shingles`` takes new pivots; each document goes to its
    nearest pivot's cell and, by the triangle inequality, to every cell whose pivot is at most
-   ``2 * eps`` farther. Cells are split again; one that no longer shrinks is cut into blocks, each pair
-   of which is a leaf, so no region is dropped, capped or held in one task.
+   ``2 * eps`` farther. Cells are split again; a region whose cells would not halve its work is cut into
+   blocks instead, each pair of which is a leaf, so no region is dropped, capped or held in one task.
 4. *Leaves.* Inside a leaf all pairs' distances are found exactly, block of members by block. A leaf gives its
    components as stars, and each member's number of links; a pair that meets in several leaves is counted
    in the first one that holds both. No pair leaves its task.
@@ -371,7 +371,7 @@ def _distances(rows: DataFrame) -> DataFrame:
 
 
 def _split(big: DataFrame, sets: DataFrame, eps: float, pivots: int) -> DataFrame:
-    """One step of the recursion: Voronoi cells of each region's new pivots, with boundary copies.
+    """One step of the recursion: (parent, region, id), Voronoi cells of each region's new pivots, with boundary copies.
 
     ``pivots`` documents are taken from each region by hash (one from each of as many hash classes)."""
     slot = F.pmod(F.xxhash64("region", "id"), F.lit(pivots))
@@ -381,18 +381,21 @@ def _split(big: DataFrame, sets: DataFrame, eps: float, pivots: int) -> DataFram
     far = shared.materialize(_distances(with_pivot), "distances")
     nearest = far.groupBy("region", "id").agg(F.min("d").alias("least"))
     cells = far.join(nearest, ["region", "id"]).filter(F.col("d") <= F.col("least") + 2 * eps + 1e-9)
-    return cells.select(F.concat_ws("/", "region", F.col("pivot").cast("string")).alias("region"), "id")
+    return cells.select(F.col("region").alias("parent"), F.concat_ws("/", "region", F.col("pivot").cast("string")).alias("region"), "id")
 
 
 def _blocks(big: DataFrame, sizes: DataFrame, leaf_shingles: int) -> DataFrame:
-    """Cut each region into blocks of about half a leaf; each pair of blocks is a region."""
-    cut = big.join(sizes.select("region", F.greatest(F.lit(2), F.ceil(2 * F.col("weight") / leaf_shingles)).cast("long").alias("k")), "region")
+    """Cut each region into blocks; each pair of blocks is a region. A pair of blocks holds a leaf of shingles, but for
+    regions above four leaves, of which a pair holds a quarter until that is ten leaves: a member is copied to as many
+    pairs as there are blocks."""
+    k = F.greatest(F.lit(2), F.ceil(2 * F.col("weight") / (10 * leaf_shingles)), F.least(F.lit(8), F.ceil(2 * F.col("weight") / leaf_shingles)))
+    cut = big.join(sizes.select("region", k.cast("long").alias("k")), "region")
     mine = cut.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("k")))
     pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     return pairs.select(F.concat_ws("#", "region", F.least("mine", "other").cast("string"), F.greatest("mine", "other").cast("string")).alias("region"), "id")
 
 
-def links(sets: DataFrame, threshold: int = 75, leaf_shingles: int = 1_000_000, pivots: int = 8) -> DataFrame:
+def links(sets: DataFrame, threshold: int = 75, leaf_shingles: int = 100_000, pivots: int = 8) -> DataFrame:
     """Links (a, b) by `first`, whose connected components are those of all pairs within the threshold, and rows
     (a, links) that add up to the number of documents with other texts linked to the vertex of that id.
 
@@ -416,24 +419,24 @@ def links(sets: DataFrame, threshold: int = 75, leaf_shingles: int = 1_000_000,
     members = shared.materialize(postings.join(pivot, "s").select(F.col("pivot").cast("string").alias("region"), "id").distinct(), "regions")
     slim = sets.select("id", F.col("n").alias("w")).distinct()
     sets = sets.select("id", "first", "copies", "n", "hashes").dropDuplicates(["id"])
-    found, level = [], 0
+    found = []
     while True:
         weights = members.join(slim, "id").groupBy("region").agg(F.sum("w").alias("weight"), F.count("*").alias("k"))
         big = shared.materialize(weights.filter(F.col("weight") > leaf_shingles).filter("k > 2"), "big")
-        heavy = big.agg(F.sum("weight")).first()[0]
-        found.append(members.join(big, "region", "left_anti") if heavy else members)
-        if not heavy:
+        if big.isEmpty():
+            found.append(members)
             break
+        found.append(members.join(big, "region", "left_anti"))
         rest = members.join(big.select("region"), "region", "left_semi")
-        # Cells of unrelated documents do not shrink: from the third step on, and where a step did not
-        # lessen the largest region by a third, the exact pairs of blocks end the recursion.
-        largest = big.agg(F.max("weight")).first()[0]
-        if level >= 3 or (level and largest > last * 2 / 3):
-            found.append(shared.materialize(_blocks(rest, big, leaf_shingles), "blocks"))
-            break
-        last = largest
-        members = shared.materialize(_split(rest, sets, eps, pivots).distinct(), "cells")
-        level += 1
+        cells = shared.materialize(_split(rest, sets, eps, pivots).distinct(), "cells")
+        # The work of a region goes with its square. Where its cells save less than half of it (they overlap, or its
+        # documents lie at one distance), the region's own blocks are taken; so each further step halves the work.
+        work = cells.join(slim, "id").groupBy("parent", "region").agg(F.sum("w").cast("double").alias("c")).groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
+        told = big.join(work.withColumnRenamed("parent", "region"), "region").select("region", "weight", (2 * F.col("work") <= F.col("weight").cast("double") * F.col("weight")).alias("better"))
+        told = shared.materialize(told, "told")
+        same = told.filter("not better").select("region", "weight")
+        found.append(shared.materialize(_blocks(members.join(same.select("region"), "region", "left_semi"), same, leaf_shingles), "blocks"))
+        members = shared.materialize(cells.join(told.filter("better").select(F.col("region").alias("parent")), "parent", "left_semi").select("region", "id"), "members")
     out = found[0].select("region", "id")
     for more in found[1:]:
         out = out.unionByName(more.select("region", "id"))
@@ -460,7 +463,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(now)
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 75, leaf_shingles: int = 1_000_000, pivots: int = 8) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 5, threshold: int = 75, leaf_shingles: int = 100_000, pivots: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row of docs(doc_id, text)."""
     shared.tune(docs.sparkSession)
     entries = shared.materialize(document_sets(docs, width), "entries")
