@@ -143,7 +143,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["m"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for key, base in (("m", _M), ("i", _MINV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -169,7 +169,7 @@ def hashed_words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.n
     ends = np.flatnonzero(solid & (after | edge[1:])) + 1
     counts = np.diff(np.searchsorted(starts, at))
     out = np.empty(len(starts), np.uint64)
-    step = 1 << 18
+    step = 1 << 15  # the work arrays of a step take about 40 bytes a character
     for i in range(0, len(starts), step):
         s, e = starts[i : i + step], ends[i : i + step]
         a = int(s[0])
