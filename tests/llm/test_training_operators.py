@@ -796,6 +796,65 @@ def test_hpylm_tells_contexts_apart(spark):
     assert got[302] > got[301] + 0.3 and got[200] == got[201] > got[300] + 0.5
 
 
+def test_hpylm_tells_longer_contexts_apart(spark):
+    """The word before decides, the previous word alone is the same everywhere."""
+    rng = np.random.default_rng(8)
+    texts = [(k, " ".join(f"x{i} m y{i}" for i in rng.integers(0, 20, 20))) for k in range(100)]
+    more = [(300, " ".join(f"x{i} m y{i}" for i in range(20))), (301, " ".join(f"x{i} m y{(i + 1) % 20}" for i in range(20)))]
+    got = {r.doc_id: r.score / r.n_tokens for r in hpylm.score(docs(spark, texts + more), F.col("doc_id") >= 300).collect()}
+    assert got[300] > got[301] + 0.5
+
+
+def test_hpylm_of_two_words_is_consistent_and_sums_to_one(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{min(24, k)}" for k in rng.zipf(1.5, 60)) for _ in range(12)]
+    table = docs(spark, list(enumerate(texts))).select("doc_id", "text", F.lit(False).alias("held_out"))
+    grid = hpylm._Grid(2, 2, 2)
+    packed = hpylm._fixed(hpylm._packed_rows(table, grid, 2), 4, "rng")
+    states, kept = hpylm._sampled(packed, grid, 4, hpylm.Settings())
+    found, told = defaultdict(list), defaultdict(list)
+    for r in packed.collect():
+        found[r.rng].append(r.asDict())
+    for r in kept.collect():
+        told[r.batch, r.rng].append(r.asDict())
+    tokens = [[None, None, *words(t), None] for t in texts]
+    triples = Counter(x for t in tokens for x in zip(t, t[1:], t[2:]))
+    contexts = Counter(x for t in tokens for x in zip(t, t[1:-1]))
+    for k, state in enumerate(states):
+        deep, pairs, root, ones, twos = defaultdict(dict), defaultdict(dict), {}, {}, {}
+        for number, own in found.items():
+            if not any(r["kind"] == hpylm._PAIRS for r in own):
+                continue
+            part, (i, j) = hpylm._Range(own), divmod(number, grid.columns)
+            seats = next(r for r in told[k, number] if r["kind"] == hpylm._SEATS)
+            below = part.tables(seats["f"], part.served > 1, part.served)
+            assert hpylm.Seats.read(seats["f"], seats["g"]).customers().tolist() == part.served[part.served > 1].tolist()
+            tables, customers = part.tables(seats["a"], part.customers > 1, part.customers), part.by_pair(below)
+            answers = [r for r in told[k, number] if r["kind"] == hpylm._ANSWER]
+            counts = [r for r in told[-1, number] if r["kind"] == hpylm._COUNTS]
+            ones.update({(i, u): x for u, *x in zip(part.us.tolist(), grid.told(answers, 0, "c").tolist(), grid.told(answers, 0, "b").tolist())})
+            twos.update({(i, c): x for c, *x in zip(part.contexts.tolist(), grid.told(counts, 2, "a").tolist(), grid.told(answers, 2, "b").tolist())})
+            root.update({(j, w): x for w, *x in zip(part.ws.tolist(), grid.told(answers, 1, "b").tolist(), grid.told(answers, 1, "c").tolist())})
+            for u, w, c, t in zip(part.us[part.u].tolist(), part.ws[part.w].tolist(), customers.tolist(), tables.tolist()):
+                pairs[i, u][j, w] = (c, t)
+            for c, at, n, t in zip(part.contexts[part.k].tolist(), part.at.tolist(), part.served.tolist(), below.tolist()):
+                deep[i, c, int(part.us[part.u[at]])][j, int(part.ws[part.w[at]])] = (n, t)
+        assert sorted(n for own in deep.values() for n, _ in own.values()) == sorted(triples.values())
+        assert sorted(c for c, _ in twos.values()) == sorted(contexts.values()) and len(deep) == len(twos)
+        p = {w: float(state.root(c, t)) for w, (c, t) in root.items()}
+        assert sum(p.values()) + float(state.root(0, 0)) == pytest.approx(1, abs=1e-9)
+        assert all(c == sum(own[w][1] for own in pairs.values() if w in own) for w, (c, _) in root.items())
+        for (i, c, u), own in deep.items():
+            assert twos[i, c] == np.sum(list(own.values()), axis=0).tolist() and all(1 <= t <= n for n, t in own.values())
+            assert ones[i, u] == np.sum(list(pairs[i, u].values()), axis=0).tolist()
+            parent = lambda w, p, i=i, u=u: state.predictive(*pairs[i, u].get(w, (0, 0)), *ones[i, u], p)
+            mass = sum(state.predictive(*own.get(w, (0, 0)), *twos[i, c], parent(w, p[w]), deep=True) for w in root)
+            assert mass + state.predictive(0, 0, *twos[i, c], parent(None, float(state.root(0, 0))), deep=True) == pytest.approx(1, abs=1e-9)
+        for (i, u), own in pairs.items():  # a dish's customers are the tables of all contexts that end in its word
+            for w, (c, _) in own.items():
+                assert c == sum(x[w][1] for (row, _, of), x in deep.items() if (row, of) == (i, u) and w in x)
+
+
 def test_hpylm_without_training(odd):
     got = hpylm.score(odd, F.lit(True)).collect()
     assert all(r.base_score == pytest.approx(0, abs=1e-9) and r.score == pytest.approx(0, abs=1e-9) and r.train_tokens == 0 for r in got)

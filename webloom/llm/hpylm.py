@@ -1,9 +1,12 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Restaurants: the root serves all words (base: uniform over the vocabulary and one unknown word); below it
-stands one restaurant for each previous word of the corpus, and all of them share the root as parent. Every
-table of a context restaurant is a customer of the root. The model gathers one restaurant for each word and one
-dish for each pair of words, so it grows with the corpus; no context is hashed together with another.
+Restaurants, in three levels: the root serves all words (base: uniform over the vocabulary and one unknown word);
+below it stands one restaurant for each previous word of the corpus, and all of them share the root as parent; below
+these stands one for each two previous words, and all whose last word is the same share that word's restaurant as
+parent. Customers enter at the lowest level; every table is a customer of the same dish one level up. The model
+gathers one restaurant for each word and for each pair of words that follow each other, and one dish for each pair
+and for each triple, so it grows with the corpus; no context is hashed together with another. A text starts, and
+ends, at the same mark: the first word's context is twice that mark.
 
 Seating is sampled by Gibbs. A sweep takes ``rounds`` customers of every dish in turn, at random, from their
 tables and seats them anew: at a table with a chance of (its customers - discount), at a new one with a chance
@@ -13,20 +16,22 @@ see ``Seats.grow``); Gibbs goes on from there. Dishes move at the same time: wit
 restaurant as the others left it in the round before, and the root's probabilities and the tables that other
 ranges hold are those of the last sweep. After a sweep all totals are summed anew, so tables, totals and root
 belong to one state: the predictive probabilities of each sample sum to 1. They are averaged over ``samples``
-states after ``burn_in`` sweeps. The root's own seats gain and lose customers with the tables below and are
-reseated in the same way.
-
-Distribution: a batch of texts becomes its distinct pairs (previous word, word). Pairs lie in a grid of ranges:
-rows by the hash of the previous word, columns by that of the word, both growing with the root of the input. A
-frequent word's pairs are thus spread over a whole row and a whole column, and a frequent pair comes once for
-each batch. A range holds its pairs' counts and seats. Restaurants' totals (by previous word) and the root (by
-word) lie in slots, some for each row and column: after a sweep a range sends its words' new tables to its
-slots, packed and without the words' names, and gets the totals of its own words back. Nothing that grows with the
-corpus comes to the driver; it gets four numbers a sweep. At the end the pairs' probabilities return to their
+states after ``burn_in`` sweeps. A sweep goes from the lowest level up; the seats of the two levels above gain and
+lose customers with the tables below and are reseated in the same way.
+
+Distribution: a batch of texts becomes its distinct triples (word before, previous word, word), held by pair
+(previous word, word). Pairs lie in a grid of ranges: rows by the hash of the previous word, columns by that of the
+word, both growing with the root of the input. A frequent word's pairs are thus spread over a whole row and a whole
+column, and a frequent triple comes once for each batch. A range holds the counts and seats of its triples and of
+their pairs, which are their parents' dishes. Totals of the restaurants of one and of two previous words and the
+root (by word) lie in slots, some for each row and column: after a sweep a range sends its words' and contexts' new
+tables to its slots, packed and without names, and gets the totals of its own back. Nothing that grows with the
+corpus comes to the driver; it gets six numbers a sweep. At the end the triples' probabilities return to their
 batch, which adds them up by document.
 
 Base score: sum of log10((c + 0.1) / (N + 0.1 (V + 1))) over tokens, by exact counts of all training texts.
-Words are told apart by their row or column and the next 48 bits of their hash.
+Words are told apart by their row or column and the next 48 bits of their hash, the word before by 48 bits, the
+context of two words by its row and 52 bits.
 
 Cases: null text is empty: one end token. Without training rows N = V = 0, and either score is 0. A null
 doc_id is held out (its crc32 is unknown). Repeated rows count and score as often as they occur; other
@@ -35,7 +40,7 @@ columns are ignored, whatever their names. A text longer than a batch is a batch
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -53,21 +58,24 @@ class Settings:
     rounds: int = 8
     strength: float = 1.0
     seed: int = 7
-    #: Bytes of input for each range.
-    range_bytes: int = 12 << 20
+    #: Previous words of the longest context: 1 or 2.
+    words: int = 2
+    #: Bytes of input for each range; bounds a worker's memory.
+    range_bytes: int = 6 << 20
 
 
 _END = np.uint64(0x5851F42D4C957F2D)
+_CONTEXT_BITS = 52
 _NO_ID = -(1 << 63)
-_ROW = "rng int, slot int, batch long, kind int, a binary, b binary, c binary, d binary, e binary, x double"
-_ARROW = pa.schema([("rng", pa.int32()), ("slot", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), *[(n, pa.binary()) for n in "abcde"], ("x", pa.float64())])
+_ROW = "rng int, slot int, batch long, kind int, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary, x double"
+_ARROW = pa.schema([("rng", pa.int32()), ("slot", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), *[(n, pa.binary()) for n in "abcdefgh"], ("x", pa.float64())])
 # Kinds of rows: a batch's documents; its pairs in a range; a range's totals for a slot; a slot's answer; seats;
 # a number for the driver; training counts; a batch's probabilities from a range.
 _HOME, _PAIRS, _TOTALS, _ANSWER, _SEATS, _NUMBER, _COUNTS, _VALUES = range(8)
 
 
-def _row(kind: int, rng: int = -1, slot: int = -1, batch: int = -1, a=None, b=None, c=None, d=None, e=None, x=None) -> tuple:
-    return rng, slot, batch, kind, a, b, c, d, e, x
+def _row(kind: int, rng: int = -1, slot: int = -1, batch: int = -1, a=None, b=None, c=None, d=None, e=None, f=None, g=None, h=None, x=None) -> tuple:
+    return rng, slot, batch, kind, a, b, c, d, e, f, g, h, x
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -255,7 +263,8 @@ class Seats:
 
 @dataclass(frozen=True)
 class _Grid:
-    """Ranges, numbered by row and column; the words of each row and of each column lie in `subs` slots."""
+    """Ranges, numbered by row and column; the words of each row and of each column lie in `subs` slots, the contexts of
+    two words of a row in as many as it has ranges."""
 
     rows: int
     columns: int
@@ -271,19 +280,21 @@ class _Grid:
     def ranges(self) -> int:
         return self.rows * self.columns
 
-    def by_word(self, slot: int) -> bool:
-        return slot >= self.rows * self.subs
+    def axis(self, slot: int) -> int:
+        return 0 if slot < self.rows * self.subs else 1 if slot < (self.rows + self.columns) * self.subs else 2
 
     def sent(self, number: int, axis: int, names: np.ndarray, *values: np.ndarray):
-        """(slot, names, values...) of a range's words on an axis: 0 for previous words, 1 for words."""
-        first = (number // self.columns if axis == 0 else self.rows + number % self.columns) * self.subs
-        cuts = np.searchsorted(names, [-(-(k << 48) // self.subs) for k in range(self.subs + 1)])
+        """(slot, names, values...) of what a range has on an axis: 0 previous words, 1 words, 2 contexts of two words."""
+        row, column = divmod(number, self.columns)
+        subs, bits = (self.columns, _CONTEXT_BITS) if axis == 2 else (self.subs, 48)
+        first = (row * self.subs, (self.rows + column) * self.subs, (self.rows + self.columns) * self.subs + row * self.columns)[axis]
+        cuts = np.searchsorted(names, [-(-(k << bits) // subs) for k in range(subs + 1)])
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             yield first + k, *(v[cuts[k] : cuts[k + 1]] for v in (names, *values))
 
     def told(self, answers: list[dict], axis: int, column: str) -> np.ndarray:
         """The answers to what was sent on an axis, in the same order."""
-        return np.concatenate([_unpack(r[column]) for r in sorted((r for r in answers if self.by_word(r["slot"]) == bool(axis)), key=lambda r: r["slot"])])
+        return np.concatenate([_unpack(r[column]) for r in sorted((r for r in answers if self.axis(r["slot"]) == axis), key=lambda r: r["slot"])])
 
 
 def _placed(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -298,8 +309,9 @@ def _home(batch: int, ranges: int) -> int:
     return (batch & 0xFFFFFFFF) % ranges
 
 
-def _packed_rows(docs: DataFrame, grid: _Grid) -> DataFrame:
-    """For each batch of texts: a row of its documents, and one for each range that some of its pairs lie in."""
+def _packed_rows(docs: DataFrame, grid: _Grid, words_before: int = 1) -> DataFrame:
+    """For each batch of texts: a row of its documents, and one for each range that some of its pairs lie in, with their
+    triples if contexts have two words."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -327,18 +339,34 @@ def _packed_rows(docs: DataFrame, grid: _Grid) -> DataFrame:
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
             token = place[token]
+            if words_before == 2:
+                earlier = np.empty_like(before)
+                earlier[1:] = before[:-1]
+                earlier[ends - sizes] = before[0]
+                triples, token = np.unique(token * np.int64(len(distinct)) + earlier, return_inverse=True)
+                within, v = np.bincount(triples // len(distinct), minlength=len(pairs)), triples % len(distinct)
+                name = (distinct >> np.uint64(16)).astype(np.int64)
+                del triples, earlier
+            else:
+                within = np.ones(len(pairs), np.int64)
+            del before, word
+            first = np.concatenate([[0], np.cumsum(within)])
             doc = np.repeat(np.arange(len(sizes)), sizes)
             by = np.argsort(token, kind="stable")
-            learned = np.bincount(token, weights=~held[doc], minlength=len(pairs)).astype(np.int64)
+            learned = np.bincount(token, weights=~held[doc], minlength=first[-1]).astype(np.int64)
             ids = np.array([_NO_ID if x is None else x for x in table["doc_id"].to_pylist()], np.int64)
             number = base + serial
-            out = [_row(_HOME, _home(number, grid.ranges()), batch=number, a=held.tobytes(), b=_pack(np.bincount(token, minlength=len(pairs))), c=_pack(doc[by]), d=ids.tobytes())]
+            out = [_row(_HOME, _home(number, grid.ranges()), batch=number, a=held.tobytes(), b=_pack(np.bincount(token, minlength=first[-1])), c=_pack(doc[by]), d=ids.tobytes())]
             cuts = np.flatnonzero(np.diff(own)) + 1
             for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)]):
                 heads = np.flatnonzero(np.concatenate([[True], u[i + 1 : j] != u[i : j - 1]]))
                 per = np.diff(np.append(heads, j - i))
                 ws, w_at = np.unique(w[i:j], return_inverse=True)
-                out.append(_row(_PAIRS, int(own[i]), batch=number, a=_names(row_name[u[i:j][heads]]), b=_pack(per), c=_names(column_name[ws]), d=_pack(w_at), e=_pack(learned[i:j])))
+                deep = {}
+                if words_before == 2:
+                    vs, v_at = np.unique(v[first[i] : first[j]], return_inverse=True)
+                    deep = {"f": _pack(within[i:j]), "g": _names(name[vs]), "h": _pack(v_at)}
+                out.append(_row(_PAIRS, int(own[i]), batch=number, a=_names(row_name[u[i:j][heads]]), b=_pack(per), c=_names(column_name[ws]), d=_pack(w_at), e=_pack(learned[first[i] : first[j]]), **deep))
             serial += 1
             for i in range(0, len(out), 64):
                 yield _rows(out[i : i + 64])
@@ -348,11 +376,13 @@ def _packed_rows(docs: DataFrame, grid: _Grid) -> DataFrame:
 
 
 class _Range:
-    """The distinct pairs of a range: previous word u, word w, training customers."""
+    """The distinct pairs of a range: previous word u, word w, training customers. With contexts of two words also its
+    triples: the context k, the pair at, training customers; else each pair stands for itself."""
 
     def __init__(self, rows: list[dict], keep_places: bool = False):
         rows = sorted((r for r in rows if r["kind"] == _PAIRS), key=lambda r: r["batch"])
         self.batches = [r["batch"] for r in rows]
+        self.deep = rows[0]["f"] is not None
         learned = [_unpack(r["e"]) for r in rows]
         self.lengths = [len(x) for x in learned]
         learned = np.concatenate(learned)
@@ -365,20 +395,55 @@ class _Range:
         u *= len(self.ws)
         u += w  # one key for each pair; big arrays go as soon as they are used
         del w, lists
-        order = np.argsort(u, kind="stable")
-        ordered = u[order]
-        del u
-        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        self.customers = np.add.reduceat(learned[order], heads)
-        self.u, self.w = ordered[heads] // len(self.ws), ordered[heads] % len(self.ws)
+        heads, place = _distinct(u)
+        self.u, self.w = heads // len(self.ws), heads % len(self.ws)
+        del u, heads
+        if self.deep:
+            at = np.repeat(place, np.concatenate([_unpack(r["f"]) for r in rows]))
+            del place
+            context = np.concatenate([_words(r["g"])[_unpack(r["h"])] for r in rows]).view(np.uint64)
+            context += shared.mix(self.us.view(np.uint64))[self.u[at]]
+            context = (shared.mix(context) >> np.uint64(64 - _CONTEXT_BITS)).view(np.int64)
+            self.contexts, context = np.unique(context, return_inverse=True)
+            at *= len(self.contexts)
+            at += context
+            del context
+            heads, place = _distinct(at)
+            del at
+            self.at, self.k = heads // len(self.contexts), heads % len(self.contexts)
+        self.served = np.bincount(place, weights=learned).astype(np.int64)
+        #: Training customers of the pairs; in `served` those of the lowest level's dishes.
+        self.customers = np.bincount(self.at, weights=self.served).astype(np.int64) if self.deep else self.served
         if keep_places:
-            self.places = np.empty(len(order), np.int64)
-            self.places[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+            self.places = place
 
     def totals(self, per_pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sums by previous word and by word."""
         return tuple(np.bincount(at, weights=per_pair, minlength=len(of)).astype(np.int64) for at, of in ((self.u, self.us), (self.w, self.ws)))
 
+    def by_context(self, per_triple: np.ndarray) -> np.ndarray:
+        return np.bincount(self.k, weights=per_triple, minlength=len(self.contexts)).astype(np.int64)
+
+    def by_pair(self, per_triple: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, weights=per_triple, minlength=len(self.u)).astype(np.int64)
+
+    def tables(self, per_dish: bytes | None, many: np.ndarray, served: np.ndarray) -> np.ndarray:
+        """Tables of all dishes: as kept for those of many customers, one for others that are served; at first one each."""
+        each = (served > 0).astype(np.int64)
+        if per_dish is not None:
+            each[many] = _unpack(per_dish)
+        return each
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the place of each key among them."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    place = np.empty_like(order)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place
+
 
 @dataclass
 class _State:
@@ -391,6 +456,8 @@ class _State:
     discount: float
     root_discount: float
     strength: float
+    #: That of contexts of two words.
+    deep_discount: float = 0.5
 
     def lift(self) -> float:
         """What the base gives each word, as customers of the root."""
@@ -400,9 +467,10 @@ class _State:
         """The root's predictive probabilities."""
         return (customers - self.root_discount * tables + self.lift()) / (self.strength + self.root_customers)
 
-    def predictive(self, own: np.ndarray, own_tables: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    def predictive(self, own: np.ndarray, own_tables: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray, deep: bool = False) -> np.ndarray:
         """Probabilities of dishes, given their and their restaurant's customers and tables."""
-        return (own - self.discount * own_tables + (self.strength + self.discount * tables) * parent) / (self.strength + customers)
+        discount = self.deep_discount if deep else self.discount
+        return (own - discount * own_tables + (self.strength + discount * tables) * parent) / (self.strength + customers)
 
 
 def _discount(ones: float, twos: float) -> float:
@@ -411,7 +479,7 @@ def _discount(ones: float, twos: float) -> float:
 
 
 def _counted(packed: DataFrame, grid: _Grid) -> DataFrame:
-    """Each range's words, their training customers, and one table for each dish: its first totals."""
+    """Each range's words and contexts, their training customers, and one table for each dish: its first totals."""
 
     def run(batches):
         for number, found in _runs(batches, "rng"):
@@ -419,24 +487,33 @@ def _counted(packed: DataFrame, grid: _Grid) -> DataFrame:
                 continue
             part = _Range(found)
             customers, tables = part.totals(part.customers), part.totals(part.customers > 0)
-            out = [_row(_TOTALS, number, slot, a=_names(names), b=_pack(c), c=_pack(t)) for axis, of in enumerate((part.us, part.ws)) for slot, names, c, t in grid.sent(number, axis, of, customers[axis], tables[axis])]
-            yield _rows([*out, _row(_NUMBER, slot=-1, x=float((part.customers == 1).sum())), _row(_NUMBER, slot=-2, x=float((part.customers == 2).sum()))])
+            below = part.by_pair(part.served > 0) if part.deep else part.customers
+            out = [_row(_TOTALS, number, slot, a=_names(names), b=_pack(c), c=_pack(t)) for slot, names, c, t in grid.sent(number, 1, part.ws, customers[1], tables[1])]
+            out += [_row(_TOTALS, number, slot, a=_names(names), b=_pack(c), c=_pack(t), d=_pack(n) if part.deep else None) for slot, names, c, t, n in grid.sent(number, 0, part.us, customers[0], tables[0], part.totals(below)[0])]
+            if part.deep:
+                out += [_row(_TOTALS, number, slot, a=_names(names), b=_pack(c), c=_pack(t)) for slot, names, c, t in grid.sent(number, 2, part.contexts, part.by_context(part.served), part.by_context(part.served > 0))]
+            numbers = (below == 1).sum(), (below == 2).sum(), (part.served == 1).sum(), (part.served == 2).sum()
+            out += [_row(_NUMBER, slot=-1 - k, x=float(v)) for k, v in enumerate(numbers)]
+            for i in range(0, len(out), 64):
+                yield _rows(out[i : i + 64])
 
     return packed.mapInArrow(run, _ROW)
 
 
-def _answers(slot: int, names: list[dict], told: dict[int, bytes], seats: dict | None, grid: _Grid, state: _State | None, settings: Settings, sweep: int) -> list[tuple]:
-    """A slot's answers to its ranges: tables by previous word, or the root's customers and tables by word."""
+def _answers(slot: int, names: list[dict], told: dict[int, tuple], seats: dict | None, grid: _Grid, state: _State | None, settings: Settings, sweep: int) -> list[tuple]:
+    """A slot's answers to its ranges: tables by context (of one word: and customers, if longer contexts stand below), or
+    the root's customers and tables by word."""
     names = sorted(names, key=lambda r: r["rng"])
     lists = [_words(r["a"]) for r in names]
     words, back = np.unique(np.concatenate(lists), return_inverse=True)
     total = lambda values: np.bincount(back, weights=np.concatenate(values), minlength=len(words)).astype(np.int64)
-    counts, now = total([_unpack(r["b"]) for r in names]), total([_unpack(told[r["rng"]]) for r in names])
+    counts, now = total([_unpack(r["b"]) for r in names]), total([_unpack(told[r["rng"]][0]) for r in names])
     places = np.split(back, np.cumsum([len(x) for x in lists])[:-1])
     # Training counts do not change: only the first answers hold them.
     out = [_row(_COUNTS, r["rng"], slot, a=_pack(counts[at])) for r, at in zip(names, places)] if state is None else []
-    if not grid.by_word(slot):
-        return out + [_row(_ANSWER, r["rng"], slot, b=_pack(now[at])) for r, at in zip(names, places)]
+    if grid.axis(slot) != 1:
+        below = total([_unpack(told[r["rng"]][1]) for r in names]) if names[0]["d"] is not None else None
+        return out + [_row(_ANSWER, r["rng"], slot, b=_pack(now[at]), c=None if below is None else _pack(below[at])) for r, at in zip(names, places)]
     if state is None:
         tables = (now > 0).astype(np.int64)
     else:
@@ -452,48 +529,79 @@ def _answers(slot: int, names: list[dict], told: dict[int, bytes], seats: dict |
         out.append(_row(_SEATS, slot=slot, a=a, b=b))
     out += [_row(_ANSWER, r["rng"], slot, b=_pack(now[at]), c=_pack(tables[at])) for r, at in zip(names, places)]
     numbers = ((counts > 0).sum(), counts.sum(), now.sum(), tables.sum(), (now == 1).sum(), (now == 2).sum())
-    return out + [_row(_NUMBER, slot=-3 - k, x=float(v)) for k, v in enumerate(numbers)]
+    return out + [_row(_NUMBER, slot=-5 - k, x=float(v)) for k, v in enumerate(numbers)]
+
+
+def _pairs(part: _Range, own: list[dict], served: np.ndarray, tables: np.ndarray, grid: _Grid, state: _State) -> np.ndarray:
+    """Probabilities of a range's pairs, the parents of its triples, in the state that was told."""
+    p = state.root(grid.told(own, 1, "b"), grid.told(own, 1, "c"))
+    return state.predictive(served, tables, grid.told(own, 0, "c")[part.u], grid.told(own, 0, "b")[part.u], p[part.w])
 
 
 def _swept(number: int, found: list[dict], answers: list[dict], grid: _Grid, state: _State, settings: Settings, sweep: int) -> list[tuple]:
-    """A sweep over a range: its new seats, and its tables by previous word and by word."""
+    """A sweep over a range: its new seats, and its tables by context and by word."""
     part = _Range(found)
     own = [r for r in answers if r["kind"] == _ANSWER]
-    tables = grid.told(own, 0, "b").astype(float)
-    p = state.root(grid.told(own, 1, "b"), grid.told(own, 1, "c"))
     many = np.flatnonzero(part.customers > 1)
     rng = np.random.default_rng([settings.seed, 0, sweep, number])
     old = next((r for r in answers if r["kind"] == _SEATS), None)
-    u, parent = part.u[many], p[part.w[many]]
-    if old:
-        seats = Seats.read(old["a"], old["b"])
-    else:
-        seats = Seats.none(len(many))
-        seats.grow(part.customers[many], (state.strength + state.discount * tables[u]) * parent, state.discount, rng)
-        tables = tables + np.bincount(u, weights=seats.tables() - 1, minlength=len(tables))
-    seats.reseat(parent, u, tables, state.strength, state.discount, rng, settings.rounds)
-    each = (part.customers > 0).astype(np.int64)
+    each = part.tables(old and old["a"], many, part.customers)
+    kept, served = {}, part.customers
+    if part.deep:
+        often = np.flatnonzero(part.served > 1)
+        below = part.tables(old and old["f"], often, part.served)
+        parent = _pairs(part, own, part.by_pair(below), each, grid, state)[part.at[often]]
+        seats = _reseated(old and (old["f"], old["g"]), part.served[often], below[often], parent, part.k[often], grid.told(own, 2, "b"), state.deep_discount, settings, rng)
+        below[often] = seats.tables()
+        kept = dict(zip("fg", seats.written()))
+        served = part.by_pair(below)
+    p = state.root(grid.told(own, 1, "b"), grid.told(own, 1, "c"))
+    seats = _reseated(old and (old["a"], old["b"]), served[many], each[many], p[part.w[many]], part.u[many], grid.told(own, 0, "b"), state.discount, settings, rng)
     each[many] = seats.tables()
     a, b = seats.written()
-    sums = zip((part.us, part.ws), part.totals(each))
-    return [_row(_SEATS, number, a=a, b=b), *(_row(_TOTALS, number, slot, a=_pack(t)) for axis, (of, total) in enumerate(sums) for slot, _, t in grid.sent(number, axis, of, total))]
+    tables, customers = part.totals(each), part.totals(served)[0]
+    out = [_row(_SEATS, number, a=a, b=b, **kept)]
+    out += [_row(_TOTALS, number, slot, a=_pack(t)) for slot, _, t in grid.sent(number, 1, part.ws, tables[1])]
+    out += [_row(_TOTALS, number, slot, a=_pack(t), b=_pack(c) if part.deep else None) for slot, _, t, c in grid.sent(number, 0, part.us, tables[0], customers)]
+    if part.deep:
+        out += [_row(_TOTALS, number, slot, a=_pack(t)) for slot, _, t in grid.sent(number, 2, part.contexts, part.by_context(below))]
+    return out
+
+
+def _reseated(old: tuple[bytes, bytes] | None, customers: np.ndarray, before: np.ndarray, parent: np.ndarray, restaurant: np.ndarray, tables: np.ndarray, discount: float, settings: Settings, rng: np.random.Generator) -> Seats:
+    """Dishes' seats after a sweep, with as many customers as they have now. before: the tables of each dish that are
+    part of `tables`, all those of each restaurant."""
+    tables = tables.astype(float)
+    seats = Seats.read(*old) if old else Seats.none(len(customers))
+    seats.shrink(customers, rng)
+    seats.grow(customers, (settings.strength + discount * tables[restaurant]) * parent, discount, rng)
+    tables += np.bincount(restaurant, weights=seats.tables() - before, minlength=len(tables))
+    seats.reseat(parent, restaurant, tables, settings.strength, discount, rng, settings.rounds)
+    return seats
 
 
 def _valued(number: int, found: list[dict], answers: list[dict], grid: _Grid, states: list[_State]) -> list[tuple]:
-    """For each batch, its pairs' training counts of the word and log10 of their averaged probability."""
+    """For each batch, its triples' (or pairs') training counts of the word and log10 of their averaged probability."""
     part = _Range(found, keep_places=True)
-    total = np.zeros(len(part.u))
+    total = np.zeros(len(part.served))
     many = part.customers > 1
-    of_row, of_column = (grid.told([r for r in answers if r["kind"] == _COUNTS], axis, "a") for axis in (0, 1))
+    counts = [r for r in answers if r["kind"] == _COUNTS]
+    of_context = grid.told(counts, 2 if part.deep else 0, "a")
     for k, state in enumerate(states):
         own = [r for r in answers if r["batch"] == k and r["kind"] == _ANSWER]
         seats = next(r for r in answers if r["batch"] == k and r["kind"] == _SEATS)
-        each = (part.customers > 0).astype(np.int64)
-        each[many] = _unpack(seats["a"])
-        p = state.root(grid.told(own, 1, "b"), grid.told(own, 1, "c"))
-        total += state.predictive(part.customers, each, of_row[part.u], grid.told(own, 0, "b")[part.u], p[part.w])
+        each = part.tables(seats["a"], many, part.customers)
+        if part.deep:
+            below = part.tables(seats["f"], part.served > 1, part.served)
+            parent = _pairs(part, own, part.by_pair(below), each, grid, state)
+            total += state.predictive(part.served, below, of_context[part.k], grid.told(own, 2, "b")[part.k], parent[part.at], deep=True)
+        else:
+            p = state.root(grid.told(own, 1, "b"), grid.told(own, 1, "c"))
+            total += state.predictive(part.customers, each, of_context[part.u], grid.told(own, 0, "b")[part.u], p[part.w])
     value = np.log10(total / len(states)).astype(np.float32)
-    known = of_column[part.w]
+    known = grid.told(counts, 1, "a")[part.w]
+    if part.deep:
+        known = known[part.at]
     cuts = np.cumsum(part.lengths)[:-1]
     # They go where the batch's documents lie; the slot column tells which range they come from.
     return [_row(_VALUES, _home(b, grid.ranges()), number, b, a=_pack(known[at]), b=_pack(value[at].view(np.uint32))) for b, at in zip(part.batches, np.split(part.places, cuts))]
@@ -514,6 +622,13 @@ def _numbers(df: DataFrame) -> dict[int, float]:
     return {r[0]: r[1] for r in df.filter(F.col("kind") == _NUMBER).groupBy("slot").agg(F.sum("x")).collect()}
 
 
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table, written to the shared folder, and its path."""
+    path = shared.fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(_ROW).parquet(path), path
+
+
 def _at_ranges(packed: DataFrame, answers: DataFrame, work) -> DataFrame:
     """work(range, its packed rows, its answers) for all ranges with pairs; only answers move."""
 
@@ -526,30 +641,34 @@ def _at_ranges(packed: DataFrame, answers: DataFrame, work) -> DataFrame:
 
 def _sampled(packed: DataFrame, grid: _Grid, parts: int, settings: Settings) -> tuple[list[_State], DataFrame]:
     """The states of the samples, and a table of their seats and answers by range, numbered in `batch`."""
-    first = shared.materialize(_counted(packed, grid), "counted")
+    first = _fixed(_counted(packed, grid), parts, "slot")
     number = _numbers(first)
-    directory = _fixed(first.filter(F.col("kind") == _TOTALS), parts, "slot")
+    directory = first.filter(F.col("kind") == _TOTALS)
 
     def meet(told: DataFrame, state: _State | None, sweep: int) -> DataFrame:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             names, rest = left.to_pylist(), right.to_pylist()
-            values = {r["rng"]: r["a"] for r in rest if r["kind"] == _TOTALS} if state else {r["rng"]: r["c"] for r in names}
+            values = {r["rng"]: (r["a"], r["b"]) for r in rest if r["kind"] == _TOTALS} if state else {r["rng"]: (r["c"], r["d"]) for r in names}
             return _table(_answers(names[0]["slot"], names, values, next((r for r in rest if r["kind"] == _SEATS), None), grid, state, settings, sweep))
 
-        return shared.materialize(directory.groupBy("slot").cogroup(told.groupBy("slot")).applyInArrow(run, _ROW), "answers")
+        return _stored(directory.groupBy("slot").cogroup(told.groupBy("slot")).applyInArrow(run, _ROW), "answers")
 
-    answers = meet(first.filter("1 = 0"), None, 0)
+    answers, _ = meet(first.filter("1 = 0"), None, 0)
     n = _numbers(answers)
-    state = _State(n.get(-3, 0.0), n.get(-4, 0.0), n.get(-5, 0.0), n.get(-6, 0.0), _discount(number.get(-1, 0), number.get(-2, 0)), _discount(n.get(-7, 0), n.get(-8, 0)), settings.strength)
+    discounts = [_discount(x.get(-k, 0), x.get(-k - 1, 0)) for x, k in ((number, 1), (n, 9), (number, 3))]
+    state = _State(n.get(-5, 0.0), n.get(-6, 0.0), n.get(-7, 0.0), n.get(-8, 0.0), discounts[0], discounts[1], settings.strength, discounts[2])
     states, kept = [], answers.filter(F.col("kind") == _COUNTS)
     old = answers.filter(F.col("kind") == _ANSWER)
-    root = first.filter("1 = 0")
+    root, spent = first.filter("1 = 0"), []
     for sweep in range(1, settings.burn_in + settings.samples + 1):
         work = lambda number, found, told, state=state, sweep=sweep: _swept(number, found, told, grid, state, settings, sweep)
-        swept = shared.materialize(_at_ranges(packed, old, work), "swept")
-        answers = meet(swept.filter(F.col("kind") == _TOTALS).unionByName(root), state, sweep)
+        swept, at = _stored(_at_ranges(packed, old, work), "swept")
+        answers, to = meet(swept.filter(F.col("kind") == _TOTALS).unionByName(root), state, sweep)
+        for path in spent:
+            shared.delete(packed.sparkSession, path)
+        spent = [] if sweep > settings.burn_in else [at, to]  # samples are kept
         n = _numbers(answers)
-        state = _State(state.vocabulary, state.tokens, n.get(-5, 0.0), n.get(-6, 0.0), state.discount, state.root_discount, settings.strength)
+        state = replace(state, root_customers=n.get(-7, 0.0), root_tables=n.get(-8, 0.0))
         root = answers.filter(F.col("kind") == _SEATS)
         old = answers.filter(F.col("kind") == _ANSWER).unionByName(swept.filter(F.col("kind") == _SEATS))
         if sweep > settings.burn_in:
@@ -567,7 +686,7 @@ def score(docs: DataFrame, held_out: Column, settings: Settings = Settings()) ->
     parts = shared.shuffle_partitions(spark)
     texts = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
     grid = _Grid.of(docs, settings)
-    packed = _fixed(_packed_rows(texts, grid), parts, "rng")
+    packed = _fixed(_packed_rows(texts, grid, settings.words), parts, "rng")
     states, kept = _sampled(packed, grid, parts, settings)
     values = _at_ranges(packed, kept, lambda number, found, told: _valued(number, found, told, grid, states))
     tokens = int(states[-1].tokens)
