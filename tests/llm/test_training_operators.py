@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -855,6 +856,35 @@ def test_hpylm_of_two_words_is_consistent_and_sums_to_one(spark):
                 assert c == sum(x[w][1] for (row, _, of), x in deep.items() if (row, of) == (i, u) and w in x)
 
 
+@pytest.mark.parametrize("before", [1, 2])
+def test_hpylm_merges_batches(spark, before):
+    """Ranges of merged rows are those of the batches' rows, which find their triples in them, and take fewer bytes."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{min(400, k)}" for k in rng.zipf(1.3, 200)) for _ in range(40)]
+    table = docs(spark, list(enumerate(texts))).select("doc_id", "text", (F.col("doc_id") % 7 == 0).alias("held_out")).repartition(8)  # a batch for each
+    grid, common = hpylm._Grid(2, 3, 2), shared.hashed_words(pa.array(["nowhere " + " ".join(f"w{k}" for k in range(1, 300))]))[0]
+    plain, short = ([r.asDict() for r in sorted(hpylm._packed_rows(table, grid, before, c).collect(), key=lambda r: (r.kind, r.batch, r.rng))] for c in (None, common))
+    size = lambda rows: sum(len(r[c]) for r in rows for c in "abcdefgh" if r[c])
+    assert len({r["batch"] for r in plain}) > 5 and size(short) < 0.9 * size(plain)
+    for number in range(grid.ranges()):
+        was, now = [r for r in plain if r["rng"] == number], [r for r in short if r["rng"] == number]
+        merged = [dict(zip(("rng", "slot", "batch", "kind", *"abcdefgh", "x"), r)) for r in hpylm._merged(number, now, grid, hpylm._Common(common, grid))]
+        assert size(merged) < size(now) and [r for r in merged if r["kind"] == hpylm._HOME] == [r for r in now if r["kind"] == hpylm._HOME]
+        old, new = hpylm._Range(was, keep_places=True), hpylm._Range(merged, keep_places=True)
+        assert all((getattr(old, c) == getattr(new, c)).all() for c in ("us", "ws", "u", "w", "served", "customers", *(("contexts", "k", "at") if before == 2 else ())))
+        places = [new.places[hpylm._words(r["a"])] for r in sorted((r for r in merged if r["kind"] == hpylm._PLACES), key=lambda r: r["batch"])]
+        assert np.concatenate(places).tolist() == old.places.tolist()
+
+
+def test_hpylm_leaves_no_shuffle_files(spark):
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    rows = spark.range(500).select(F.col("id").cast("int").alias("rng"), *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in hpylm._ROW.split(", ")[1:])))
+    before = files()
+    tables = [hpylm._fixed(rows, 4, "rng"), hpylm._stored(rows.repartition(3, "rng"), "rows")[0]]
+    assert files() <= before and [t.count() for t in tables] == [500, 500]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("webloom")]
+
+
 def test_hpylm_without_training(odd):
     got = hpylm.score(odd, F.lit(True)).collect()
     assert all(r.base_score == pytest.approx(0, abs=1e-9) and r.score == pytest.approx(0, abs=1e-9) and r.train_tokens == 0 for r in got)

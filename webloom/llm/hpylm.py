@@ -20,13 +20,14 @@ states after ``burn_in`` sweeps. A sweep goes from the lowest level up; the seat
 lose customers with the tables below and are reseated in the same way.
 
 Distribution: a batch of texts becomes its distinct triples (word before, previous word, word), held by pair
-(previous word, word). Pairs lie in a grid of ranges: rows by the hash of the previous word, columns by that of the
+(previous word, word); words that a bounded sample holds often are written by number, all others by name. Pairs lie in a grid of ranges: rows by the hash of the previous word, columns by that of the
 word, both growing with the root of the input. A frequent word's pairs are thus spread over a whole row and a whole
 column, and a frequent triple comes once for each batch. A range holds the counts and seats of its triples and of
 their pairs, which are their parents' dishes. Totals of the restaurants of one and of two previous words and the
 root (by word) lie in slots, some for each row and column: after a sweep a range sends its words' and contexts' new
 tables to its slots, packed and without names, and gets the totals of its own back. Nothing that grows with the
-corpus comes to the driver; it gets six numbers a sweep. At the end the triples' probabilities return to their
+corpus comes to the driver; it gets six numbers a sweep. Only merged ranges are stored: their distinct triples with
+counts, and for each batch the places of its own among them. At the end the triples' probabilities return to their
 batch, which adds them up by document.
 
 Base score: sum of log10((c + 0.1) / (N + 0.1 (V + 1))) over tokens, by exact counts of all training texts.
@@ -40,11 +41,15 @@ columns are ignored, whatever their names. A text longer than a batch is a batch
 
 from __future__ import annotations
 
+import ctypes
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -62,6 +67,10 @@ class Settings:
     words: int = 2
     #: Bytes of input for each range; bounds a worker's memory.
     range_bytes: int = 6 << 20
+    #: Words that batches write by number, and the texts (and characters of each) that tell which words are common.
+    common: int = 1 << 15
+    common_texts: int = 2048
+    common_chars: int = 4096
 
 
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -70,8 +79,8 @@ _NO_ID = -(1 << 63)
 _ROW = "rng int, slot int, batch long, kind int, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary, x double"
 _ARROW = pa.schema([("rng", pa.int32()), ("slot", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), *[(n, pa.binary()) for n in "abcdefgh"], ("x", pa.float64())])
 # Kinds of rows: a batch's documents; its pairs in a range; a range's totals for a slot; a slot's answer; seats;
-# a number for the driver; training counts; a batch's probabilities from a range.
-_HOME, _PAIRS, _TOTALS, _ANSWER, _SEATS, _NUMBER, _COUNTS, _VALUES = range(8)
+# a number for the driver; training counts; a batch's probabilities from a range; a batch's places in a range.
+_HOME, _PAIRS, _TOTALS, _ANSWER, _SEATS, _NUMBER, _COUNTS, _VALUES, _PLACES = range(9)
 
 
 def _row(kind: int, rng: int = -1, slot: int = -1, batch: int = -1, a=None, b=None, c=None, d=None, e=None, f=None, g=None, h=None, x=None) -> tuple:
@@ -105,26 +114,21 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.int64)
 
 
-def _names(words: np.ndarray) -> bytes:
-    """Ascending names of words, as steps."""
-    return _pack(np.diff(words, prepend=0))
+def _names(words: np.ndarray, common: np.ndarray | None = None) -> bytes:
+    """Distinct ascending names of words, as steps; those of common words as steps of their numbers."""
+    if common is None:
+        return _pack(np.diff(words, prepend=0))
+    at = np.minimum(np.searchsorted(common, words), len(common) - 1) if len(common) else np.zeros(len(words), np.int64)
+    short = common[at] == words if len(common) else np.zeros(len(words), bool)
+    numbers = _names(at[short])
+    return len(numbers).to_bytes(4, "little") + numbers + _names(words[~short])
 
 
-def _words(raw: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(raw))
-
-
-def _runs(batches, key: str):
-    held, at = [], None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and row[key] != at:
-                yield at, held
-                held = []
-            at = row[key]
-            held.append(row)
-    if held:
-        yield at, held
+def _words(raw: bytes, common: np.ndarray | None = None) -> np.ndarray:
+    if common is None:
+        return np.cumsum(_unpack(raw))
+    cut = 4 + int.from_bytes(raw[:4], "little")
+    return np.sort(np.concatenate([common[_words(raw[4:cut])], _words(raw[cut:])]))
 
 
 class Seats:
@@ -304,18 +308,60 @@ def _placed(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return part, ((words - first[part]) >> np.uint64(max(0, 16 - (parts.bit_length() - 1)))).astype(np.int64)
 
 
+def _before(words: np.ndarray) -> np.ndarray:
+    """The names of words before the previous word."""
+    return (words >> np.uint64(16)).astype(np.int64)
+
+
+def _released() -> None:
+    """Give memory that a worker no longer uses back to the system, where the C library can; the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+class _Common:
+    """The names of common words by row, by column and as words before the previous word; in each list, a word's number
+    is its place. Batches write these words in a byte or two; all others by name."""
+
+    def __init__(self, words: np.ndarray, grid: _Grid):
+        words = np.unique(words)  # parts and names ascend with the hash
+        self._rows, self._columns = _placed(words, grid.rows), _placed(words, grid.columns)
+        self.before = np.unique(_before(words))
+
+    def row(self, number: int) -> np.ndarray:
+        return self._of(number, *self._rows)
+
+    def column(self, number: int) -> np.ndarray:
+        return self._of(number, *self._columns)
+
+    @staticmethod
+    def _of(number: int, part: np.ndarray, names: np.ndarray) -> np.ndarray:
+        first, last = np.searchsorted(part, [number, number + 1])
+        return np.unique(names[first:last])
+
+
+def _common_words(docs: DataFrame, settings: Settings) -> np.ndarray:
+    """Hashes of words that a bounded sample of the texts holds most often. They change how batches are written, no result."""
+    share = min(1.0, 2 * settings.common_texts * settings.common_chars / max(1, shared.size_in_bytes(docs)))
+    texts = docs.select(F.substring(F.col("text").cast("string"), 1, settings.common_chars)).sample(share, settings.seed).limit(settings.common_texts).collect()
+    words, counts = np.unique(shared.hashed_words(pa.array([r[0] for r in texts], pa.string()))[0], return_counts=True)
+    return np.append(words[np.argsort(-counts, kind="stable")[: settings.common]], _END)
+
+
 def _home(batch: int, ranges: int) -> int:
     """The range that a batch's documents wait at."""
     return (batch & 0xFFFFFFFF) % ranges
 
 
-def _packed_rows(docs: DataFrame, grid: _Grid, words_before: int = 1) -> DataFrame:
+def _packed_rows(docs: DataFrame, grid: _Grid, words_before: int = 1, common: np.ndarray | None = None) -> DataFrame:
     """For each batch of texts: a row of its documents, and one for each range that some of its pairs lie in, with their
-    triples if contexts have two words."""
+    triples if contexts have two words. common: hashes of words that are written by number."""
 
     def run(batches):
         from pyspark import TaskContext
 
+        short = common is not None and _Common(common, grid)
         base, serial = TaskContext.get().partitionId() << 32, 0
         for table in shared.gathered(batches, limit=3 * shared.BATCH_BYTES // 2):
             hashes, counts = shared.hashed_words(table["text"])
@@ -345,7 +391,7 @@ def _packed_rows(docs: DataFrame, grid: _Grid, words_before: int = 1) -> DataFra
                 earlier[ends - sizes] = before[0]
                 triples, token = np.unique(token * np.int64(len(distinct)) + earlier, return_inverse=True)
                 within, v = np.bincount(triples // len(distinct), minlength=len(pairs)), triples % len(distinct)
-                name = (distinct >> np.uint64(16)).astype(np.int64)
+                name = _before(distinct)
                 del triples, earlier
             else:
                 within = np.ones(len(pairs), np.int64)
@@ -365,39 +411,74 @@ def _packed_rows(docs: DataFrame, grid: _Grid, words_before: int = 1) -> DataFra
                 deep = {}
                 if words_before == 2:
                     vs, v_at = np.unique(v[first[i] : first[j]], return_inverse=True)
-                    deep = {"f": _pack(within[i:j]), "g": _names(name[vs]), "h": _pack(v_at)}
-                out.append(_row(_PAIRS, int(own[i]), batch=number, a=_names(row_name[u[i:j][heads]]), b=_pack(per), c=_names(column_name[ws]), d=_pack(w_at), e=_pack(learned[first[i] : first[j]]), **deep))
+                    deep = {"f": _pack(within[i:j]), "g": _names(name[vs], short.before if short else None), "h": _pack(v_at)}
+                of_row, of_column = (None, None) if not short else (short.row(own[i] // grid.columns), short.column(own[i] % grid.columns))
+                out.append(_row(_PAIRS, int(own[i]), batch=number, a=_names(row_name[u[i:j][heads]], of_row), b=_pack(per), c=_names(column_name[ws], of_column), d=_pack(w_at), e=_pack(learned[first[i] : first[j]]), **deep))
             serial += 1
             for i in range(0, len(out), 64):
                 yield _rows(out[i : i + 64])
+        hashes = counts = words = distinct = u = w = v = token = doc = by = learned = out = table = None
+        _released()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "held_out")
     return texts.mapInArrow(run, _ROW)
 
 
+def _distinct_pairs(rows: list[dict], of_row: np.ndarray | None = None, of_column: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Previous words and words of rows of pairs, the distinct pairs' places among them, and each pair's place among the pairs."""
+    us, u = np.unique(np.concatenate([_words(r["a"], of_row) for r in rows]), return_inverse=True)
+    u = np.repeat(u, np.concatenate([_unpack(r["b"]) for r in rows]))
+    ws, w = _looked_up(rows, "c", "d", of_column)
+    u *= len(ws)
+    u += w  # one key for each pair; big arrays go as soon as they are used
+    del w
+    heads, place = _distinct(u)
+    return us, ws, heads // len(ws), heads % len(ws), place
+
+
+def _looked_up(rows: list[dict], names: str, at: str, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct names that rows hold in a column, and the place among them of each entry of another column."""
+    lists = [_words(r[names], common) for r in rows]
+    every, place = np.unique(np.concatenate(lists), return_inverse=True)
+    cuts = np.cumsum([len(x) for x in lists])[:-1]
+    return every, np.concatenate([own[_unpack(r[at])] for own, r in zip(np.split(place, cuts), rows)])
+
+
+def _merged(number: int, found: list[dict], grid: _Grid, short: _Common) -> list[tuple]:
+    """A range's rows with those of its pairs made one: names once, distinct pairs and triples, training customers added up.
+    Of each batch the places of its triples (or pairs) among them remain; they ascend, as all rows have the same order."""
+    out = [_row(r["kind"], number, batch=r["batch"], **{c: r[c] for c in "abcd"}) for r in found if r["kind"] == _HOME]
+    rows = sorted((r for r in found if r["kind"] == _PAIRS), key=lambda r: r["batch"])
+    if not rows:
+        return out
+    row, column = divmod(number, grid.columns)
+    learned = [_unpack(r["e"]) for r in rows]
+    us, ws, u, w, place = _distinct_pairs(rows, short.row(row), short.column(column))
+    deep = {}
+    if rows[0]["f"] is not None:
+        at = np.repeat(place, np.concatenate([_unpack(r["f"]) for r in rows]))
+        vs, v = _looked_up(rows, "g", "h", short.before)
+        at *= len(vs)
+        at += v
+        del v
+        heads, place = _distinct(at)
+        deep = {"f": _pack(np.bincount(heads // len(vs))), "g": _names(vs), "h": _pack(heads % len(vs))}
+        del at, heads
+    served = np.bincount(place, weights=np.concatenate(learned)).astype(np.int64)
+    out.append(_row(_PAIRS, number, a=_names(us), b=_pack(np.bincount(u)), c=_names(ws), d=_pack(w), e=_pack(served), **deep))
+    cuts = np.cumsum([len(x) for x in learned])[:-1]
+    return out + [_row(_PLACES, number, batch=r["batch"], a=_names(at)) for r, at in zip(rows, np.split(place, cuts))]
+
+
 class _Range:
     """The distinct pairs of a range: previous word u, word w, training customers. With contexts of two words also its
     triples: the context k, the pair at, training customers; else each pair stands for itself."""
 
     def __init__(self, rows: list[dict], keep_places: bool = False):
         rows = sorted((r for r in rows if r["kind"] == _PAIRS), key=lambda r: r["batch"])
-        self.batches = [r["batch"] for r in rows]
         self.deep = rows[0]["f"] is not None
-        learned = [_unpack(r["e"]) for r in rows]
-        self.lengths = [len(x) for x in learned]
-        learned = np.concatenate(learned)
-        self.us, u = np.unique(np.concatenate([_words(r["a"]) for r in rows]), return_inverse=True)
-        u = np.repeat(u, np.concatenate([_unpack(r["b"]) for r in rows]))
-        lists = [_words(r["c"]) for r in rows]
-        self.ws, w = np.unique(np.concatenate(lists), return_inverse=True)
-        cuts = np.cumsum([len(x) for x in lists])[:-1]
-        w = np.concatenate([own[_unpack(r["d"])] for own, r in zip(np.split(w, cuts), rows)])
-        u *= len(self.ws)
-        u += w  # one key for each pair; big arrays go as soon as they are used
-        del w, lists
-        heads, place = _distinct(u)
-        self.u, self.w = heads // len(self.ws), heads % len(self.ws)
-        del u, heads
+        learned = np.concatenate([_unpack(r["e"]) for r in rows])
+        self.us, self.ws, self.u, self.w, place = _distinct_pairs(rows)
         if self.deep:
             at = np.repeat(place, np.concatenate([_unpack(r["f"]) for r in rows]))
             del place
@@ -481,23 +562,19 @@ def _discount(ones: float, twos: float) -> float:
 def _counted(packed: DataFrame, grid: _Grid) -> DataFrame:
     """Each range's words and contexts, their training customers, and one table for each dish: its first totals."""
 
-    def run(batches):
-        for number, found in _runs(batches, "rng"):
-            if not any(r["kind"] == _PAIRS for r in found):
-                continue
-            part = _Range(found)
-            customers, tables = part.totals(part.customers), part.totals(part.customers > 0)
-            below = part.by_pair(part.served > 0) if part.deep else part.customers
-            out = [_row(_TOTALS, number, slot, a=_names(names), b=_pack(c), c=_pack(t)) for slot, names, c, t in grid.sent(number, 1, part.ws, customers[1], tables[1])]
-            out += [_row(_TOTALS, number, slot, a=_names(names), b=_pack(c), c=_pack(t), d=_pack(n) if part.deep else None) for slot, names, c, t, n in grid.sent(number, 0, part.us, customers[0], tables[0], part.totals(below)[0])]
-            if part.deep:
-                out += [_row(_TOTALS, number, slot, a=_names(names), b=_pack(c), c=_pack(t)) for slot, names, c, t in grid.sent(number, 2, part.contexts, part.by_context(part.served), part.by_context(part.served > 0))]
-            numbers = (below == 1).sum(), (below == 2).sum(), (part.served == 1).sum(), (part.served == 2).sum()
-            out += [_row(_NUMBER, slot=-1 - k, x=float(v)) for k, v in enumerate(numbers)]
-            for i in range(0, len(out), 64):
-                yield _rows(out[i : i + 64])
+    def run(table: pa.Table) -> pa.Table:
+        found = table.to_pylist()
+        part, number = _Range(found), found[0]["rng"]
+        customers, tables = part.totals(part.customers), part.totals(part.customers > 0)
+        below = part.by_pair(part.served > 0) if part.deep else part.customers
+        out = [_row(_TOTALS, number, slot, a=_names(names), b=_pack(c), c=_pack(t)) for slot, names, c, t in grid.sent(number, 1, part.ws, customers[1], tables[1])]
+        out += [_row(_TOTALS, number, slot, a=_names(names), b=_pack(c), c=_pack(t), d=_pack(n) if part.deep else None) for slot, names, c, t, n in grid.sent(number, 0, part.us, customers[0], tables[0], part.totals(below)[0])]
+        if part.deep:
+            out += [_row(_TOTALS, number, slot, a=_names(names), b=_pack(c), c=_pack(t)) for slot, names, c, t in grid.sent(number, 2, part.contexts, part.by_context(part.served), part.by_context(part.served > 0))]
+        numbers = (below == 1).sum(), (below == 2).sum(), (part.served == 1).sum(), (part.served == 2).sum()
+        return _table(out + [_row(_NUMBER, slot=-1 - k, x=float(v)) for k, v in enumerate(numbers)])
 
-    return packed.mapInArrow(run, _ROW)
+    return packed.filter(F.col("kind") == _PAIRS).groupBy("rng").applyInArrow(run, _ROW)
 
 
 def _answers(slot: int, names: list[dict], told: dict[int, tuple], seats: dict | None, grid: _Grid, state: _State | None, settings: Settings, sweep: int) -> list[tuple]:
@@ -602,20 +679,38 @@ def _valued(number: int, found: list[dict], answers: list[dict], grid: _Grid, st
     known = grid.told(counts, 1, "a")[part.w]
     if part.deep:
         known = known[part.at]
-    cuts = np.cumsum(part.lengths)[:-1]
+    value, known = value.view(np.uint32)[part.places], known[part.places]
     # They go where the batch's documents lie; the slot column tells which range they come from.
-    return [_row(_VALUES, _home(b, grid.ranges()), number, b, a=_pack(known[at]), b=_pack(value[at].view(np.uint32))) for b, at in zip(part.batches, np.split(part.places, cuts))]
+    return [_row(_VALUES, _home(r["batch"], grid.ranges()), number, r["batch"], a=_pack(known[at]), b=_pack(value[at])) for r in found if r["kind"] == _PLACES for at in [_words(r["a"])]]
 
 
-def _fixed(df: DataFrame, parts: int, key: str) -> DataFrame:
-    """A checkpoint whose partitioning by key later joins see: without adaptive execution, which would hide it."""
-    spark = df.sparkSession
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a query that runs within are deleted when it ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
     try:
-        return df.repartition(parts, key).sortWithinPartitions(key).checkpoint(eager=True)
+        yield
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set(key, before)
+
+
+def _buckets(df: DataFrame, parts: int, key: str) -> tuple[DataFrame, str]:
+    """The table, written to the shared folder in buckets, so that later joins see its partitioning, and its path. df must be
+    partitioned by the key; the catalog's entry is gone when this returns."""
+    spark, name = df.sparkSession, f"webloom_{uuid.uuid4().hex}"
+    path = shared.fresh_path(spark, key)
+    with _cleaned(spark):
+        df.write.format("parquet").option("compression", "none").bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return found, path
+
+
+def _fixed(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """The table in buckets of a key."""
+    return _buckets(df.repartition(parts, key), parts, key)[0]
 
 
 def _numbers(df: DataFrame) -> dict[int, float]:
@@ -625,23 +720,24 @@ def _numbers(df: DataFrame) -> dict[int, float]:
 def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The table, written to the shared folder, and its path."""
     path = shared.fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _cleaned(df.sparkSession):
+        df.write.option("compression", "none").parquet(path)  # columns are packed already
     return df.sparkSession.read.schema(_ROW).parquet(path), path
 
 
-def _at_ranges(packed: DataFrame, answers: DataFrame, work) -> DataFrame:
-    """work(range, its packed rows, its answers) for all ranges with pairs; only answers move."""
+def _at_ranges(packed: DataFrame, answers: DataFrame, work, kinds: tuple[int, ...] = (_PAIRS,)) -> DataFrame:
+    """work(range, its packed rows of some kinds, its answers) for all ranges with pairs; only answers move."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = left.to_pylist()
         return _table(work(found[0]["rng"], found, right.to_pylist()) if any(r["kind"] == _PAIRS for r in found) else [])
 
-    return packed.groupBy("rng").cogroup(answers.groupBy("rng")).applyInArrow(run, _ROW)
+    return packed.filter(F.col("kind").isin(*kinds)).groupBy("rng").cogroup(answers.groupBy("rng")).applyInArrow(run, _ROW)
 
 
 def _sampled(packed: DataFrame, grid: _Grid, parts: int, settings: Settings) -> tuple[list[_State], DataFrame]:
     """The states of the samples, and a table of their seats and answers by range, numbered in `batch`."""
-    first = _fixed(_counted(packed, grid), parts, "slot")
+    first, directory_path = _buckets(_counted(packed, grid).repartition(parts, "slot"), parts, "slot")
     number = _numbers(first)
     directory = first.filter(F.col("kind") == _TOTALS)
 
@@ -675,9 +771,26 @@ def _sampled(packed: DataFrame, grid: _Grid, parts: int, settings: Settings) ->
             sample = old.withColumn("batch", F.lit(len(states)).cast("long"))
             kept = kept.unionByName(sample)
             states.append(state)
+    shared.delete(packed.sparkSession, directory_path)
     return states, kept
 
 
+def _gathered(texts: DataFrame, grid: _Grid, parts: int, settings: Settings) -> DataFrame:
+    """The ranges' merged rows, in buckets. The batches' rows are only shuffled, not stored."""
+    common = _common_words(texts, settings)
+    short: list[_Common] = []  # made once in each task
+
+    def run(table: pa.Table) -> pa.Table:
+        if not short:
+            short.append(_Common(common, grid))
+        found = table.to_pylist()
+        out = _table(_merged(found[0]["rng"], found, grid, short[0]))
+        _released()
+        return out
+
+    return _buckets(_packed_rows(texts, grid, settings.words, common).groupBy("rng").applyInArrow(run, _ROW), parts, "rng")[0]
+
+
 def score(docs: DataFrame, held_out: Column, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -686,9 +799,9 @@ def score(docs: DataFrame, held_out: Column, settings: Settings = Settings()) ->
     parts = shared.shuffle_partitions(spark)
     texts = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
     grid = _Grid.of(docs, settings)
-    packed = _fixed(_packed_rows(texts, grid, settings.words), parts, "rng")
+    packed = _gathered(texts, grid, parts, settings)
     states, kept = _sampled(packed, grid, parts, settings)
-    values = _at_ranges(packed, kept, lambda number, found, told: _valued(number, found, told, grid, states))
+    values = _at_ranges(packed, kept, lambda number, found, told: _valued(number, found, told, grid, states), (_PAIRS, _PLACES))
     tokens = int(states[-1].tokens)
     shift = float(np.log10(tokens + 0.1 * (states[-1].vocabulary + 1)))
 
