@@ -208,6 +208,14 @@ def test_parsers(spark):
     assert ("loaders", "/lib/t.js") in found(spark, """<script type="importmap">{"imports":{"t":"/lib/t.js"}}</script><script type="importmap">{bad</script>""")
 
 
+def test_chunk_ids_are_read_whole(spark):
+    text = 'n({594603:"aaaabbbb"});m={594603:"0123456789abcdef",94603:"0123456789abcdef","1234567890123": "00112233445566",7:"0123456789ab"};miniCssF{123456:"00ff00ff"}'
+    got = bundles.chunk_map(spark.createDataFrame([("u", text)], "url string, text string"))
+    chunks = {("594603", "aaaabbbb.0123456789abcdef"), ("94603", "94603.0123456789abcdef"), ("1234567890123", "1234567890123.00112233445566")}
+    assert {(r.chunk_id, r.ref) for r in got.collect()} == {(i, f"/_next/static/chunks/{name}.js") for i, name in chunks}
+    assert ("webpack", "/_next/static/chunks/123456.00ff00ff.css") in found(spark, text, "webpack")
+
+
 def test_relative_refs(spark):
     text = "setPath('/m');setPath(`${b}/n/`);setPath('rel/');l('p/x.drc');l('../y.glb');l('/abs.glb');u('set/1/part')"
     one = spark.createDataFrame([("u", text), ("v", "l('p/x.drc')"), ("w", None)], "url string, text string")
